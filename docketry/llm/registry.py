@@ -10,13 +10,14 @@ from docketry.llm.bpe import op2_bpe
 from docketry.llm.langid import op10_langid
 from docketry.llm.licences import op4_licences
 from docketry.llm.mixing import op1_mix
+from docketry.llm.neardup import OP6_SQL, op6_neardup
 from docketry.llm.quality import op7_quality
 from docketry.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_bpe, op4_licences, op7_quality, op8_warc, op10_langid)}
+    return {f.__name__: f for f in (op1_mix, op2_bpe, op4_licences, op6_neardup, op7_quality, op8_warc, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op6_neardup": OP6_SQL, "op8_warc": OP8_SQL}

@@ -203,19 +203,18 @@ def list_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return read_warc(files, payload=False)
+    return read_warc(files, payload=False).drop("url")
 
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
 h AS (SELECT html, max(page_id) AS head FROM p GROUP BY html),
 x AS (SELECT p.page_id, p.digest, octet_length(encode(p.html)) AS payload_bytes, h.head FROM p JOIN h ON p.html = h.html),
-bits AS (SELECT page_id, payload_bytes, head, digest,
-  list_reduce(list_prepend('', list_transform(range(40), i -> substr('0000000100100011010001010110011110001001101010111100110111101111',
-    4 * CAST(instr('0123456789abcdef', digest[i + 1]) - 1 AS INTEGER) + 1, 4))), (a, b) -> a || b) AS b FROM x)
+bits AS (SELECT page_id, payload_bytes, head, array_to_string(list_transform(range(40), lambda i:
+    substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(digest, CAST(i AS INTEGER) + 1, 1)) - 1) + 1, 4)), '') AS b FROM x)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  list_reduce(list_prepend('', list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    CAST(16 * CAST(b[5 * i + 1] AS INTEGER) + 8 * CAST(b[5 * i + 2] AS INTEGER) + 4 * CAST(b[5 * i + 3] AS INTEGER) + 2 * CAST(b[5 * i + 4] AS INTEGER) + CAST(b[5 * i + 5] AS INTEGER) AS INTEGER) + 1, 1))), (a, b) -> a || b) AS payload_digest,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(5), lambda j:
+    CAST(substr(b, CAST(5 * i + j AS INTEGER) + 1, 1) AS INTEGER) * (16 // CAST(pow(2, j) AS INTEGER))))::BIGINT + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
 FROM bits
