@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import by_bytes, cut, hash01, mix64, owner, split_words, table, windows, word_codes
+from docketry.llm.common import by_bytes, cut, hash01, mix64, owner, per_text, split_words, table, windows, word_codes
 
 MAX_LABELLED, TREES, DEPTH, RATE, BINS, LAMBDA = 20_000, 40, 3, 0.2, 64, 1.0
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -41,12 +41,6 @@ def byte_classes() -> np.ndarray:
     return out
 
 
-def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values within each text."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 def repeated_words(codes: np.ndarray, offsets: np.ndarray, k: int = REPEAT_WINDOW) -> np.ndarray:
     """Words of each text that stand in a k-word window found at least twice in the text."""
     starts, hashes = windows(mix64(codes.astype(np.uint64) + np.uint64(1)), offsets, k)
