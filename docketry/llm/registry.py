@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docketry.llm.bpe import op2_bpe
 from docketry.llm.langid import op10_langid
 from docketry.llm.licences import op4_licences
+from docketry.llm.linededup import OP3_SQL, op3_linededup
 from docketry.llm.lm import op5_lm
 from docketry.llm.mixing import op1_mix
 from docketry.llm.neardup import OP6_SQL, op6_neardup
@@ -18,8 +19,8 @@ from docketry.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_bpe, op4_licences, op5_lm, op6_neardup, op7_quality, op8_warc, op9_vectors, op10_langid)}
+    return {f.__name__: f for f in (op1_mix, op2_bpe, op3_linededup, op4_licences, op5_lm, op6_neardup, op7_quality, op8_warc, op9_vectors, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_neardup": OP6_SQL, "op8_warc": OP8_SQL, "op9_vectors": OP9_SQL}
+    return {"op3_linededup": OP3_SQL, "op6_neardup": OP6_SQL, "op8_warc": OP8_SQL, "op9_vectors": OP9_SQL}
