@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import retrieval
+from docketry.plans import conditions, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, conditions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

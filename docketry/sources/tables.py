@@ -7,3 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def from_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    """A frame from SQL over the named tables of a folder; {name} stands for a table."""
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
