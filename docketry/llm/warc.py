@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import by_bytes, cut, shared_dir, table
 
-MIN_BYTES, SPLIT_BYTES, CHUNK, LEVEL = 0, 8 << 20, 1 << 20, 4
+MIN_BYTES, SPLIT_BYTES, CHUNK, LEVEL, MOST_TASKS = 0, 8 << 20, 1 << 20, 4, 100_000
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 ID, REFERS, PAYLOAD_BYTES = "WARC-Record-ID", "WARC-Refers-To", "X-Payload-Bytes"
@@ -193,7 +193,8 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[t]) for n, t in (x.split() for x in schema.split(", "))], names=names)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, schema)
+    ranges = cut(ranges)
+    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS))).mapInArrow(run, schema)
 
 
 def list_warc(spark: SparkSession, folder: str) -> DataFrame:
