@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import conditions, retrieval
+from docketry.plans import audit, conditions, retrieval
 
-MODULES = [retrieval, conditions]
+MODULES = [retrieval, conditions, audit]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
