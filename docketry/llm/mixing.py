@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
 def rank_key(size: Column, ident: Column, merit: Column, fraction: Column, seed: int) -> Column:
     """Random odds over inclusion odds, as t = q / (1 + q) in (0, 1)."""
     u = hash01(F.lit(seed), ident.cast("string"), size)
-    q = (u / (1 - u)) / (fraction / (1 - fraction) * merit)
+    q = F.try_divide(u / (1 - u) * (1 - fraction), fraction * merit)  # null where no part of a copy is drawn
     return q / (1 + q)
 
 
