@@ -4,7 +4,8 @@ The rolling K-word hashes of every text are matched with those of licence templa
 position p and template position q votes for the diagonal p - q. Diagonals of a text and template that
 lie within BAND of each other, and whose matches follow closely, are merged into one span; a span
 is verified on the words themselves (hash matches count only with equal words) and accepted if it
-covers enough of the template. The base phrases are templates too, which must match in whole on one
+covers enough of the template: all of a notice under LONG words, where one word tells licences apart,
+and COVER of a longer text. The base phrases are templates too, which must match in whole on one
 diagonal; each such diagonal is a place of the phrase.
 
 Defined cases: null text is empty; no words: no labels, score 0, null first_word and last_word.
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from docketry.llm.common import cut, table
 
-K, BAND, GAP, COVER = 3, 2, 8, 0.8
+K, BAND, GAP, COVER, LONG = 3, 2, 8, 0.8, 12
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the contract and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -79,7 +80,8 @@ def scan(docs: DataFrame) -> DataFrame:
     merged = votes.where(~F.col("base")).withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("span", F.sum("far").over(by))
     spans = merged.groupBy("row", "template", "label", "length", "span").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("qs", lambda q: F.sequence(q, q + K - 1))))).alias("parts"))
     spans = spans.withColumn("cover", F.size(F.array_distinct(F.flatten("parts"))) / F.col("length"))
-    best = spans.groupBy("row").agg(F.max("cover").alias("cover"), F.collect_set(F.when(F.col("cover") >= COVER, F.col("label"))).alias("own_set"))
+    enough = F.when(F.col("length") >= LONG, F.lit(COVER)).otherwise(1.0)
+    best = spans.groupBy("row").agg(F.max("cover").alias("cover"), F.collect_set(F.when(F.col("cover") >= enough, F.col("label"))).alias("own_set"))
 
     none = F.array().cast("array<string>")
     out = found.drop("hits").join(places, "row", "left").join(best, "row", "left")
