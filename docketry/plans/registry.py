@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import audit, conditions, retrieval
+from docketry.plans import audit, cases, conditions, retrieval
 
-MODULES = [retrieval, conditions, audit]
+MODULES = [retrieval, conditions, audit, cases]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
