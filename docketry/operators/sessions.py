@@ -153,3 +153,32 @@ def answer_status(answer: Column) -> Column:
 
 
 Batches = Iterator[pd.DataFrame]
+
+
+def lexical_evidence(facts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """facts (session_id, fact_id, text), phrases (condition_id, phrase, relation) -> the longest phrase's relation, at .58.
+
+    A phrase after 不 or "not " turns its relation round; sentences of intent or hypothesis don't count. Equal lengths: OPPOSES.
+    """
+    said = facts.select("session_id", "fact_id", F.explode(F.split("text", "[。；.;\n]")).alias("s")).where(~F.col("s").rlike("想要|打算|如果|假如|if |want to"))
+    met = said.join(F.broadcast(phrases), F.col("s").contains(F.col("phrase")) & (F.length("phrase") > 0))
+    turned = F.expr("s like concat('%不', phrase, '%') or s like concat('%not ', phrase, '%')")
+    relation = F.when(turned, F.when(F.col("relation") == "SUPPORTS", "OPPOSES").otherwise("SUPPORTS")).otherwise(F.col("relation"))
+    best = met.withColumn("r", relation).groupBy("session_id", "fact_id", "condition_id").agg(F.max(F.struct(F.length("phrase").alias("n"), (F.col("r") == "OPPOSES").cast("int").alias("o"))).alias("b"))
+    return best.select("session_id", "fact_id", "condition_id", F.when(F.col("b.o") == 1, "OPPOSES").otherwise("SUPPORTS").alias("relation"), F.lit(0.58).alias("confidence"))
+
+
+def correction_targets(answers: DataFrame, facts: DataFrame) -> DataFrame:
+    """answers (session_id, answer, amount) with a correction's marker -> the one fact (session_id, fact_id, amount) with another amount, if just one."""
+    marked = answers.where(F.col("answer").rlike("更正|纠正|说错|应该是|correction") & F.col("amount").isNotNull())
+    met = marked.select("session_id", F.col("amount").alias("new")).join(facts, "session_id").where(F.col("amount") != F.col("new"))
+    return met.groupBy("session_id", "new").agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id")).where("n = 1").select("session_id", "fact_id", "new")
+
+
+def merge_answers(facts: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts with accepted ones, rejected rows): a new fact (session_id, quote, answer, turn) must be quoted from its answer; ids follow the last."""
+    fine = F.coalesce(F.col("answer").contains(F.col("quote")), F.lit(False)) & (F.length(F.trim("quote")) > 0)
+    last = facts.groupBy("session_id").agg(F.max("fact_id").alias("last"))
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "quote")).cast("long")
+    new = answers.where(fine).join(last, "session_id", "left").select("session_id", (F.coalesce("last", F.lit(-1)) + number).cast("long").alias("fact_id"), F.col("quote").alias("text"), "turn")
+    return facts.unionByName(new), answers.where(~fine)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import audit, cases, conditions, retrieval, sessions
+from docketry.plans import audit, cases, conditions, more, retrieval, sessions
 
-MODULES = [retrieval, conditions, audit, cases, sessions]
+MODULES = [retrieval, conditions, audit, cases, sessions, more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
