@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +150,6 @@ def answer_status(answer: Column) -> Column:
     return F.when(no, "NOT_SATISFIED").when(yes, "SATISFIED")
 
 
-Batches = Iterator[pd.DataFrame]
 
 
 def lexical_evidence(facts: DataFrame, phrases: DataFrame) -> DataFrame:
