@@ -101,7 +101,10 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cleaned, and n_lines, n_deleted, n_kept_lines (lines with a word)."""
-    return _dedup(cut(docs.withColumn("row", F.monotonically_increasing_id())), docs.columns, min_words)
+    clash = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").head(1)
+    # Where doc_id tells all rows apart, texts need not be written once more to number them.
+    keyed = cut(docs.withColumn("row", F.monotonically_increasing_id())) if clash else docs.withColumn("row", F.col("doc_id").cast("long"))
+    return _dedup(keyed, docs.columns, min_words)
 
 
 def _dedup(keyed: DataFrame, columns: list[str], min_words: int) -> DataFrame:
