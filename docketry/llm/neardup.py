@@ -6,10 +6,12 @@ average), and a class goes to the child of its token at each. Then
 
 1. every class meets the medoids of its nodes (the class nearest to a sample of the node), and the best
    of them is confirmed on full sets; linked pairs join components;
-2. nodes of several components give families of classes that may still be linked. A small node gives its near
-   pairs; a larger one (more than LEAF classes) a star around its medoid, and what is not near that branches
-   again, DEPTH levels at most. A family is compared exhaustively but for pairs connected already: its texts go
-   to one task, or, cut into blocks of TILE_BYTES, to one task for each pair of blocks.
+2. nodes of several components give families of classes that may still be linked. A node of up to WHOLE
+   classes gives its pairs of near sketches, from a join (LEAF classes) or from numpy. A larger one gives a star
+   around its medoid, and branches again without what is so near the medoid that all it may be linked with is
+   in the star. A node that STALLS times has not been parted is compared whole as well, a pair of blocks of
+   MOST classes a task. A family is compared exhaustively but for pairs connected already: its texts go to one task, or, cut
+   into blocks of TILE_BYTES, to one task for each pair of blocks.
 
 A 128-bit sketch drops pairs far below the threshold (5 standard deviations) before full sets are
 read. Connected pairs need no further comparison, so large groups of near copies cost a star, and not
@@ -35,10 +37,13 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import by_bytes, components, cut, mix64, split_words, table, windows, word_codes
 
-K, PERCENT, COORDINATES, TREES, LEAF, DEPTH, SAMPLES = 4, 80, 64, 16, 32, 6, 8
+K, PERCENT, COORDINATES, TREES, LEAF, SAMPLES = 4, 80, 64, 16, 32, 8
+#: Sketches of a block, and of a node that does not branch; a child with over 1 - 1 / PARTED of its parent's classes has not parted it.
+MOST, WHOLE, STALLS, PARTED = 4096, 16384, 4, 10
 #: Of 64 two-bit coordinates a pair at the threshold differs in 9.6 on average, standard deviation 2.9.
 MOST_DIFFERENT = 24
-#: Classes that differ from a medoid in so many coordinates at most may be linked through others near it.
+#: Classes that differ from a medoid in so many coordinates at most are its family. Differences are a metric: what
+#: differs in FAMILY_DIFFERENT - MOST_DIFFERENT at most has all its near sketches in the family.
 FAMILY_DIFFERENT, TILE_BYTES = 32, 1 << 20
 
 
@@ -114,7 +119,8 @@ def children(nodes: np.ndarray, minima: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def branch(rows: DataFrame, trees: int | None = None) -> DataFrame:
-    """(node, rep, s1, s2) of the children: of the trees' roots, or of the rows' own nodes."""
+    """(node, rep, s1, s2) of the children of the trees' roots; of the rows' own nodes also (parent, stalled, stars)."""
+    kept = ("rep", "s1", "s2") if trees else ("rep", "s1", "s2", "parent", "stalled", "stars")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +134,9 @@ def branch(rows: DataFrame, trees: int | None = None) -> DataFrame:
             for nodes in starts:
                 for at, child in children(nodes, minima):
                     part = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(c) for c in ("rep", "s1", "s2"))], names=["node", "rep", "s1", "s2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(c) for c in kept)], names=["node", *kept])
 
-    return rows.mapInArrow(run, "node long, rep long, s1 long, s2 long")
+    return rows.mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in kept))
 
 
 def differing(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -173,33 +179,77 @@ def medoids(nodes: DataFrame) -> DataFrame:
     return cut(nodes.join(some, "node").withColumn("off", off).groupBy("node").agg(F.min(F.struct("off", "rep", "s1", "s2")).alias("p")).select("node", F.col("p.rep").alias("a"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
 
 
-def families(rows: DataFrame, known: DataFrame, classes: DataFrame, leaf: int, depth: int) -> DataFrame:
+def near_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For applyInPandas: edges (a, b) that join, within each node, all classes with near sketches that share no component."""
+    out = []
+    for _, rows in pdf.groupby("node"):
+        rep, component, own = (rows[c].to_numpy() for c in ("rep", "component", "block"))
+        across = rows["low"].iat[0] != rows["high"].iat[0]  # pairs within a block are another tile's
+        s = rows[["s1", "s2"]].to_numpy().view(np.uint64)
+        joined, n = np.arange(len(rows)), len(rows)
+        for lo in range(0, n, 64):
+            off = np.zeros((len(s[lo : lo + 64]), n - lo), np.uint8)
+            for word in s.T:
+                x = word[lo : lo + 64, None] ^ word[None, lo:]
+                off += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+            near = (off <= MOST_DIFFERENT) & (component[lo : lo + 64, None] != component[None, lo:])
+            if across:
+                near &= own[lo : lo + 64, None] != own[None, lo:]
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                found = lo + np.flatnonzero(near[i])
+                groups, first = np.unique(joined[found], return_index=True)
+                new = groups != joined[lo + i]
+                if new.any():
+                    out.append(np.stack([np.full(int(new.sum()), rep[lo + i]), rep[found[first[new]]]], axis=1))
+                    joined[np.isin(joined, groups)] = joined[lo + i]
+    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+
+def compare_nodes(rows: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) of near sketches within nodes, from rows (node, n, rep, component, s1, s2): nodes of up to `most` classes share tasks, of larger ones each pair of blocks is a task's."""
+    some = rows.where(F.col("n") <= most).count()
+    laid = rows.withColumn("blocks", F.ceil(F.col("n") / most)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("node"), F.lit(some // (4 * most) + 1))).otherwise(F.xxhash64("node", low, high))
+    return laid.select(tile.alias("tile"), "node", low.alias("low"), high.alias("high"), "block", "rep", "component", "s1", "s2").groupBy("tile").applyInPandas(near_sketches, "a long, b long")
+
+
+def families(rows: DataFrame, known: DataFrame, classes: DataFrame, leaf: int = LEAF, most: int = MOST, whole: int = WHOLE) -> DataFrame:
     """Edges (a, b) between classes that may be linked and share no component yet; their components are compared as a whole.
 
-    A node of up to `leaf` classes gives its pairs of near sketches. A larger one gives a star around its medoid of
-    all classes that are anywhere near it; the others branch on, `depth` levels at most. Nodes of one component give none.
+    Every pair of near sketches in a node of rows (node, rep, s1, s2) is joined by edges, or its classes share a component.
+    A pair is in a star, or both its classes branch on; a child gives nothing if one star (a bit of `stars` for
+    each level) holds all of it. Nodes of one component give none.
     """
-    found = None
-    for level in range(depth):
+    found, level = None, 0
+    rows = rows.select("node", "rep", "s1", "s2", *(F.lit(0).cast("long").alias(c) for c in ("parent", "stalled", "stars")))
+    while True:
         parts = rows.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = cut(parts)
-        sizes = cut(parts.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node", "n"))
-        small = cut(parts.join(sizes.where(F.col("n") <= leaf).select("node"), "node"))
+        sizes = parts.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_and("stars").alias("all"), F.max("parent").alias("p"), F.max("stalled").alias("t"))
+        same = F.col("n") * PARTED > F.col("p") * (PARTED - 1)
+        sizes = cut(sizes.where("lo <> hi and all = 0").select("node", "n", F.when((F.col("p") > 0) & same, F.col("t") + 1).otherwise(0).alias("t")))
+        small = cut(parts.join(sizes.where(F.col("n") <= leaf).select("node"), "node").select("node", "rep", "component", "s1", "s2"))
         other = small.select("node", F.col("rep").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("component").alias("other"))
         near = small.join(other, "node").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")) & (different("s1", "s2", "b1", "b2") <= MOST_DIFFERENT))
         edges = near.select(F.col("rep").alias("a"), "b")
-        large = cut(parts.join(sizes.where(F.col("n") > leaf).select("node"), "node").select("node", "rep", "s1", "s2"))
+        ends = (F.col("n") <= whole) | (F.col("t") >= STALLS)
+        middle = cut(parts.join(sizes.where((F.col("n") > leaf) & ends).select("node", "n"), "node").select("node", "n", "rep", "component", "s1", "s2"))
+        edges = edges.union(compare_nodes(middle, most))
+        large = cut(parts.join(sizes.where((F.col("n") > leaf) & ~ends).select("node", "n", "t"), "node").select("node", "n", "t", "rep", "s1", "s2", "stars"))
         any_large = bool(large.head(1))
         if any_large:
             star = cut(large.join(medoids(large), "node").withColumn("off", different("s1", "s2", "p1", "p2")))
             edges = edges.union(star.where((F.col("off") <= FAMILY_DIFFERENT) & (F.col("rep") != F.col("a"))).select("a", F.col("rep").alias("b")))
-        edges = cut(edges.distinct())
+        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = edges if found is None else found.union(edges)
-        if not any_large or level == depth - 1:
+        if not any_large:
             return found
-        apart = star.where(F.col("off") > FAMILY_DIFFERENT).select("node", "rep", "s1", "s2")
-        rows = cut(branch(apart.join(classes.select("rep", "minima"), "rep").select("node", "rep", "s1", "s2", "minima")))
-    return found
+        held = F.when(F.col("off") <= FAMILY_DIFFERENT, 1 << level if level < 62 else 0).otherwise(0).cast("long")
+        apart = star.where(F.col("off") > FAMILY_DIFFERENT - MOST_DIFFERENT).select("node", "rep", "s1", "s2", F.col("n").alias("parent"), F.col("t").cast("long").alias("stalled"), F.col("stars").bitwiseOR(held).alias("stars"))
+        rows = cut(branch(apart.join(classes.select("rep", "minima"), "rep").select("node", "rep", "s1", "s2", "parent", "stalled", "stars", "minima")))
+        level += 1
 
 
 def compare_tile(k: int, percent: int):
@@ -267,7 +317,7 @@ def confirm_families(edges: DataFrame, known: DataFrame, classes: DataFrame, doc
     return cut(laid.groupBy("tile").applyInPandas(compare_tile(k, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     rows = cut(sketch(docs, k))
     classes = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("minima").alias("minima"))
@@ -279,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, trees:
     best = star.groupBy(F.col("rep").alias("b")).agg(F.min(F.struct("off", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = confirm(cut(best), docs, k, percent)
     known = cut(components(links))
-    links = links.union(confirm_families(families(nodes, known, classes, leaf, depth), known, classes, docs, k, percent, tile_bytes))
+    links = links.union(confirm_families(families(nodes, known, classes, leaf), known, classes, docs, k, percent, tile_bytes))
 
     merged = cut(components(links))
     reps = cut(classes.select("fp", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))

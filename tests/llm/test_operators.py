@@ -206,6 +206,31 @@ def test_near_duplicates(spark, odd, none):
     assert {x.doc_id: x.component_id for x in out.collect()} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("most", [neardup.MOST, 64])
+def test_families_hold_all_near_pairs(spark, most):
+    """A node that branching doesn't part, with a pair far from its medoid, and one with a side within FAMILY_DIFFERENT and one beyond."""
+    r = np.random.default_rng(4)
+    bits = r.integers(0, 4, (200, neardup.COORDINATES))
+    bits[2:60] = bits[2]
+    bits[100, :40] = bits[2, :40]  # 24 from the many equal ones at most
+    bits[101] = bits[100]
+    bits[101, :20] = (bits[100, :20] + 1) % 4
+    bits[151] = bits[150]
+    bits[151, :8] = (bits[150, :8] + 1) % 4
+    s = neardup.two_bits(bits)
+    off = (bits[:, None] != bits[None]).sum(axis=2)
+    assert off[100, 2] <= neardup.FAMILY_DIFFERENT < off[101, 2] and off[100, 101] == 20 and off[150, 2] > neardup.FAMILY_DIFFERENT
+    minima = np.zeros(neardup.COORDINATES, "<u4").tobytes()
+    rows = spark.createDataFrame([(7, i, *map(int, s[i])) for i in range(200)], "node long, rep long, s1 long, s2 long")
+    classes = spark.createDataFrame([(i, bytearray(minima)) for i in range(200)], "rep long, minima binary")
+    known = spark.createDataFrame([(i, 2) for i in range(2, 60)], "id long, component long")
+    found = components(neardup.families(rows, known, classes, 32, most, most))
+    got = {x.id: x.component for x in found.collect()}
+    component = [2 if 2 <= i < 60 else i for i in range(200)]
+    near = [(i, j) for i in range(200) for j in range(i) if off[i, j] <= neardup.MOST_DIFFERENT and component[i] != component[j]]
+    assert (101, 100) in near and (151, 150) in near and all(got.get(i, -1) == got.get(j, -2) for i, j in near)
+
+
 def test_quality(spark, odd, none, small):
     def brute(text):
         own = words(text)
