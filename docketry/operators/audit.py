@@ -82,7 +82,10 @@ def reused_children(children: DataFrame) -> DataFrame:
 
 
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row of counts for two corpora (id, text): overlaps, texts that disagree, prefixes, texts under other ids, distinct union."""
+    """One row of counts for two corpora (id, text): overlaps, texts that disagree, prefixes, texts under other ids, distinct union.
+
+    Pairs of equal texts under other ids are counted from the sizes of both sides' groups and never made.
+    """
     left, right = (df.select("id", compact(F.col("text")).alias(n)) for df, n in ((a, "l"), (b, "r")))
     met = left.join(right, "id", "full_outer")
     prefix = F.col("l").startswith(F.col("r")) | F.col("r").startswith(F.col("l"))
@@ -90,8 +93,12 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count("l").alias("n_a"), F.count("r").alias("n_b"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("same_id"),
         F.count_if(F.col("l") == F.col("r")).alias("same_text"), F.count_if((F.col("l") != F.col("r")) & prefix).alias("prefix_text"), F.count_if((F.col("l") != F.col("r")) & ~prefix).alias("other_text"), F.count("*").alias("union_ids"),
     )
-    moved = left.select(F.col("id").alias("i"), F.sha2("l", 256).alias("k")).join(right.select(F.col("id").alias("j"), F.sha2("r", 256).alias("k")), "k").where("i <> j")
-    return counts.crossJoin(moved.agg(F.count("*").alias("text_under_other_id")))
+    keyed = lambda df, text, n: df.where(F.col("id").isNotNull() & F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("k"), "id").agg(F.count("*").alias(n))
+    x, y = keyed(left, "l", "n"), keyed(right, "r", "m")
+    pairs = x.groupBy("k").agg(F.sum("n").alias("n")).join(y.groupBy("k").agg(F.sum("m").alias("m")), "k")
+    own = x.join(y, ["k", "id"])
+    total = lambda df, name: df.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias(name))
+    return counts.crossJoin(total(pairs, "all").crossJoin(total(own, "same")).select((F.col("all") - F.col("same")).alias("text_under_other_id")))
 
 
 def unresolved(df: DataFrame, ident: str, refs: str, known: str) -> DataFrame:

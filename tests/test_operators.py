@@ -111,6 +111,15 @@ def test_audit(spark):
     assert gaps == {("missing", 2), ("missing", 3), ("unexpected", 5), ("duplicate", 1)}
 
 
+def test_reconcile_makes_no_pairs_of_copies(spark):
+    a = spark.createDataFrame([(1, "x y"), (1, "xy"), (2, "xy"), (3, None), (None, "xy"), (4, "z")], "id long, text string")
+    b = spark.createDataFrame([(1, "xy"), (5, "x y"), (3, None), (None, "xy"), (4, "z")], "id long, text string")
+    assert audit.reconcile(a, b).first()["text_under_other_id"] == 4
+    n = 200_000
+    copies = spark.range(n).withColumn("text", F.lit("a"))
+    assert audit.reconcile(copies, copies).first()["text_under_other_id"] == n * n - n
+
+
 def test_graph_release_depends_on_no_order(spark):
     nodes = graph.node_table("A", spark.range(50), "id", ["id"])
     edges = graph.edge_table("E", spark.range(50).withColumn("t", F.col("id") + 1), ("A", "id"), ("A", "t"))
