@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,12 +12,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 #: A word, as all contracts here define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table with at most so many rows and bytes of keys may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+#: Bytes that a task writes, where the size of what is written is known.
+TASK_BYTES = 4 << 20
+#: Bits of the bitmap that screens the keys of a join.
+BITS = 1 << 26
 
 _own_dir: dict[str, str] = {}
 
@@ -26,20 +32,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own if all run on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_dir[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back, so that its lineage ends there and lost executors cost nothing before it."""
+def cut(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back, so that its lineage ends there and lost executors cost nothing before it.
+
+    size: about its bytes, where they are known; it is then written by as many tasks as TASK_BYTES ask for, and not in tiny files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if size is not None:
+        df = df.coalesce(int(size) // TASK_BYTES + 8)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,28 +101,57 @@ def global_index(df: DataFrame, keys: list[str | Column], weight: str | None = N
     return laid.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(name, (F.col("__in") + F.col("__off")).cast("long")).drop("__at", "__part", "__in", "__p", "__off")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def numbered(docs: DataFrame, ident: str, nulls_first: bool = False) -> tuple[DataFrame, bool]:
+    """((row, doc), plain): doc is the whole row as a struct; row tells rows apart and is in the order of ident.
+
+    Where ident is a whole number that tells all rows apart, it is the row itself (plain); else the table is
+    sorted and written once more, rows of equal ident in the order of their hashes.
+    """
+    packed = docs.select(F.col(ident).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    if isinstance(docs.schema[ident].dataType, IntegralType):
+        if not docs.groupBy(ident).agg(F.count("*").alias("n")).where(F.col(ident).isNull() | (F.col("n") > 1)).head(1):
+            return packed.select(F.col("key").cast("long").alias("row"), "doc"), True
+    first = F.col("key").asc_nulls_first() if nulls_first else F.col("key").asc_nulls_last()
+    return global_index(packed, [first, F.xxhash64("doc")], name="row").select("row", "doc"), False
+
+
+def screened(df: DataFrame, key: str, ids: DataFrame, name: str = "may") -> DataFrame:
+    """Adds whether ids (one long column) may hold a row's key: never false where it does. For joins that most rows don't pass.
+
+    A bitmap of BITS hashed bits, 8 MB at most, is broadcast at every size; when ids are very many it only says yes more often.
+    """
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+    hashed = ids.select(place(F.col(ids.columns[0])).alias("__h"))
+    maps = hashed.groupBy(F.expr("__h div 32768").alias("__bucket")).agg(F.bitmap_construct_agg(F.col("__h") % 32768).alias("__bits"))
+    held = df.withColumn("__h", place(F.col(key))).join(F.broadcast(maps), F.expr("__h div 32768 = __bucket"), "left")
+    bit = "shiftright(cast(conv(hex(substring(__bits, cast(__h % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(__h % 8 as int)) & 1"
+    return held.withColumn(name, F.coalesce(F.expr(bit) == 1, F.lit(False))).drop("__h", "__bucket", "__bits")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): (id, component), component the smallest id reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014), each written to the shared
-    folder. Minima are pre-aggregated map-side; a hub's rows meet it in an equi-join that AQE can split.
+    Hash-to-min (Rastogi et al. 2013): in each round every node sends the smallest of itself and its neighbours to
+    all of them; edges that no longer change are stars around the components' smallest ids. Each round is written to
+    the shared folder. Minima are pre-aggregated map-side, and a hub's rows meet its minimum in an equi-join of two
+    tables, which AQE can split. Raises if the rounds do not settle.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    size = 16 * edges.count()
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), size)
     seen = None
     for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut(small.where("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    found = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    return found.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        if now == seen or not now[0]:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        seen, size = now, 16 * now[0]
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), size)
+        sent = both.hint("merge").join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b"))
+        edges = cut(sent.where("a <> b").distinct(), size)
+    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
 
 
 # Inside tasks: Arrow batches and numpy.
@@ -180,3 +222,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places starts[i], starts[i] + 1, ... (counts[i] of them), one run after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)

@@ -1,27 +1,29 @@
 """Near-duplicates by a chosen-path set similarity join over minwise sketches.
 
-Texts with equal shingle sets form a class; from here on only one row per class counts. TREES
-independent trees branch the classes: a node picks minwise coordinates (1 / threshold of them on
-average), and a class goes to the child of its token at each. Then
-
-1. every class meets the medoids of its nodes (the class nearest to a sample of the node), and the best
-   of them is confirmed on full sets; linked pairs join components;
-2. nodes of several components give families of classes that may still be linked. A node of up to WHOLE
-   classes gives its pairs of near sketches, from a join (LEAF classes) or from numpy. A larger one gives a star
-   around its medoid, and branches again without what is so near the medoid that all it may be linked with is
-   in the star. A node that STALLS times has not been parted is compared whole as well, a pair of blocks of
-   MOST classes a task. A family is compared exhaustively but for pairs connected already: its texts go to one task, or, cut
-   into blocks of TILE_BYTES, to one task for each pair of blocks.
-
-A 128-bit sketch drops pairs far below the threshold (5 standard deviations) before full sets are
-read. Connected pairs need no further comparison, so large groups of near copies cost a star, and not
-all their pairs. At similarity 0.8 and 16 trees a pair of a small
-group is missed with probability under 1e-12, one of a large group under 1e-4 (of a pair that no
-other document connects).
-
-Defined cases: null or wordless text has an empty set and links with nothing; fewer words than K are
-one shingle. Rows without doc_id link with nothing but equal sets; rows that share a doc_id are
-one document. Ties: the smallest doc_id represents. Empty table: empty result.
+Texts with equal shingle sets form a class; from here on only one row per class counts.
+
+1. Candidates, from sketches alone. TREES independent trees branch the classes: a node picks minwise coordinates
+   (1 / threshold of them on average), and a class goes to the child of its token at each. Nodes of one class
+   end. Classes of a node of up to WHOLE classes are compared exhaustively by their 128-bit sketches, which drop
+   pairs far below the threshold (5 standard deviations). A larger node gives a star around its medoid, and branches
+   again without what is so near the medoid that all it may be linked with is in the star; one that STALLS times
+   has not been parted is compared whole, a pair of blocks of MOST classes a task. Each comparison gives edges that
+   join its near sketches, as many as classes at most; their components are the families.
+2. Links, on full sets. A family's texts go to one task, once. A family of over TILE_BYTES is cut into blocks: each is
+   compared in itself and with PIVOTS classes of the whole family; then pairs of blocks compare sketches, and only classes
+   with a near one in another component send their texts to meet. Connected classes need no further comparison, so that
+   large groups of near copies cost little more than a star.
+
+At similarity 0.8 and 16 trees a pair of a small group is missed with probability under 1e-12, one of a large
+group under 1e-4 (of a pair that no other document connects). Joins with texts first drop what a bitmap of
+bounded size tells apart, so that only texts of families move.
+
+Every row is a document of its own, also with a null doc_id or one that others share: its text alone says what it links
+with. Defined cases: null or wordless text has an empty set and links with nothing; fewer words than K are one
+shingle. component_id is the smallest doc_id that is not null of the component, null if there is none, and kept says
+whether doc_id equals it; drop_near_duplicates keeps exactly one row of each component. Doc_ids that aren't whole
+numbers, repeated and null ones cost one more copy of the table. All other columns are kept, whatever their names.
+Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -35,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import by_bytes, components, cut, mix64, split_words, table, windows, word_codes
+from docketry.llm.common import by_bytes, components, cut, gather, mix64, numbered, screened, split_words, table, windows, word_codes
 
-K, PERCENT, COORDINATES, TREES, LEAF, SAMPLES = 4, 80, 64, 16, 32, 8
+K, PERCENT, COORDINATES, TREES, LEAF, SAMPLES, PIVOTS = 4, 80, 64, 16, 32, 8, 8
 #: Sketches of a block, and of a node that does not branch; a child with over 1 - 1 / PARTED of its parent's classes has not parted it.
-MOST, WHOLE, STALLS, PARTED = 4096, 16384, 4, 10
+MOST, WHOLE, STALLS, PARTED = 4096, 4096, 4, 10
 #: Of 64 two-bit coordinates a pair at the threshold differs in 9.6 on average, standard deviation 2.9.
 MOST_DIFFERENT = 24
 #: Classes that differ from a medoid in so many coordinates at most are its family. Differences are a metric: what
 #: differs in FAMILY_DIFFERENT - MOST_DIFFERENT at most has all its near sketches in the family.
-FAMILY_DIFFERENT, TILE_BYTES = 32, 1 << 20
+FAMILY_DIFFERENT, TILE_BYTES, ROW_BYTES = 32, 4 << 20, 1024
 
 
 def word_hashes(distinct: pa.Array) -> np.ndarray:
@@ -91,8 +93,8 @@ def two_bits(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
 
 
-def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, fp, s1, s2, minima): fp is a 128-bit digest of the whole set."""
+def sketch(rows: DataFrame, k: int) -> DataFrame:
+    """(row, n_shingles, fp, s1, s2, minima) of rows (row, text): fp is a 128-bit digest of the whole set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
@@ -101,11 +103,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             s = two_bits(minima)
             fp = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([m.tobytes() for m in minima], pa.binary())],
-                names=["doc_id", "n_shingles", "fp", "s1", "s2", "minima"],
+                [batch.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([m.tobytes() for m in minima], pa.binary())],
+                names=["row", "n_shingles", "fp", "s1", "s2", "minima"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, s1 long, s2 long, minima binary")
+    return rows.select("row", "text").mapInArrow(run, "row long, n_shingles long, fp binary, s1 long, s2 long, minima binary")
 
 
 def children(nodes: np.ndarray, minima: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -152,25 +154,6 @@ def different(*names: str) -> Column:
     return differing(*map(F.col, names))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(by_bytes(batches, "text_a", 2 << 20), "text_b", 2 << 20):
-            left, right = (shingle_sets(batch.column(c), k) for c in ("text_a", "text_b"))
-            linked = []
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
-            yield batch.filter(pa.array(linked)).select(["a", "b"])
-
-    held = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    held = held.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return cut(held.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
-
-
 def medoids(nodes: DataFrame) -> DataFrame:
     """(node, a, p1, p2): of each node the class that is nearest, in sum, to a few random ones of it."""
     some = nodes.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(SAMPLES)).alias("g")).agg(F.min_by(F.struct("s1", "s2"), F.xxhash64("node", "rep")).alias("x"))
@@ -179,169 +162,229 @@ def medoids(nodes: DataFrame) -> DataFrame:
     return cut(nodes.join(some, "node").withColumn("off", off).groupBy("node").agg(F.min(F.struct("off", "rep", "s1", "s2")).alias("p")).select("node", F.col("p.rep").alias("a"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
 
 
+def off_by(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Coordinates in which rows of sketches (two words each) differ."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.uint8)
+
+
+def roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, after pairs (i, j) have joined components of root."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        low = np.arange(len(root))
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (low[low] != low).any():
+            low = low[low]
+        root = low[root]
+
+
 def near_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For applyInPandas: edges (a, b) that join, within each node, all classes with near sketches that share no component."""
-    out = []
-    for _, rows in pdf.groupby("node"):
-        rep, component, own = (rows[c].to_numpy() for c in ("rep", "component", "block"))
-        across = rows["low"].iat[0] != rows["high"].iat[0]  # pairs within a block are another tile's
-        s = rows[["s1", "s2"]].to_numpy().view(np.uint64)
-        joined, n = np.arange(len(rows)), len(rows)
-        for lo in range(0, n, 64):
-            off = np.zeros((len(s[lo : lo + 64]), n - lo), np.uint8)
-            for word in s.T:
-                x = word[lo : lo + 64, None] ^ word[None, lo:]
-                off += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-            near = (off <= MOST_DIFFERENT) & (component[lo : lo + 64, None] != component[None, lo:])
-            if across:
-                near &= own[lo : lo + 64, None] != own[None, lo:]
-            for i in np.flatnonzero(near.any(axis=1)).tolist():
-                found = lo + np.flatnonzero(near[i])
-                groups, first = np.unique(joined[found], return_index=True)
-                new = groups != joined[lo + i]
-                if new.any():
-                    out.append(np.stack([np.full(int(new.sum()), rep[lo + i]), rep[found[first[new]]]], axis=1))
-                    joined[np.isin(joined, groups)] = joined[lo + i]
-    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+    """For applyInPandas: edges (a, b) that join, within each node, all classes with near sketches; in a tile of two blocks, those of pairs across."""
+    pdf = pdf.sort_values(["node", "rep"], ignore_index=True)
+    node, rep, own = (pdf[c].to_numpy() for c in ("node", "rep", "block"))
+    across = (pdf["low"] != pdf["high"]).to_numpy()
+    s = pdf[["s1", "s2"]].to_numpy().view(np.uint64)
+    root, starts = np.arange(len(pdf)), np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+    sizes = np.diff(starts)
+    small = np.repeat(sizes <= LEAF, sizes)
+    for lag in range(1, min(LEAF, int(sizes.max()))):  # small nodes, all at once
+        i = np.flatnonzero((node[:-lag] == node[lag:]) & small[:-lag])
+        i = i[off_by(s[i], s[i + lag]) <= MOST_DIFFERENT]
+        i = i[~across[i] | (own[i] != own[i + lag])]
+        root = roots(root, i, i + lag)
+    for lo, hi in zip(starts[:-1][sizes > LEAF].tolist(), starts[1:][sizes > LEAF].tolist(), strict=True):
+        for at in range(lo, hi, 256):
+            end = min(at + 256, hi)
+            near = (off_by(s[at:end, None], s[None, at:hi]) <= MOST_DIFFERENT) & (root[at:end, None] != root[None, at:hi])
+            if across[lo]:
+                near &= own[at:end, None] != own[None, at:hi]
+            i, j = np.nonzero(near)
+            root = roots(root, i + at, j + at)
+    joined = np.flatnonzero(root != np.arange(len(root)))
+    return pd.DataFrame({"a": rep[root[joined]], "b": rep[joined]})
 
 
 def compare_nodes(rows: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) of near sketches within nodes, from rows (node, n, rep, component, s1, s2): nodes of up to `most` classes share tasks, of larger ones each pair of blocks is a task's."""
+    """Edges (a, b) of near sketches within nodes, from rows (node, n, rep, s1, s2): nodes of up to `most` classes share tasks, of larger ones each pair of blocks is a task's."""
     some = rows.where(F.col("n") <= most).count()
     laid = rows.withColumn("blocks", F.ceil(F.col("n") / most)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("node"), F.lit(some // (4 * most) + 1))).otherwise(F.xxhash64("node", low, high))
-    return laid.select(tile.alias("tile"), "node", low.alias("low"), high.alias("high"), "block", "rep", "component", "s1", "s2").groupBy("tile").applyInPandas(near_sketches, "a long, b long")
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("node"), F.lit(some // (2 * most) + 1))).otherwise(F.xxhash64("node", low, high))
+    return laid.select(tile.alias("tile"), "node", low.alias("low"), high.alias("high"), "block", "rep", "s1", "s2").groupBy("tile").applyInPandas(near_sketches, "a long, b long")
 
 
-def families(rows: DataFrame, known: DataFrame, classes: DataFrame, leaf: int = LEAF, most: int = MOST, whole: int = WHOLE) -> DataFrame:
-    """Edges (a, b) between classes that may be linked and share no component yet; their components are compared as a whole.
+def candidates(classes: DataFrame, trees: int = TREES, most: int = MOST, whole: int = WHOLE) -> DataFrame:
+    """Edges (a, b) between classes (rep, s1, s2, minima); classes with near sketches that share a node are joined by edges.
 
-    Every pair of near sketches in a node of rows (node, rep, s1, s2) is joined by edges, or its classes share a component.
-    A pair is in a star, or both its classes branch on; a child gives nothing if one star (a bit of `stars` for
-    each level) holds all of it. Nodes of one component give none.
+    A pair is in a star, or both its classes branch on; a child gives nothing if one star (a bit of `stars` for each level) holds all of it.
     """
-    found, level = None, 0
-    rows = rows.select("node", "rep", "s1", "s2", *(F.lit(0).cast("long").alias(c) for c in ("parent", "stalled", "stars")))
+    found, level, many = None, 0, classes.count()
+    zeros = [F.lit(0).cast("long").alias(c) for c in ("parent", "stalled", "stars")]
+    rows = branch(classes.select("rep", "s1", "s2", "minima"), trees).select("*", *zeros)
     while True:
-        parts = rows.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        parts = cut(parts)
-        sizes = parts.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_and("stars").alias("all"), F.max("parent").alias("p"), F.max("stalled").alias("t"))
-        same = F.col("n") * PARTED > F.col("p") * (PARTED - 1)
-        sizes = cut(sizes.where("lo <> hi and all = 0").select("node", "n", F.when((F.col("p") > 0) & same, F.col("t") + 1).otherwise(0).alias("t")))
-        small = cut(parts.join(sizes.where(F.col("n") <= leaf).select("node"), "node").select("node", "rep", "component", "s1", "s2"))
-        other = small.select("node", F.col("rep").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("component").alias("other"))
-        near = small.join(other, "node").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")) & (different("s1", "s2", "b1", "b2") <= MOST_DIFFERENT))
-        edges = near.select(F.col("rep").alias("a"), "b")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_and("stars").alias("all"), F.max("parent").alias("p"), F.max("stalled").alias("t"))
+        same = (F.col("p") > 0) & (F.col("n") * PARTED > F.col("p") * (PARTED - 1))
+        sizes = cut(sizes.where("n > 1 and all = 0").select("node", "n", F.when(same, F.col("t") + 1).otherwise(0).alias("t")), 64 * many)
+        many = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = cut(rows.join(sizes.hint("merge"), "node").select("node", "n", "t", "rep", "s1", "s2", "stars"), 48 * many)
         ends = (F.col("n") <= whole) | (F.col("t") >= STALLS)
-        middle = cut(parts.join(sizes.where((F.col("n") > leaf) & ends).select("node", "n"), "node").select("node", "n", "rep", "component", "s1", "s2"))
-        edges = edges.union(compare_nodes(middle, most))
-        large = cut(parts.join(sizes.where((F.col("n") > leaf) & ~ends).select("node", "n", "t"), "node").select("node", "n", "t", "rep", "s1", "s2", "stars"))
+        edges = compare_nodes(rows.where(ends), most)
+        large = rows.where(~ends)
         any_large = bool(large.head(1))
         if any_large:
-            star = cut(large.join(medoids(large), "node").withColumn("off", different("s1", "s2", "p1", "p2")))
+            large = cut(large, 48 * many)
+            star = cut(large.join(medoids(large), "node").withColumn("off", different("s1", "s2", "p1", "p2")), 72 * many)
             edges = edges.union(star.where((F.col("off") <= FAMILY_DIFFERENT) & (F.col("rep") != F.col("a"))).select("a", F.col("rep").alias("b")))
-        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), 16 * many)
         found = edges if found is None else found.union(edges)
         if not any_large:
             return found
         held = F.when(F.col("off") <= FAMILY_DIFFERENT, 1 << level if level < 62 else 0).otherwise(0).cast("long")
         apart = star.where(F.col("off") > FAMILY_DIFFERENT - MOST_DIFFERENT).select("node", "rep", "s1", "s2", F.col("n").alias("parent"), F.col("t").cast("long").alias("stalled"), F.col("stars").bitwiseOR(held).alias("stars"))
-        rows = cut(branch(apart.join(classes.select("rep", "minima"), "rep").select("node", "rep", "s1", "s2", "parent", "stalled", "stars", "minima")))
+        rows = cut(branch(apart.join(classes.select("rep", "minima"), "rep").select("node", "rep", "s1", "s2", "parent", "stalled", "stars", "minima")), 72 * many)
         level += 1
 
 
+def linked(sets: list[np.ndarray], sketches: np.ndarray, label: np.ndarray, own: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join all components of label (0 .. n - 1 in any order) which links between rows of one family connect.
+
+    A row is compared only with near sketches of other components, and with many at once through the rows of each of its shingles.
+    """
+    n, links = len(sets), []
+    near = np.zeros((n, n), bool)
+    for at in range(0, n, 256):
+        near[at : at + 256] = off_by(sketches[at : at + 256, None], sketches[None]) <= MOST_DIFFERENT
+    near &= label[:, None] != label[None]
+    if across:
+        near &= own[:, None] != own[None]
+    size = np.array([len(x) for x in sets])
+    holders = None
+    for i in np.argsort(-near.sum(axis=1), kind="stable").tolist():
+        rest = np.flatnonzero(near[i] & (label != label[i]))
+        if not len(rest):
+            continue
+        if len(rest) > 4 and holders is None:  # the rows that hold each shingle
+            code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            holders = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+            counts = np.bincount(code)
+            starts, bounds = np.cumsum(counts) - counts, np.cumsum(size) - size
+        if len(rest) > 4:
+            mine = code[bounds[i] : bounds[i] + size[i]]
+            both = np.bincount(holders[gather(starts[mine], counts[mine])], minlength=n)[rest]
+        else:
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in rest.tolist()])
+        for j in rest[(100 * both >= percent * (size[i] + size[rest] - both)) & (both > 0)].tolist():
+            if label[i] != label[j]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
 def compare_tile(k: int, percent: int):
-    """For applyInPandas: links (a, b) among the rows of a tile; rows that are connected already are not compared."""
+    """For applyInPandas: links (a, b) that connect the rows of a tile within each family, from their full sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        rep, family, links = pdf["rep"].to_numpy(), pdf["family"].to_numpy(), []
-        left, right = (pdf[c].to_numpy() for c in ("low", "high"))
-        own = pdf["block"].to_numpy()
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        first: dict[int, int] = {}
-        for i, c in enumerate(pdf["component"]):
-            root[find(i)] = find(first.setdefault(c, i))
-        sets: dict[int, np.ndarray] = {}
-
-        def shingles(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_sets(pa.array([pdf["text"][i]]), k)[0]
-            return sets[i]
-
+        pdf = pdf.sort_values(["family", "rep"], ignore_index=True)
+        rep, family, own = (pdf[c].to_numpy() for c in ("rep", "family", "block"))
+        component = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
         s = pdf[["s1", "s2"]].to_numpy().view(np.uint64)
-        for f in np.unique(family):
-            rows = np.flatnonzero(family == f)
-            for at, i in enumerate(rows[:-1].tolist()):
-                rest = rows[at + 1 :]
-                x = s[rest] ^ s[i]
-                off = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
-                good = off <= MOST_DIFFERENT
-                if left[i] != right[i]:  # a tile of two blocks: pairs within a block are another tile's
-                    good &= own[rest] != own[i]
-                for j in rest[good][np.argsort(off[good], kind="stable")].tolist():
-                    if find(i) != find(j):
-                        both = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
-                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) > 0:
-                            links.append((rep[i], rep[j]))
-                            root[find(j)] = find(i)
+        across = (pdf["low"] != pdf["high"]).to_numpy()
+        starts, links = np.flatnonzero(np.r_[True, family[1:] != family[:-1], True]), []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            sets = shingle_sets(pa.array(pdf["text"].iloc[lo:hi], pa.large_string()), k)
+            for i, j in linked(sets, s[lo:hi], component[lo:hi].copy(), own[lo:hi], bool(across[lo]), percent):
+                links.append((rep[lo + i], rep[lo + j]))
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def confirm_families(edges: DataFrame, known: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, tile_bytes: int) -> DataFrame:
-    """Links within the components of edges. Each component's texts go to a task once; large ones are cut into blocks, and each pair of blocks is a task's."""
-    joined = cut(components(edges).withColumnsRenamed({"id": "rep", "component": "family"}))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(joined, "rep").dropDuplicates(["rep"])
-    texts = texts.join(classes.select("rep", "s1", "s2"), "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    texts = cut(texts)
-    weight = (F.octet_length("text") + 200).cast("long")
-    sizes = cut(texts.groupBy("family").agg(F.sum(weight).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / tile_bytes).cast("int")))
-    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    buckets = int(small // tile_bytes) + 1
-    laid = texts.join(sizes.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def near_across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For applyInPandas: the rows of two blocks with a near sketch of another component in the other block."""
+    s, component, own = pdf[["s1", "s2"]].to_numpy().view(np.uint64), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+    met = np.zeros(len(pdf), bool)
+    for at in range(0, len(pdf), 256):
+        part = slice(at, at + 256)
+        near = (off_by(s[part, None], s[None]) <= MOST_DIFFERENT) & (component[part, None] != component[None]) & (own[part, None] != own[None])
+        met[part] = near.any(axis=1)
+    return pdf[met]
+
+
+LAID = "tile long, low long, high long, block long, family long, component long, rep long, s1 long, s2 long"
+
+
+def compare_texts(laid: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among the rows of each tile of laid (LAID), whose texts come from keyed (row, text)."""
+    texts = screened(keyed, "row", laid.select("rep")).where("may").select(F.col("row").alias("rep"), "text")
+    return cut(texts.hint("merge").join(laid, "rep").groupBy("tile").applyInPandas(compare_tile(k, percent), "a long, b long"))
+
+
+def family_links(edges: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, percent: int, tile_bytes: int) -> DataFrame:
+    """Links that connect what links between the classes of each component of edges connect."""
+    families = components(edges).withColumnsRenamed({"id": "rep", "component": "family"})
+    many = families.count()
+    members = cut(families.join(classes.select("rep", "s1", "s2", (F.col("n_shingles") * 8 + ROW_BYTES).alias("bytes")), "rep"), 40 * many)
+    sizes = cut(members.groupBy("family").agg(F.sum("bytes").alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / tile_bytes)), 24 * many)
+    about = sizes.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))), F.lit(0)).alias("small"), F.coalesce(F.max("blocks"), F.lit(0)).alias("most")).first()
+    laid = members.join(sizes.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    laid = cut(laid.select("rep", "family", "s1", "s2", "blocks", "block"), 48 * many)
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(int(about["small"]) // tile_bytes + 1))).otherwise(F.xxhash64("family", "block"))
+    columns = [x.split()[0] for x in LAID.split(", ")]
+    alone = laid.select(tile.alias("tile"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "block", "family", F.col("rep").alias("component"), "rep", "s1", "s2")
+    if about["most"] <= 1:
+        return compare_texts(alone, keyed, k, percent)
+    large = laid.where("blocks > 1")
+    spread = large.groupBy("family", "blocks", F.pmod(F.xxhash64("rep", "family"), F.lit(PIVOTS)).alias("g")).agg(F.min_by(F.struct("rep", "s1", "s2", "block"), F.xxhash64("rep")).alias("x"))
+    spread = spread.select("family", "x.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("other <> block").withColumn("component", F.col("rep"))
+    spread = spread.select(F.xxhash64("family", "other").alias("tile"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "block", "family", "component", "rep", "s1", "s2")
+    first = compare_texts(alone.union(spread), keyed, k, percent)
+    known = components(first.join(large.select(F.col("rep").alias("a")), "a"))
+    parts = cut(large.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), 56 * many)
+    several = parts.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
+    pairs = parts.join(cut(several, 0), "family").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(F.xxhash64("family", low, high))
-    laid = laid.select(tile.alias("tile"), low.alias("low"), high.alias("high"), "block", "family", "rep", "component", "s1", "s2", "text")
-    return cut(laid.groupBy("tile").applyInPandas(compare_tile(k, percent), "a long, b long"))
+    pairs = pairs.select(F.xxhash64("family", low, high).alias("tile"), low.alias("low"), high.alias("high"), "block", "family", "component", "rep", "s1", "s2")
+    met = cut(pairs.groupBy("tile").applyInPandas(near_across, LAID)).select(*columns)
+    return first.union(compare_texts(met, keyed, k, percent))
+
+
+def grouped(keyed: DataFrame, k: int = K, percent: int = PERCENT, trees: int = TREES, whole: int = WHOLE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(row, n_shingles, root) of keyed (row, text): root is the smallest row of the component."""
+    rows = cut(sketch(keyed, k))
+    classes = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "s1", "s2", "minima")))
+    classes = cut(classes, 320 * rows.count())
+    links = family_links(candidates(classes, trees, min(MOST, whole), whole), classes, keyed, k, percent, tile_bytes)
+    merged = components(links)
+    reps = classes.select("fp", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    out = rows.select("row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp")).join(reps, "fp", "left")
+    return cut(out.select("row", "n_shingles", F.coalesce("component", "row").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
-    rows = cut(sketch(docs, k))
-    classes = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("minima").alias("minima"))
-    classes = cut(classes)
-    nodes = cut(branch(classes.where("rep is not null").select("rep", "s1", "s2", "minima"), trees))
-    nodes = cut(nodes.join(cut(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")), "node"))
-
-    star = nodes.join(medoids(nodes), "node").where("rep <> a").withColumn("off", different("s1", "s2", "p1", "p2")).where(F.col("off") <= MOST_DIFFERENT)
-    best = star.groupBy(F.col("rep").alias("b")).agg(F.min(F.struct("off", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = confirm(cut(best), docs, k, percent)
-    known = cut(components(links))
-    links = links.union(confirm_families(families(nodes, known, classes, leaf), known, classes, docs, k, percent, tile_bytes))
-
-    merged = cut(components(links))
-    reps = cut(classes.select("fp", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp")).join(reps, "fp", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id <=> coalesce(component, doc_id)").alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents but for all except one of each group; row order and columns as they were."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed, plain = numbered(docs.select("doc_id", "text"), "doc_id")
+    found = grouped(keyed.select("row", F.col("doc.text").alias("text")), **options)
+    if plain:
+        ident = docs.schema["doc_id"].dataType
+        return found.select(F.col("row").cast(ident).alias("doc_id"), "n_shingles", F.col("root").cast(ident).alias("component_id"), (F.col("row") == F.col("root")).alias("kept"))
+    ids = keyed.select("row", F.col("doc.doc_id").alias("doc_id"))
+    found = found.join(ids, "row").join(ids.select(F.col("row").alias("root"), F.col("doc_id").alias("component_id")), "root")
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, **options) -> DataFrame:
+    """The rows of docs but for all except one of each component, the one of smallest doc_id; columns as they were."""
+    keyed, _ = numbered(docs, "doc_id")
+    gone = cut(grouped(keyed.select("row", F.col("doc.text").alias("text")), k, percent, **options).where("row <> root").select("row"))
+    marked = screened(keyed, "row", gone)
+    checked = marked.where("may").hint("merge").join(gone, "row", "left_anti")
+    return marked.where("not may").select("doc.*").union(checked.select("doc.*"))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,8 @@ def test_near_duplicates(spark, odd, none):
         by[r.doc_id].append(r)
     assert by[5][0].component_id == 5 and len(by[6]) == 2 and all(r.component_id == 5 and not r.kept for r in by[6])
     assert by[2][0].n_shingles == by[3][0].n_shingles == 0 and by[9][0].n_shingles == 1 and by[10][0].component_id == 9 and by[3][0].component_id == 3
-    assert neardup.near_duplicates(none).count() == 0
+    assert (by[None][0].component_id, by[None][0].kept) == (None, True)
+    assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
     r = np.random.default_rng(2)
     base = [[f"w{x}" for x in r.integers(0, 5000, 60)] for _ in range(6)]
     texts = []
@@ -202,12 +203,16 @@ def test_near_duplicates(spark, odd, none):
     sets = [{tuple(words(t)[i : i + 4]) for i in range(len(words(t)) - 3)} for t in texts]
     links = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = brute_components(150, links)
-    out = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {x.doc_id: x.component_id for x in out.collect()} == dict(enumerate(want))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"whole": 40, "tile_bytes": 20_000}):  # one task a family; nodes that branch on, and families in blocks
+        out = neardup.near_duplicates(frame, **options)
+        assert {x.doc_id: x.component_id for x in out.collect()} == dict(enumerate(want)), options
+    plain = neardup.near_duplicates(frame.select(F.col("doc_id").cast("string"), "text").repartition(5))
+    assert len({(want[int(x.doc_id)], x.component_id) for x in plain.collect()}) == len(set(want))
 
 
 @pytest.mark.parametrize("most", [neardup.MOST, 64])
-def test_families_hold_all_near_pairs(spark, most):
+def test_candidates_hold_all_near_pairs(spark, most):
     """A node that branching doesn't part, with a pair far from its medoid, and one with a side within FAMILY_DIFFERENT and one beyond."""
     r = np.random.default_rng(4)
     bits = r.integers(0, 4, (200, neardup.COORDINATES))
@@ -221,16 +226,26 @@ def test_families_hold_all_near_pairs(spark, most):
     off = (bits[:, None] != bits[None]).sum(axis=2)
     assert off[100, 2] <= neardup.FAMILY_DIFFERENT < off[101, 2] and off[100, 101] == 20 and off[150, 2] > neardup.FAMILY_DIFFERENT
     minima = np.zeros(neardup.COORDINATES, "<u4").tobytes()
-    rows = spark.createDataFrame([(7, i, *map(int, s[i])) for i in range(200)], "node long, rep long, s1 long, s2 long")
-    classes = spark.createDataFrame([(i, bytearray(minima)) for i in range(200)], "rep long, minima binary")
-    known = spark.createDataFrame([(i, 2) for i in range(2, 60)], "id long, component long")
-    found = components(neardup.families(rows, known, classes, 32, most, most))
-    got = {x.id: x.component for x in found.collect()}
-    component = [2 if 2 <= i < 60 else i for i in range(200)]
-    near = [(i, j) for i in range(200) for j in range(i) if off[i, j] <= neardup.MOST_DIFFERENT and component[i] != component[j]]
+    classes = spark.createDataFrame([(i, *map(int, s[i]), bytearray(minima)) for i in range(200)], "rep long, s1 long, s2 long, minima binary")
+    got = {x.id: x.component for x in components(neardup.candidates(classes, 1, most, most)).collect()}
+    near = [(i, j) for i in range(200) for j in range(i) if off[i, j] <= neardup.MOST_DIFFERENT]
     assert (101, 100) in near and (151, 150) in near and all(got.get(i, -1) == got.get(j, -2) for i, j in near)
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows are documents of their own: neither their order nor the ids they share changes what links."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b + " end"), (None, a), (None, a), (7, a), (7, a), (3, "c d")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame([(*x, i, "k", 1) for i, x in enumerate(order)], "doc_id long, text string, row int, key string, may int")
+        got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect()), key=str)
+        assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, 1, False), (7, 1, False), (7, 1, False), (3, 3, True)], key=str)
+        kept = neardup.drop_near_duplicates(frame)
+        assert kept.columns == frame.columns and sorted((r.doc_id, r.text, order[r.row] == (r.doc_id, r.text), r.key, r.may) for r in kept.collect()) == sorted([(1, a, True, "k", 1), (1, b, True, "k", 1), (3, "c d", True, "k", 1)])
+    nulls = spark.createDataFrame([(None, a), (None, a), (5, a)], "doc_id long, text string")
+    assert [r.doc_id for r in neardup.drop_near_duplicates(nulls).collect()] == [5]
+
+
 def test_quality(spark, odd, none, small):
     def brute(text):
         own = words(text)
