@@ -7,7 +7,9 @@ is the prototype of largest cosine, after the mean prototype, which all language
 
 Defined cases: null text and text without a letter: `und`, score 0. Null lang: not learned from. No
 training rows: `und` for all. Ties: the first language in code-point order. Repeated rows get equal
-results. Long texts are taken whole, in batches of bounded bytes.
+results. Long texts are taken whole, in pieces of about PIECE characters that end between words (a run of letters
+longer than that is cut). A worker holds the vectors of LIMIT trigrams at a time. Only doc_id, text and lang are
+read: other columns, whatever their names, play no part. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import by_bytes, mix64, owner, table
 
-DIM, SYMBOLS, SEED = 1024, 128, 5
+DIM, SYMBOLS, SEED, PIECE, LIMIT = 1024, 128, 5, 1 << 20, 1 << 15
 UNKNOWN = "und"
 
 
@@ -65,34 +67,82 @@ def gram_vectors(ids: np.ndarray) -> np.ndarray:
     return (np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]).astype(np.float32)
 
 
-class Grams:
-    """Vectors of the trigrams that a worker has met; of SYMBOLS^3 at most, and cleared when they are many."""
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, between which no trigram lies: text apart from letters gives none."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end > at + PIECE // 2 and text[end].isalpha():
+            end -= 1
+        if text[end].isalpha():
+            end = at + PIECE
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def pieced(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(pieces, the text of each), in groups of bounded size."""
+    held, own, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in pieces(text or ""):
+            held.append(piece)
+            own.append(i)
+            size += len(piece)
+            if size > 2 * PIECE:
+                yield held, np.array(own)
+                held, own, size = [], [], 0
+    if held:
+        yield held, np.array(own)
 
-    def __init__(self, limit: int = 1 << 15):
-        self.limit, self.row = limit, np.full(SYMBOLS**3, -1, np.int32)
-        self.vectors = np.zeros((0, DIM), np.float32)
 
-    def rows(self, ids: np.ndarray) -> np.ndarray:
-        new = np.unique(ids[self.row[ids] < 0])
-        if len(new):
-            if len(self.vectors) + len(new) > self.limit:
-                self.__init__(self.limit)
-                new = np.unique(ids)
-            self.row[new] = len(self.vectors) + np.arange(len(new))
-            self.vectors = np.concatenate([self.vectors, gram_vectors(new)])
-        return self.row[ids]
+class Grams:
+    """Sums of trigrams' vectors; of those that a worker has met it keeps LIMIT at most."""
+
+    def __init__(self, limit: int = LIMIT):
+        self.limit, self.row, self.n = limit, np.full(SYMBOLS**3, -1, np.int32), 0
+        self.vectors = np.zeros((limit, DIM), np.float32)
+
+    def load(self, ids: np.ndarray) -> None:
+        """Of the distinct ids, at most `limit`, the vectors are held."""
+        new = ids[self.row[ids] < 0]
+        if self.n + len(new) > self.limit:
+            self.row[:] = -1
+            self.n, new = 0, ids
+        self.row[new] = self.n + np.arange(len(new))
+        self.vectors[self.n : self.n + len(new)] = gram_vectors(new)
+        self.n += len(new)
+
+    def sums(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row for each text: the sum of its trigrams' vectors."""
+        out = np.zeros((len(offsets) - 1, DIM), np.float32)
+        distinct = np.unique(ids)
+        for at in range(0, len(distinct), self.limit):
+            part = distinct[at : at + self.limit]
+            self.load(part)
+            whole = len(part) == len(distinct)
+            for i, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                own = ids[lo:hi]
+                rows = self.row[own if whole else own[(own >= part[0]) & (own <= part[-1])]]
+                if len(rows):
+                    counts = np.bincount(rows)
+                    met = np.flatnonzero(counts)
+                    out[i] += counts[met].astype(np.float32) @ self.vectors[met]
+        return out
 
 
 def profile_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n): trigram counts of each language within a task's batches."""
     total: dict[str, np.ndarray] = {}
     for batch in by_bytes(batches, "text"):
-        ids, offsets = trigrams(batch.column("text").to_pylist())
         langs = batch.column("lang").dictionary_encode()
-        own = langs.indices.to_numpy(zero_copy_only=False)[owner(offsets)]
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            counts = np.bincount(ids[own == k], minlength=SYMBOLS**3)
-            total[lang] = total[lang] + counts if lang in total else counts
+        codes = langs.indices.to_numpy(zero_copy_only=False)
+        for texts, place in pieced(batch.column("text").to_pylist()):
+            ids, offsets = trigrams(texts)
+            own = codes[place][owner(offsets)]
+            for k in np.unique(codes[place]).tolist():
+                lang, counts = langs.dictionary[k].as_py(), np.bincount(ids[own == k], minlength=SYMBOLS**3)
+                total[lang] = total[lang] + counts if lang in total else counts
         if len(total) > 16:
             yield from flush(total)
     yield from flush(total)
@@ -105,17 +155,39 @@ def flush(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     total.clear()
 
 
+def partial_prototypes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, v) of (lang, gram, n): sums of whole numbers, exact in doubles, so that their order plays no part."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        grams, n = batch.column("gram").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+        for lang in set(langs):
+            own = np.flatnonzero(langs == lang)
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                total[lang] = total.get(lang, 0.0) + n[part] @ gram_vectors(grams[part])
+    yield vectors_of(total)
+
+
+def sum_prototypes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, v), one row a language, of partial sums laid by language."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, v in zip(batch.column("lang").to_pylist(), batch.column("v"), strict=True):
+            total[lang] = total.get(lang, 0.0) + v.values.to_numpy()
+    yield vectors_of(total)
+
+
+def vectors_of(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["lang", "v"])
+
+
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes) from docs (text, lang); counts are summed in Spark, one row per language and trigram remains."""
+    """(languages, unit prototypes) from docs (text, lang); trigrams are counted and their vectors summed in Spark, one row a language remains."""
     known = docs.where("text is not null and lang is not null").select("text", "lang")
-    counts = known.mapInArrow(profile_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    sums = np.zeros((len(langs), DIM))
-    for i, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang].sort_values("gram")
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            sums[i] += part["n"].to_numpy(np.float64) @ gram_vectors(part["gram"].to_numpy())
+    counts = known.mapInArrow(profile_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = sorted(counts.mapInArrow(partial_prototypes, "lang string, v array<double>").repartition("lang").mapInArrow(sum_prototypes, "lang string, v array<double>").collect())
+    langs, sums = [r["lang"] for r in rows], np.array([r["v"] for r in rows]).reshape(len(rows), DIM)
     unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     if len(langs) > 1:
         unit = unit - unit.mean(axis=0)
@@ -133,21 +205,16 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in by_bytes(batches, "text"):
-            ids, offsets = trigrams([t or "" for t in batch.column("text").to_pylist()])
-            rows = grams.rows(ids)
-            names, scores = [], []
-            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                if lo == hi or not langs:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                counts = np.bincount(rows[lo:hi])
-                at = np.flatnonzero(counts)
-                v = counts[at].astype(np.float32) @ grams.vectors[at]
-                cosine = prototypes @ v / max(float(np.linalg.norm(v)), 1e-9)
-                best = int(cosine.argmax())
-                names.append(langs[best])
-                scores.append(float(min(1.0, max(0.0, (1 + float(cosine[best])) / 2))))
+            sums, found = np.zeros((batch.num_rows, DIM), np.float32), np.zeros(batch.num_rows, np.int64)
+            for texts, place in pieced(batch.column("text").to_pylist()):
+                ids, offsets = trigrams(texts)
+                np.add.at(sums, place, grams.sums(ids, offsets))
+                np.add.at(found, place, np.diff(offsets))
+            known = (found > 0) & bool(langs)
+            cosines = sums @ prototypes.T / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) if langs else np.zeros((batch.num_rows, 1))
+            best = cosines.argmax(axis=1)
+            names = [langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+            scores = np.where(known, np.clip((1 + cosines[np.arange(len(best)), best].astype(np.float64)) / 2, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
