@@ -15,8 +15,10 @@ which bounds the rounds by log2(min_words), whatever the texts' length.
 
 Order of copies: by doc_id (null first), then by place of the line; the first copy stays. Defined cases:
 null text stays null and has no lines; lines without a word are never deleted and do not part a run; a
-text whose every line with a word was deleted is a copy (n_kept_lines 0). Rows that share a doc_id are
-texts of their own, in any order. Empty table: empty result. All other columns are kept as they are.
+text whose every line with a word was deleted is a copy (n_deleted = n_lines). Rows that share a doc_id are
+texts of their own, in the order of their hashes. Doc_ids that aren't whole numbers, repeated and null ones cost one
+more copy of the table. Empty table: empty result. All other columns are kept, whatever their names; a figure
+whose name is taken gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -25,20 +27,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketry.llm.common import WORD, cut, global_index, table
+from docketry.llm.common import WORD, cut, global_index, numbered, screened, table
 
 MIN_WORDS = 50
+#: From its first character that isn't white space on, a line with a word.
+FULL_LINE = r"[^\x20\x09-\x0D][^\n]*"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, at, pos, words, digest): the lines with a word; pos counts them, at counts all lines."""
-    lines = docs.select("row", "doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("at", "line"))
+def line_table(rows: DataFrame) -> DataFrame:
+    """(row, at, words, digest) of rows (row, text): the lines with a word; at counts all lines."""
+    lines = rows.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("words", F.regexp_count("line", F.lit(WORD))).where("words > 0")
-    return lines.select("row", "doc_id", "at", "words", F.unhex(F.md5("line")).alias("digest"))
+    return lines.select("row", "at", "words", F.unhex(F.md5("line")).alias("digest"))
 
 
 def runs_of(lines: DataFrame, min_words: int) -> DataFrame:
-    """Repeated lines (row, doc_id, at, pos, words, digest, run): run numbers the unbroken stretches of repeated lines of a row."""
+    """Repeated lines (row, at, pos, words, digest, run): run numbers the unbroken stretches of repeated lines of a row."""
     repeated = cut(lines.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     some = lines.join(repeated, "digest")
     rows = cut(some.select("row").distinct())
@@ -60,7 +64,7 @@ def renamed(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, at) of the lines of docs (row, doc_id, text) to delete."""
+    """(row, at) of the lines of docs (row, text) to delete; rows are in the order of copies."""
     base = runs_of(cut(line_table(docs)), min_words)
     own = Window.partitionBy("row", "run").orderBy("pos")
     ahead = own.rowsBetween(0, Window.unboundedFollowing)
@@ -71,7 +75,7 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     up = up.withColumn("starts", F.collect_list(F.struct("pos", F.col("upto"), "words")).over(own.rowsBetween(-(min_words - 1), 0)))
     forward = F.try_element_at(F.filter("ends", lambda x: x["upto"] - F.col("upto") + F.col("words") >= min_words), F.lit(1))["pos"] - F.col("pos") + 1
     backward = F.col("pos") - F.try_element_at(F.filter("starts", lambda x: F.col("upto") - x["upto"] + x["words"] >= min_words), F.lit(-1))["pos"] + 1
-    up = cut(up.select("row", "doc_id", "run", "at", "pos", "digest", F.when(F.size("ends") > 0, forward).alias("f"), F.when(F.size("starts") > 0, backward).alias("b")))
+    up = cut(up.select("row", "run", "at", "pos", "digest", F.when(F.size("ends") > 0, forward).alias("f"), F.when(F.size("starts") > 0, backward).alias("b")))
     longest = up.agg(F.greatest(F.max("f"), F.max("b"))).first()[0] or 0
 
     ranks = cut(renamed(up, ["digest"], "r0").drop("digest").withColumn("r0", F.col("r0") + 1))
@@ -89,34 +93,39 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     windows = asked("f", F.col("pos")).unionByName(asked("b", F.col("pos") - F.col("b") + 1)).distinct()
     at_level = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"r{i}").alias("r")) for i in range(k + 1)])
-    names = ranks.select("row", "run", "pos", "doc_id", F.explode(at_level).alias("x")).select("row", "run", "pos", "doc_id", "x.level", "x.r")
+    names = ranks.select("row", "run", "pos", F.explode(at_level).alias("x")).select("row", "run", "pos", "x.level", "x.r")
     left = windows.join(names.withColumnRenamed("pos", "start").withColumnRenamed("r", "r1"), ["row", "run", "start", "level"])
     left = left.withColumn("pos", F.expr("start + t - shiftleft(1, level)"))
-    both = cut(left.join(names.drop("doc_id").withColumnRenamed("r", "r2"), ["row", "run", "pos", "level"]).select("row", "run", "doc_id", "start", "t", "level", "r1", "r2"))
-    firsts = cut(both.groupBy("level", "t", "r1", "r2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = both.join(firsts, ["level", "t", "r1", "r2"]).where(F.struct("doc_id", "row", "start") != F.col("first"))
+    both = cut(left.join(names.withColumnRenamed("r", "r2"), ["row", "run", "pos", "level"]).select("row", "run", "start", "t", "level", "r1", "r2"))
+    firsts = cut(both.groupBy("level", "t", "r1", "r2").agg(F.min(F.struct("row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = both.join(firsts, ["level", "t", "r1", "r2"]).where(F.struct("row", "start") != F.col("first"))
     covered = later.select("row", "run", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("t") - 1)).alias("pos")).distinct()
     return up.select("row", "run", "pos", "at").join(covered, ["row", "run", "pos"]).select("row", "at")
 
 
+def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, text, n_lines, n_deleted) of every row of docs: doc is the row as it was, text is cleaned; lines are those with a word."""
+    keyed, _ = numbered(docs, "doc_id", nulls_first=True)
+    gone = copied_lines(keyed.select("row", F.col("doc.text").alias("text")), min_words).groupBy("row").agg(F.collect_set("at").alias("gone"))
+    gone = cut(gone)
+    marked = screened(keyed, "row", gone.select("row"))  # only texts that may lose lines move
+    checked = marked.where("may").join(gone, "row", "left").select("doc", "gone")
+    rows = marked.where("not may").select("doc", F.lit(None).cast("array<int>").alias("gone")).union(checked)
+    kept = F.filter(F.transform(F.split("doc.text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    n_lines = F.coalesce(F.regexp_count("doc.text", F.lit(FULL_LINE)), F.lit(0)).cast("long")
+    return rows.select("doc", text.alias("text"), n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_deleted"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text cleaned, and n_lines, n_deleted, n_kept_lines (lines with a word)."""
-    clash = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").head(1)
-    # Where doc_id tells all rows apart, texts need not be written once more to number them.
-    keyed = cut(docs.withColumn("row", F.monotonically_increasing_id())) if clash else docs.withColumn("row", F.col("doc_id").cast("long"))
-    return _dedup(keyed, docs.columns, min_words)
-
-
-def _dedup(keyed: DataFrame, columns: list[str], min_words: int) -> DataFrame:
-    gone = copied_lines(keyed.select("row", "doc_id", "text"), min_words).groupBy("row").agg(F.collect_set("at").alias("gone"))
-    out = keyed.join(cut(gone), "row", "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(WORD)) > 0)), F.lit(0))
-    n_gone = F.coalesce(F.size("gone"), F.lit(0))
-    out = out.withColumns({"text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"), "n_deleted": F.when(F.col("gone").isNull(), 0).otherwise(n_gone).cast("long")})
-    return out.select(*columns, "n_lines", "n_deleted")
+    """docs with text cleaned, and n_lines and n_deleted (lines with a word)."""
+    names = {}
+    for name in ("n_lines", "n_deleted"):
+        names[name] = name
+        while names[name].lower() in [c.lower() for c in docs.columns]:
+            names[name] = "_" + names[name]
+    own = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns]
+    return deduped(docs, min_words).select(*own, *[F.col(k).alias(v) for k, v in names.items()])
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,18 @@ def test_line_dedup(spark, odd, none):
         assert x.text == "\n".join(want), x.doc_id
 
 
+def test_line_dedup_of_odd_rows(spark):
+    """Users' columns of any name keep their values; shared, null and string ids make rows of their own."""
+    rows = [(7, f"a\n{LINE}", "x", "g", 5, 6, 1), (7, f"{LINE}\nb", "y", "h", 7, 8, 2), (None, LINE, "z", "i", 9, 10, 3), (9, None, "w", "j", 11, 12, 4)]
+    schema = "doc_id long, text string, row string, gone string, n_lines int, n_deleted int, at int"
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema).withColumn("doc_id", F.col("doc_id").cast("string"))):
+        got = {r.row: r for r in linededup.dedup_lines(frame).collect()}
+        assert [got[r[2]][2:7] for r in rows] == [r[2:] for r in rows] and got["w"].text is None
+        assert got["z"].text == LINE and got["z"]._n_deleted == 0 and {got["x"].text, got["y"].text} == {"a", "b"} and got["x"]._n_lines == 2
+    unique = spark.createDataFrame([r for r in rows if r[2] != "y"], schema)
+    assert {r.row: r.text for r in linededup.dedup_lines(unique.where("doc_id is not null")).collect()} == {"x": f"a\n{LINE}", "w": None}
+
+
 def test_licences(spark, odd, none):
     texts = ["Released under the MIT License.", "x APACHE-License, version 2 y apache license version 2", "cc-by-nc CC BY NC", "licensed under the GNU General Public License, version 3", "under the mit licence", None, ""]
     rows = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -159,20 +171,45 @@ def test_language_model(spark, odd, none):
 def test_attention_is_causal_and_normal():
     r = np.random.default_rng(0)
     model = lm.Attention(r.integers(1, 50, 300).astype(float), head=100)
-    experts = np.exp(model.experts()).T.astype(np.float32)
-    ids = r.integers(0, 300, (1, 70))
-    blocks, _, first = lm.blocks_of(ids[0], np.array([0, 70]), 301)
-    before = model.log10(blocks, first, experts)
+    tables = model.tables()
+    ids = r.integers(0, 300, 40)
+    blocks, _, first = lm.blocks_of(ids, np.array([0, 40]), 301)
+    before = model.log10(blocks, first, tables)
     changed = blocks.copy()
     changed[1, 5:] = (changed[1, 5:] + 7) % 300
-    after = model.log10(changed, first, experts)
-    assert np.allclose(before.ravel()[:37], after.ravel()[:37])  # earlier subwords don't see later ones
-    total = sum(10 ** model.log10(np.where(np.arange(32) == 3, x, blocks[:1]), first[:1], experts)[0, 3] for x in range(300))
+    after = model.log10(changed, first, tables)
+    assert np.allclose(before.ravel()[:21], after.ravel()[:21])  # earlier subwords don't see later ones
+    assert np.allclose(before, model.log10(blocks, first, tables, rows=1))
+    total = sum(10 ** model.log10(np.where(np.arange(lm.BLOCK) == 3, x, blocks[:1]), first[:1], tables)[0, 3] for x in range(300))
     assert abs(total - 1) < 1e-4
-    windows = r.integers(0, 20, (64, 65))
-    windows[:, 1::2] = windows[:, ::2][:, :32] + 20  # each second subword follows from the one before
-    losses = model.fit(windows, 80)
+    windows = r.integers(0, 20, (256, 2 * lm.BLOCK + 1))
+    windows[:, 1::2] = windows[:, ::2][:, : lm.BLOCK] + 20  # each second subword follows from the one before
+    losses = model.fit(windows, 120, 0.05)
     assert np.mean(losses[-5:]) < losses[0] - 0.5
+    model = lm.Attention(r.integers(1, 50, 300).astype(float), head=100)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    _, grads = model.step(windows)
+    for name, at in {"e": (3, 1), "q": (0, 1), "k": (2, 2), "v": (1, 0), "g": (4, 5), "b": (3,), "d": (2,), "x": (1, 30)}.items():
+        model.w[name][at] += 1e-3
+        up = model.step(windows)[0]
+        model.w[name][at] -= 2e-3
+        down = model.step(windows)[0]
+        model.w[name][at] += 1e-3
+        assert abs((up - down) / 2e-3 - grads[name][at]) < 1e-4 + 0.02 * abs(grads[name][at]), name
+
+
+def test_language_model_learns(spark, small):
+    """On held-out text the model beats its own subwords' frequencies; partitioning changes no score."""
+    docs = table(spark, small, "documents")
+    got = lm.op5_lm(spark, small).toPandas().set_index("doc_id")
+    rows = docs.toPandas().set_index("doc_id").loc[got.index]
+    ids, offsets, *_ = lm.text_ids(pa.array(rows.text), None)
+    own, held = np.repeat(np.arange(len(rows)), np.diff(offsets)), got.held_out.to_numpy()
+    counts = np.bincount(ids[~held[own]], minlength=lm.vocabulary_size(None))
+    log_p = np.log10((counts + 0.5) / (counts.sum() + 0.5 * len(counts)))
+    assert got.score[held].sum() > 0.95 * log_p[ids[held[own]]].sum()
+    again = lm.score(docs.repartition(5)).toPandas().set_index("doc_id").loc[got.index]
+    assert np.allclose(got.score, again.score, rtol=1e-5) and np.allclose(got.base_score, again.base_score)
 
 
 def brute_components(n, links):
@@ -316,6 +353,33 @@ def test_language_id(spark, odd, none, small):
     rows = {r.doc_id: r for r in langid.predict(odd.withColumn("held_out", F.lit(False)), *learned).collect()}
     assert rows[2].lang_pred == rows[3].lang_pred == rows[4].lang_pred == "und" and rows[1].lang_pred in ("en", "de")
     assert langid.predict(none.withColumn("held_out", F.lit(False)), *langid.learn(none)).count() == 0
+    docs = table(spark, small, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    rows = {r.doc_id: r for r in docs.collect()}
+    letters, sums = langid.letter_vectors().astype(float), defaultdict(lambda: np.zeros(langid.DIM))
+
+    def vector(text):  # brute force: trigrams around each letter, word by word
+        total = np.zeros(langid.DIM)
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            own = [0, *langid.symbol_table()[[ord(c) for c in word]].tolist(), 0]
+            for a, b, c in zip(own, own[1:], own[2:]):
+                total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return total
+
+    for x in rows.values():
+        if not x.held_out and x.lang is not None and x.text is not None:
+            sums[x.lang] += vector(x.text)
+    langs = sorted(sums)
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs])
+    unit -= unit.mean(axis=0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for x in got.itertuples():
+        v = vector(rows[x.doc_id].text)
+        cosine = unit @ v / max(np.linalg.norm(v), 1e-9)
+        assert not v.any() or abs(x.score - (1 + cosine.max()) / 2) < 1e-4 and (x.lang_pred == langs[cosine.argmax()] or np.ptp(np.sort(cosine)[-2:]) < 1e-5)
+    few, many = langid.Grams(50), langid.Grams()
+    ids, offsets = langid.trigrams([rows[k].text or "" for k in sorted(rows)[:20]])
+    assert np.allclose(few.sums(ids, offsets), many.sums(ids, offsets)) and len(few.vectors) == 50
+    assert list(langid.pieces("ab cd" * 500_000)) != [] and "".join(langid.pieces("ab cd" * 500_000)) == "ab cd" * 500_000
     grams, offsets = langid.trigrams(["ab", "", "a-b"])
     assert np.diff(offsets).tolist() == [2, 0, 2] and grams[0] == 1 * 128 + 2
 
