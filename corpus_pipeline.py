@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from docketry.llm import bpe, linededup, mixing, neardup, quality
 from docketry.llm.common import shared_dir, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rule or the trees reject; without labels the base rule alone decides."""
@@ -20,13 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated runs of lines; a document of which no line is left goes."""
-    out = linededup.dedup_lines(docs)
-    out = out.where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
-    return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+    out = linededup.deduped(docs).where("n_deleted = 0 or n_deleted < n_lines")
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("doc.n_chars")).cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one of smallest doc_id."""
+    """Keeps exactly one row of each group of near-duplicates, the one of smallest doc_id."""
     return neardup.drop_near_duplicates(docs)
 
 
