@@ -10,9 +10,18 @@ from docketry.operators import catalog as K
 from docketry.plans.conditions import cte, given
 from docketry.sources.tables import from_sql, table
 
-FACTS = """SELECT 'case.' || CAST(o_orderkey AS VARCHAR(20)) AS case_id, o_orderkey, CAST(o_orderkey % 900 + 100 AS BIGINT) AS asked, CAST(o_orderkey % 1300 AS BIGINT) AS got,
-  '原告诉称：请求判令：解除合同并由被告退还' || CAST(o_orderkey % 900 + 100 AS VARCHAR(9)) || '元。被告辩称：不同意退还。法院经审理查明：原告向被告支付课程费用若干元。双方签订服务合同并约定课程。原告主张课程未上完。法院作出判决：' ||
-  CASE WHEN o_orderkey % 1300 = 0 THEN '驳回原告的诉讼请求。' WHEN o_orderkey % 3 = 0 THEN '被告返还' || CAST(o_orderkey % 1300 AS VARCHAR(9)) || '元；驳回原告的其他诉讼请求。' ELSE '被告返还' || CAST(o_orderkey % 1300 AS VARCHAR(9)) || '元。' END AS facts FROM {orders}"""
+# Ten shapes of demand and six of holding; asked and got are what they amount to.
+FACTS = """SELECT case_id, o_orderkey, asked, got, demand, held,
+  '原告诉称：' || demand || '被告辩称：不同意退还。' || CASE WHEN o_orderkey % 2 = 0 THEN '法院' ELSE '' END || '经审理查明：原告向被告支付课程费用若干元。双方签订服务合同并约定课程。原告主张课程未上完。法院作出判决：' || held AS facts FROM (SELECT case_id, o_orderkey,
+  CASE shape WHEN 0 THEN '请求判令：解除合同并由被告退还' || a || '元。' WHEN 1 THEN '请求判令：解除合同并由被告退还' || a || '万元。' WHEN 2 THEN '请求判令：退还学费' || a || '元、赔偿损失1元，共计' || CAST(n + 1 AS VARCHAR(9)) || '元。'
+    WHEN 3 THEN '请求判令：被告每月支付' || a || '元。' WHEN 4 THEN '请求判令：退还' || a || '元；诉讼费50元由被告负担。' WHEN 5 THEN '请求判令：退还' || a || '元、赔偿20元。' WHEN 6 THEN '诉请被告支付' || a || '元。'
+    WHEN 7 THEN '原告多次催要' || a || '元未果。' WHEN 8 THEN '请求判令：偿还' || a || '元，利息合计5元。' ELSE '请求判令：返还' || a || ',000.5元。' END AS demand,
+  CAST(CASE shape WHEN 1 THEN n * 10000 WHEN 2 THEN n + 1 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 7 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN n * 1000 + 0.5 ELSE n END AS DOUBLE) AS asked,
+  CASE kind WHEN 0 THEN '驳回原告的诉讼请求。' WHEN 1 THEN '被告返还' || g || '元；驳回原告的其他诉讼请求。' WHEN 2 THEN '被告返还' || g || '元。' WHEN 3 THEN '一、被告返还' || g || '元。二、案件受理费50元由被告负担。'
+    WHEN 4 THEN '被告返还' || g || '元。宣判后，被告支付了7元。' ELSE '被告返还' || g || '元，赔偿8元。' END AS held,
+  CAST(CASE kind WHEN 0 THEN NULL WHEN 5 THEN NULL ELSE got END AS DOUBLE) AS got
+  FROM (SELECT 'case.' || CAST(o_orderkey AS VARCHAR(20)) AS case_id, o_orderkey, o_orderkey % 10 AS shape, o_orderkey % 7 % 6 AS kind, o_orderkey % 900 + 100 AS n, o_orderkey % 1300 + 1 AS got,
+    CAST(o_orderkey % 900 + 100 AS VARCHAR(9)) AS a, CAST(o_orderkey % 1300 + 1 AS VARCHAR(9)) AS g FROM {orders}) x) y"""
 
 
 def facts(s, d):
@@ -20,7 +29,7 @@ def facts(s, d):
 
 
 def parted(s, d):
-    return facts(s, d).withColumn("p", C.partitions("facts")).select("case_id", "o_orderkey", "facts", "asked", "got", "p.*")
+    return facts(s, d).withColumn("p", C.partitions(F.col("facts"))).select("case_id", "o_orderkey", "facts", "p.*")
 
 
 def fact_partitions(s, d):
@@ -33,7 +42,7 @@ def amounts(s, d):
 
 
 def decisions(s, d):
-    x = parted(s, d).withColumns({"requested": C.requested_amount("plaintiff"), "granted": C.granted_amount("holding"), "remedy": C.remedy(F.col("plaintiff"))})
+    x = parted(s, d).withColumns({"requested": C.requested_amount(F.col("plaintiff")), "granted": C.granted_amount(F.col("holding")), "remedy": C.remedy(F.col("plaintiff"))})
     return x.select("case_id", "requested", "granted", C.decision_status(F.col("requested"), F.col("granted"), F.col("holding"), F.col("remedy")).alias("status"))
 
 
@@ -159,8 +168,8 @@ F_SQL = FACTS.format(orders="orders")
 QUERIES = {
     "fact_partitions": (fact_partitions, f"SELECT case_id, length(split_part(split_part(facts, '诉称：', 2), '被告辩称', 1)) AS plaintiff, length('不同意退还。') AS defendant, length(split_part(split_part(facts, '查明：', 2), '法院作出', 1)) AS court, length(split_part(facts, '作出判决：', 2)) AS holding FROM ({F_SQL})"),
     "amounts": (amounts, "SELECT doc_id, (n_chars + 0.5) * 10000.0::DOUBLE AS amount FROM documents"),
-    "decisions": (decisions, f"SELECT case_id, CAST(asked AS DOUBLE) AS requested, CASE WHEN got > 0 THEN CAST(got AS DOUBLE) END AS granted, CASE WHEN got = 0 THEN 'REJECTED' WHEN got >= asked THEN CASE WHEN o_orderkey % 3 = 0 THEN 'PARTIALLY_GRANTED' ELSE 'GRANTED' END ELSE 'PARTIALLY_GRANTED' END AS status FROM ({F_SQL})"),
-    "claims": (claims, f"SELECT case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'service_termination_refund' ELSE '物业服务合同纠纷' END AS claim_type, '甲' AS claimant, '乙' AS respondent, '解除合同并由被告退还' || asked || '元。' AS remedy FROM ({F_SQL})"),
+    "decisions": (decisions, f"""SELECT case_id, asked AS requested, got AS granted, CASE WHEN held = '驳回原告的诉讼请求。' THEN 'REJECTED' WHEN got IS NULL THEN 'UNKNOWN' WHEN asked IS NULL OR got >= asked THEN CASE WHEN held LIKE '%其他%' THEN 'PARTIALLY_GRANTED' ELSE 'GRANTED' END ELSE 'PARTIALLY_GRANTED' END AS status FROM ({F_SQL})"""),
+    "claims": (claims, f"SELECT case_id, CASE WHEN o_orderkey % 2 = 1 THEN '物业服务合同纠纷' WHEN demand LIKE '%解除%' THEN 'service_termination_refund' ELSE '服务合同纠纷' END AS claim_type, '甲' AS claimant, '乙' AS respondent, replace(demand, '请求判令：', '') AS remedy FROM ({F_SQL})"),
     "court_findings": (court_findings, f"SELECT case_id || '.finding.' || lpad(CAST(i AS VARCHAR), 3, '0') AS finding_id, case_id, q AS predicate, instr(facts, q) - 1 AS start_offset, instr(facts, q) - 1 + length(q) AS end_offset FROM ({F_SQL}), (SELECT 1 AS i, '原告向被告支付课程费用若干元。' AS q UNION ALL SELECT 2, '双方签订服务合同并约定课程。')"),
     "citations": (citations, "SELECT p_partkey, CASE WHEN p_partkey NOT BETWEEN 1 AND 1260 OR p_partkey = 509 THEN 'provision.0509' WHEN p_partkey < 509 THEN 'provision.' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || ',provision.0509' ELSE 'provision.0509,provision.' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') END AS ids FROM part"),
     "numerals": (numerals, "SELECT o_orderkey AS n, CASE WHEN o_orderkey BETWEEN 1 AND 1260 THEN o_orderkey END AS article FROM orders WHERE o_orderkey < 3000"),

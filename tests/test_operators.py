@@ -25,16 +25,34 @@ def one(spark, column, *values):
 def test_amounts(spark):
     texts = ["人民币14789.03元", "5，062元", "6万元", "0.125万元", "2万余元", "3，62元", "", "共1,234,567.5元"]
     assert one(spark, T.amount, *texts) == [14789.03, 5062, 60000, 1250, None, None, None, 1234567.5]
-    assert cases.requested("请求判令被告支付租金6万元、损失5万元，共计11万元") == 110000
-    assert cases.requested("请求判令被告每月支付500元") is None and cases.requested("请求判令返还1万元，赔偿2万元") is None
-    assert cases.requested("请求判令返还3万元；诉讼费1000元由被告承担") == 30000
-    assert cases.granted("被告返还原告300元；驳回其他诉讼请求。") == 300 and cases.granted("驳回原告返还300元的诉讼请求。") is None
-
-
-def test_partitions():
-    p = cases.partition("原告诉称：甲付款。被告辩称：未付。经审理查明：付款属实。法院作出一审判决：返还。后二审法院作出判决：维持原判并返还5元。")
-    assert (p["plaintiff"], p["defendant"], p["court"]) == ("甲付款。", "未付。", "付款属实。") and p["holding"] == "维持原判并返还5元。"
-    assert cases.partition("原告请求法院判决：被告付款")["holding"] == ""
+    asked = {
+        "请求判令被告支付租金6万元、损失5万元，共计11万元": 110000, "请求判令被告每月支付500元": None, "请求判令返还1万元，赔偿2万元": None, "请求判令返还3万元；诉讼费1000元由被告承担": 30000,
+        "要求被告按日支付违约金20元": None, "原告付款300元。诉请返还。": None, "诉请被告返还5，062元。另付100元": 5062, "主张合计8万元，其中本金5万元": None, "请求返还本金5万元，利息合计6万元": None,
+        "请求判令支付2万元、共计3万元、总计4万元": None, "请求判令退还0.125万元": 1250, "": None,
+    }
+    assert one(spark, cases.requested_amount, *asked) == list(asked.values())
+    awarded = {
+        "被告返还原告300元；驳回其他诉讼请求。": 300, "驳回原告返还300元的诉讼请求。": None, "被告支付10元。宣判后，被告支付了7元。": 10, "被告返还100元。案件受理费50元由被告负担。": 100,
+        "确认合同价款500元。": None, "被告赔偿1万元，支付2万元，合计3万元。": 30000, "被告每年支付100元。": None, "被告返还甲5元，返还乙6元。": None, "原告无需支付9元；被告支付8元。": 8,
+    }
+    assert one(spark, cases.granted_amount, *awarded) == list(awarded.values())
+
+
+def test_partitions(spark):
+    shapes = {
+        "原告诉称：甲付款。被告辩称：未付。经审理查明：付款属实。法院作出一审判决：返还。后二审法院作出判决：维持原判并返还5元。": ("甲付款。", "未付。", "付款属实。", "维持原判并返还5元。"),
+        "原告请求法院判决：被告付款": ("", "", "", ""),
+        "原告张三诉称：请求依法判决：退款。法院认定：属实。判决如下：驳回。": ("请求依法", "", "属实。", "驳回。"),
+        "诉称，欠款。诉称，再欠。被告李四在庭审中辩称：已还。": ("欠款。诉称，再欠。", "已还。", "", ""),
+        "被告辩称：无。原告诉称：有。": ("有。", "无。", "", ""),
+        "法院经审理查明：甲。原告要求人民法院作出判决：付款。人民法院据此做出判决：付5元。": ("", "", "甲。原告要求人民法院作出判决：付款。", "付5元。"),
+        "诉请解除，判决：解除。": ("", "", "", ""),
+        "诉请解除。判决：解除。": ("", "", "", "解除。"),
+        "经审理查明：乙。": ("", "", "乙。", ""),
+        "": ("", "", "", ""),
+        None: ("", "", "", ""),
+    }
+    assert [tuple(x) for x in one(spark, cases.partitions, *shapes)] == list(shapes.values())
 
 
 def test_numerals(spark):
