@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.operators.joins import bounded
+
 YES, NO, CONFLICT, UNKNOWN = "SATISFIED", "NOT_SATISFIED", "CONFLICTING", "UNKNOWN"
 ROLES = ("support", "limiting", "boundary")
 
@@ -55,19 +57,23 @@ def compare(pairs: DataFrame, scope: DataFrame, members: DataFrame, known: DataF
     allowed = scoped(scope, members).select("query_id", "condition_id")
     sizes = allowed.groupBy("query_id").agg(F.count("*").alias("n"))
     user = allowed.join(known, ["query_id", "condition_id"]).where(F.col("status").isin(YES, NO)).withColumnRenamed("status", "user")
-    sure = summaries.where(F.col("status").isin(YES, NO) & F.col("usable")).select("case_id", "condition_id", "status")
-    met = pairs.join(sure, "case_id").join(F.broadcast(user), ["query_id", "condition_id"])
+    states = pairs.join(summaries.where("usable").select("case_id", "condition_id", "status"), "case_id")
+    met = states.where(F.col("status").isin(YES, NO)).join(bounded(user), ["query_id", "condition_id"])
     counted = met.groupBy("query_id", "case_id").agg(F.count_if(F.col("user") == F.col("status")).alias("same"), F.count_if(F.col("user") != F.col("status")).alias("different"))
 
+    # Only groups that are in a query's scope and that the user decides are looked up for its cases.
     core = members.where("role = 'CORE'")
-    case_side = group_truth(core, summaries.where("usable").select("case_id", "condition_id", "status"), "case_id").where("value is not null")
-    user_side = group_truth(core, known, "query_id").where("value is not null").withColumnRenamed("value", "user")
-    user_side = user_side.join(core.select("group_id", "rule_id").distinct(), "group_id").join(scope, ["query_id", "rule_id"])
-    groups = pairs.join(case_side, "case_id").join(F.broadcast(user_side), ["query_id", "group_id"])
+    decided = group_truth(core, known, "query_id").where("value is not null").withColumnRenamed("value", "user")
+    decided = decided.join(core.select("group_id", "rule_id").distinct(), "group_id").join(scope, ["query_id", "rule_id"])
+    sides = decided.join(core.groupBy("group_id", "operator").agg(F.countDistinct("condition_id").alias("of"), F.collect_set("condition_id").alias("conditions")), "group_id")
+    sides = sides.select("query_id", "rule_id", "group_id", "operator", "of", "user", F.explode("conditions").alias("condition_id"))
+    asked = states.join(bounded(sides), ["query_id", "condition_id"])
+    asked = asked.groupBy("query_id", "case_id", "rule_id", "group_id", "operator", "of", "user").agg(F.count_if(F.col("status") == YES).alias("n_yes"), F.count_if(F.col("status") == NO).alias("n_no"))
+    groups = asked.withColumn("value", truth(F.col("operator"), F.col("of"), F.col("n_yes"), F.col("n_no")))
     groups = groups.groupBy("query_id", "case_id").agg(F.count_if(F.col("user") & F.col("value")).alias("core_agree"), F.count_if(F.col("user") != F.col("value")).alias("core_conflict"))
 
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = pairs.join(F.broadcast(sizes), "query_id", "left").join(counted, ["query_id", "case_id"], "left").join(groups, ["query_id", "case_id"], "left")
+    out = pairs.join(bounded(sizes), "query_id", "left").join(counted, ["query_id", "case_id"], "left").join(groups, ["query_id", "case_id"], "left")
     out = out.select("query_id", "case_id", zero("n"), zero("same"), zero("different"), zero("core_agree"), zero("core_conflict"))
     sure = F.col("same") + F.col("different")
     return out.withColumn("unknown", F.col("n") - sure).withColumn("coverage", F.when(F.col("n") > 0, F.round(sure / F.col("n"), 6)).otherwise(0.0)).drop("n")
@@ -79,8 +85,8 @@ def assign_roles(compared: DataFrame, scope: DataFrame, members: DataFrame, know
     links (case_id, rule_id, applied), claims (case_id, claim_type, rejected), user_claims (query_id, claim_type).
     """
     pairs = compared.select("query_id", "case_id")
-    roles = F.broadcast(scoped(scope, members))
-    rows = pairs.join(assessments, "case_id").join(roles, ["query_id", "condition_id"], "left").join(F.broadcast(known.withColumnRenamed("status", "user")), ["query_id", "condition_id"], "left")
+    roles = bounded(scoped(scope, members))
+    rows = pairs.join(assessments, "case_id").join(roles, ["query_id", "condition_id"], "left").join(bounded(known.withColumnRenamed("status", "user")), ["query_id", "condition_id"], "left")
     core, diagnostic = F.coalesce("core", F.lit(False)), F.coalesce("diagnostic", F.lit(False))
     evidence, sure_user = F.col("evidence").isNotNull(), F.coalesce(F.col("user").isin(YES, NO), F.lit(False))
     sure = F.col("status").isin(YES, NO)
@@ -92,9 +98,9 @@ def assign_roles(compared: DataFrame, scope: DataFrame, members: DataFrame, know
         F.bool_or(open_diff | (differs & diagnostic & ~core)).alias("diagnostic_diff"),
         F.bool_or(open_diff | (both & ((F.col("user") == F.col("status")) | core | diagnostic))).alias("spans"),
     )
-    linked = pairs.join(links, "case_id").join(F.broadcast(scope), ["query_id", "rule_id"]).groupBy("query_id", "case_id").agg(F.lit(True).alias("linked"), F.bool_or("applied").alias("applied"))
-    mine = F.broadcast(user_claims.withColumn("mine", F.lit(True)))
-    asked = F.broadcast(user_claims.groupBy("query_id").agg(F.lit(True).alias("has_claims")))
+    linked = pairs.join(links, "case_id").join(bounded(scope), ["query_id", "rule_id"]).groupBy("query_id", "case_id").agg(F.lit(True).alias("linked"), F.bool_or("applied").alias("applied"))
+    mine = bounded(user_claims.withColumn("mine", F.lit(True)))
+    asked = bounded(user_claims.groupBy("query_id").agg(F.lit(True).alias("has_claims")))
     claimed = pairs.join(claims, "case_id").join(mine, ["query_id", "claim_type"], "left").join(asked, "query_id", "left")
     own = F.coalesce("mine", ~F.coalesce("has_claims", F.lit(False)))
     claimed = claimed.groupBy("query_id", "case_id").agg(F.bool_or(own).alias("aligned"), F.bool_or(own & F.col("rejected")).alias("rejected"))

@@ -78,7 +78,8 @@ def vector_rows(s, d):
 
 
 def vector_queries(s, d):
-    return vector_rows(s, d).where("id < 40").select(F.col("id").alias("query_id"), "vector")
+    """Every vector whose id is divisible by 20."""
+    return vector_rows(s, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 def cosine_top(s, d):
@@ -87,7 +88,7 @@ def cosine_top(s, d):
 
 def vector_qrels(s, d):
     rows = vector_rows(s, d).select("id", "label")
-    return rows.where("id < 40").select(F.col("id").alias("query_id"), "label").join(rows, "label").select("query_id", "id")
+    return rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label").join(rows, "label").select("query_id", "id")
 
 
 def vector_metrics(s, d):
@@ -96,12 +97,12 @@ def vector_metrics(s, d):
 
 COSINE = """
 u AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
-cs AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.v, u.v), 6) AS score FROM u q, u WHERE q.id < 40),
+cs AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.v, u.v), 6) AS score FROM u q, u WHERE q.id % 20 = 0),
 ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs) WHERE rank <= 20 AND score > 0)"""
 
 
 def channels(s, d):
-    """Ranked rows of three channels for the benchmark's topics: text, label match, and recency of the id."""
+    """Ranked rows of two channels for the benchmark's topics: text and label match."""
     text = bm25_top(s, d).select("query_id", F.lit("bm25").alias("channel"), "id", "rank")
     label = topic_qrels(s, d).withColumn("score", F.lit(1))
     label = R.top(label, ["query_id"], [F.desc("score"), F.asc("id")], 20).select("query_id", F.lit("claim"), "id", "rank")
@@ -154,21 +155,17 @@ def label_counts(s, d):
 
 
 def qrels_by_source(s, d):
-    """Pairs of cases that share a source and are toxic; the label of all languages would be hot and goes by counts."""
-    toxic = table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    own = labels(s, d, with_lang=False).where("label <> 'toxic'").join(toxic, "id")
-    return R.label_peers(own)
+    """Every pair of cases that share a source, a language or toxicity, as pairs of classes of equal labels with their sizes."""
+    return R.class_peers(labels(s, d)).select(F.array_join("labels", ",").alias("labels"), F.array_join("peer", ",").alias("peer"), "n", "m", "pairs")
 
 
 def external_ranking(s, d):
-    """Checks of an outside ranking: unknown ids, duplicate ids and missing queries. The outside ranking is the label channel."""
-    ranks = channels(s, d).where("channel = 'claim'").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("r"))
-    rows = ranks.select("query_id", F.posexplode("r.id").alias("pos", "id"))
-    known = corpus(s, d).select("id")
-    issues = rows.groupBy("query_id", "id").count().where("count > 1").select("query_id", F.lit("duplicate").alias("issue"))
-    issues = issues.union(rows.join(known, "id", "left_anti").select("query_id", F.lit("unknown_case")))
-    issues = issues.union(topics(s, d).join(ranks, "query_id", "left_anti").select("query_id", F.lit("missing_query")))
-    return issues.groupBy("query_id", "issue").agg(F.count("*").alias("n"))
+    """Checks of an outside ranking: topics' documents of the label channel, of which some are repeated, unknown or left out."""
+    ranks = channels(s, d).where("channel = 'claim' and query_id % 7 <> 3")
+    ranks = ranks.withColumn("id", F.when((F.col("rank") == 2) & (F.col("query_id") % 3 == 0), -F.col("id") - 1).otherwise(F.col("id")))
+    again = ranks.where("rank = 1 and query_id % 5 = 1").withColumn("rank", F.lit(99).cast("long"))
+    ranked = ranks.union(again).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    return R.ranking_issues(ranked, corpus(s, d), topics(s, d))
 
 
 QUERIES = {
@@ -178,7 +175,7 @@ QUERIES = {
     "bm25_metrics": (bm25_metrics, f"WITH {BM25}, {QRELS}, {RECALL.format(hits='bm')} SELECT * FROM m"),
     "bm25_recall": (bm25_recall, f"WITH {BM25}, {QRELS}, {RECALL.format(hits='bm')} SELECT k, count(*) AS queries, round(avg(recall), 6) AS macro_recall, round(avg(ndcg), 6) AS macro_ndcg FROM m GROUP BY k"),
     "cosine_top": (cosine_top, f"WITH {COSINE} SELECT query_id, id, score, rank FROM ct"),
-    "vector_metrics": (vector_metrics, f"WITH {COSINE}, qr AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id < 40), {RECALL.format(hits='ct')} SELECT * FROM m"),
+    "vector_metrics": (vector_metrics, f"WITH {COSINE}, qr AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0), {RECALL.format(hits='ct')} SELECT * FROM m"),
     "rank_fusion": (fused, f"WITH {BM25}, {QRELS}, {CHANNELS}, f AS ({rrf_sql('CASE channel WHEN $$bm25$$ THEN 1.0 ELSE 0.8 END')}) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f"),
     "channel_ablation": (ablation, " UNION ALL ".join(
         f"SELECT * FROM (WITH {BM25}, {QRELS}, {CHANNELS}, f AS ({rrf_sql('CASE channel WHEN $$bm25$$ THEN 1.0 ELSE 0.8 END', where, 20)}), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f), {RECALL.format(hits='g')} SELECT k, round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg, '{name}' AS variant FROM m GROUP BY k)"
@@ -186,6 +183,7 @@ QUERIES = {
     "query_variants": (query_variants, None),
     "peer_counts": (peer_counts, f"WITH {LABELS}, pe AS (SELECT a.id, count(DISTINCT b.id) AS n FROM lab a JOIN lab b ON a.label = b.label AND a.id <> b.id GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_peers, coalesce(n, 0) > 0 AS evaluable, CASE WHEN n > 0 THEN NULL WHEN doc_id IN (SELECT id FROM lab) THEN 'no_shared_relation_peer' ELSE 'no_valid_relation_label' END AS skip_reason FROM documents LEFT JOIN pe ON pe.id = doc_id"),
     "label_counts": (label_counts, f"WITH {LABELS} SELECT label, count(DISTINCT id) AS cases FROM lab GROUP BY label"),
-    "qrels_by_source": (qrels_by_source, "WITH l AS (SELECT doc_id AS id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT a.id AS query_id, b.id FROM l a JOIN l b ON a.source = b.source AND a.id <> b.id"),
-    "external_ranking": (external_ranking, "SELECT item_id AS query_id, 'missing_query' AS issue, CAST(1 AS BIGINT) AS n FROM benchmark WHERE 'src' || CAST(item_id % 20 AS VARCHAR) NOT IN (SELECT source FROM documents)"),
+    "qrels_by_source": (qrels_by_source, f"WITH {LABELS}, c AS (SELECT id, list_sort(list(DISTINCT label)) AS s FROM lab WHERE label IS NOT NULL GROUP BY 1), z AS (SELECT s, count(*) AS n FROM c GROUP BY 1) SELECT array_to_string(a.s, ',') AS labels, array_to_string(b.s, ',') AS peer, a.n, b.n AS m, CASE WHEN a.s = b.s THEN a.n * (a.n - 1) ELSE a.n * b.n END AS pairs FROM z a JOIN z b ON list_has_any(a.s, b.s)"),
+    "external_ranking": (external_ranking, f"""WITH {QRELS}, lb AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM qr) WHERE rank <= 20 AND query_id % 7 <> 3)
+      SELECT item_id AS query_id, 'missing_query' AS issue, CAST(1 AS BIGINT) AS n FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM lb) UNION ALL SELECT query_id, 'duplicate', CAST(1 AS BIGINT) FROM lb WHERE rank = 1 AND query_id % 5 = 1 UNION ALL SELECT query_id, 'unknown_case', CAST(1 AS BIGINT) FROM lb WHERE rank = 2 AND query_id % 3 = 0"""),
 }
