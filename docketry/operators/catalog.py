@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Lists of nested rules and the names of their side tables.
+NESTED = {"conditions": "conditions", "condition_groups": "groups", "provisions": "provisions", "exceptions": "exceptions", "consequences": "consequences", "source_spans": "spans"}
+
+
+def explode_rules(rules: DataFrame) -> dict[str, DataFrame]:
+    """Side tables of nested rules (rule_id and any of the lists of NESTED): a row for each element with rule_id, pos and the element's fields; of groups also `members`, a row for each member."""
+    out = {}
+    for field, name in NESTED.items():
+        if field in rules.columns:
+            out[name] = rules.select("rule_id", F.posexplode(field).alias("pos", "x")).select("rule_id", "pos", "x.*")
+    if "groups" in out:
+        held = out["groups"]
+        out["members"] = held.select("rule_id", "group_id", "role", "operator", F.posexplode("member_condition_ids").alias("pos", "condition_id"))
+        out["groups"] = held.drop("member_condition_ids")
+    return out
+
+
 def first_definitions(conditions: DataFrame) -> DataFrame:
     """One row per condition id: its first definition by (rule order, place)."""
     w = Window.partitionBy("condition_id").orderBy("rule_id", "pos")
