@@ -10,7 +10,8 @@ diagonal; each such diagonal is a place of the phrase.
 
 Defined cases: null text is empty; no words: no labels, score 0, null first_word and last_word.
 Repeated rows are scanned each on its own, also with equal or null doc_id. Long texts are scanned
-whole. Letters other than A-Z keep their case in base phrases (none of whose letters is affected).
+whole. Letters other than A-Z keep their case. Only doc_id and text are read: other columns, whatever their names,
+play no part. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,33 @@ from pyspark.sql.window import Window
 from docketry.llm.common import cut, table
 
 K, BAND, GAP, COVER, LONG = 3, 2, 8, 0.8, 12
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the contract and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Openings and notices of well-known licences (public texts), as words, with the label of each.
+#: Openings, notices and bodies of well-known licences (public texts), as words, with the label of each.
 TEMPLATES = [
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors "
+        "or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable "
+        "for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+        "and or other materials provided with the distribution",
+        "bsd",
+    ),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
@@ -61,9 +84,9 @@ def template_grams(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text) with the columns of the contract."""
     spark = docs.sparkSession
-    templates = template_grams(spark).cache()
+    templates = template_grams(spark)  # a few hundred rows, from literals
     hashes = sorted({r["h"] for r in templates.select("h").collect()})
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), WORDS), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), WORDS), "")
     x = docs.select("doc_id", words.alias("w"))
     rolled = F.transform("w", lambda _, i: F.struct(i.alias("p"), F.xxhash64(*gram(F.col("w"), i)).alias("h")))
     near = F.filter(rolled, lambda r: r["h"].isin(hashes))

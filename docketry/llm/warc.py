@@ -8,7 +8,12 @@ response, and the others are revisits that refer to it.
 Reading: an archive is cut into byte ranges. A task scans its range for the gzip magic number, takes
 each place as a candidate, and validates it by decoding the member's first bytes up to a WARC header.
 It owns the records that start inside its range and reads past the range's end to finish the last.
-Bytes inside a member that look like the magic fail the validation or lie inside an owned member.
+Bytes inside a member that look like the magic fail the validation or lie inside an owned member; a record that a
+payload holds, and that a range which starts inside the payload takes for one, is dropped by its place: a record
+starts where none before it in the file still lasts.
+
+Archives of others are read too: a record without our fields has no page_id, the digest of its header or of its block,
+and the bytes of its block; the digest of a payload is checked where the header counts its bytes as ours do.
 
 Defined cases: null html is an empty payload. Rows with equal page_id and payload are all responses if
 that id is the group's largest. A null page_id gets a record without id; it is never referred to, and
@@ -27,12 +32,14 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docketry.llm.common import by_bytes, cut, shared_dir, table
 
 MIN_BYTES, SPLIT_BYTES, CHUNK, LEVEL, MOST_TASKS = 0, 8 << 20, 1 << 20, 4, 100_000
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+HEAD = b"WARC/1."
 ID, REFERS, PAYLOAD_BYTES = "WARC-Record-ID", "WARC-Refers-To", "X-Payload-Bytes"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,23 +103,22 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> Dat
     return cut(with_revisits(pages, min_bytes).mapInArrow(run, "path string, bytes long, records long"))
 
 
-def members(store: arrow_fs.FileSystem, path: str, start: int, stop: int) -> Iterator[bytes]:
-    """The decoded gzip members that start within [start, stop) of a file and begin with a WARC header."""
+def members(store: arrow_fs.FileSystem, path: str, start: int, stop: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content): the decoded gzip members that start within [start, stop) of a file and begin with a WARC header."""
     with store.open_input_file(path) as f:
         size = f.size()
-        stop = min(stop, size)
-        base, data = start, b""
+        stop, base, data = min(stop, size), start, bytearray()
         at = start  # the next place to look at
 
-        def more(n: int = CHUNK) -> bool:
-            nonlocal data
-            got = f.read_at(min(n, size - base - len(data)), base + len(data)) if base + len(data) < size else b""
-            data += got
+        def more() -> bool:
+            got = f.read_at(min(CHUNK, size - base - len(data)), base + len(data)) if base + len(data) < size else b""
+            data.extend(got)
             return bool(got)
 
         while at < stop:
             if at - base > CHUNK:
-                data, base = data[at - base :], at
+                del data[: at - base]
+                base = at
             if at - base + len(MAGIC) > len(data) and not more():
                 return
             found = data.find(MAGIC, at - base)
@@ -124,45 +130,47 @@ def members(store: arrow_fs.FileSystem, path: str, start: int, stop: int) -> Ite
             at = base + found
             if at >= stop:
                 return
-            unpack, out, taken, ok = zlib.decompressobj(31), [], found, True
+            unpack, out, taken, ok = zlib.decompressobj(31), bytearray(), found, True
             try:
-                while not unpack.eof:
+                while ok and not unpack.eof:
                     if taken >= len(data) and not more():
                         ok = False
                         break
-                    part = unpack.decompress(data[taken : taken + (1 << 16)])
-                    taken = min(taken + (1 << 16), len(data)) - len(unpack.unused_data)
-                    if not out and not part:
-                        continue
-                    out.append(part)
-                    if len(out) == 1 and not VERSION.startswith(part[: len(VERSION)]):
-                        ok = False
-                        break
+                    piece = bytes(data[taken : taken + (1 << 16)])
+                    out += unpack.decompress(piece)
+                    taken += len(piece) - len(unpack.unused_data)
+                    ok = out[: len(HEAD)] == HEAD[: len(out)]
             except zlib.error:
                 ok = False
-            member = b"".join(out)
-            if ok and member.startswith(VERSION):
-                yield member
+            if ok and len(out) >= len(HEAD):
+                yield at, base + taken, bytes(out)
                 at = base + taken
             else:
                 at += 1
 
 
+def sha1(block: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
 def parsed(member: bytes) -> dict:
-    """Fields of one decoded record; the payload of a response is digested anew and must match its header."""
+    """Fields of one decoded record; the payload of our responses is digested anew and must match its header."""
     head, _, rest = member.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-    block = rest[: int(fields["Content-Length"])]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
-        raise ValueError(f"payload of {fields[ID]} does not match its digest")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    length, counted = fields.get("content-length", ""), fields.get(PAYLOAD_BYTES.lower(), "")
+    block = rest[: int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    kind, digest = fields.get("warc-type", "").lower(), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if kind == "response" and counted.isdigit() and sha1(block) != digest:
+        raise ValueError(f"payload of {fields.get(ID.lower())} does not match its digest")
 
     def page(name: str) -> int | None:
-        x = fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")
-        return int(x) if x else None
+        x = fields.get(name.lower(), "").removeprefix("<urn:page:").removesuffix(">")
+        return int(x) if x.removeprefix("-").isdigit() else None
 
-    revisit = fields["WARC-Type"] == "revisit"
-    return {"page_id": page(ID), "url": fields.get("WARC-Target-URI"), "payload_bytes": int(fields[PAYLOAD_BYTES]) if revisit else len(block), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page(REFERS), "payload": None if revisit else block}
+    return {
+        "page_id": page(ID), "url": fields.get("warc-target-uri"), "payload_bytes": int(counted) if counted.isdigit() else len(block), "payload_digest": digest or sha1(block), "record_type": kind, "refers_to": page(REFERS),
+        "payload": None if kind == "revisit" else block,
+    }
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -170,7 +178,7 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """Records of files (path, bytes), read by byte ranges of split_bytes."""
-    schema = RECORD if payload else RECORD.removesuffix(", payload binary")
+    schema = "path string, start long, end long, " + (RECORD if payload else RECORD.removesuffix(", payload binary"))
     names = [x.split()[0] for x in schema.split(", ")]
     ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))).alias("start"))
 
@@ -179,8 +187,8 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 store, inner = open_fs(path)
                 rows, size = [], 0
-                for member in members(store, inner, start, start + split_bytes):
-                    rows.append(parsed(member))
+                for first, end, member in members(store, inner, start, start + split_bytes):
+                    rows.append(parsed(member) | {"path": path, "start": first, "end": end})
                     size += len(member)
                     if size > (4 << 20):
                         yield batch_of(rows)
@@ -193,7 +201,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[t]) for n, t in (x.split() for x in schema.split(", "))], names=names)
 
     ranges = cut(ranges)
-    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS))).mapInArrow(run, schema)
+    found = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS))).mapInArrow(run, schema)
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("until", F.max("end").over(before)).where("until is null or start >= until").drop("path", "start", "end", "until")
 
 
 def list_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -148,9 +148,29 @@ def test_licences(spark, odd, none):
     assert (rows[2].n_base, rows[2].first_word, rows[2].last_word) == (2, 0, 3)
     assert (rows[3].base_labels, rows[3].labels, rows[3].n_base) == ("", "gpl-3", 0)
     assert rows[4].n_base == 0 and rows[5].n_words == 0 and rows[6].score == 0 and rows[5].first_word is None
+    body = next(t for t, label in licences.TEMPLATES if label == "mit" and len(t.split()) > 100).split()
+    worn = [w if i % 40 else "other" for i, w in enumerate(body)]
+    cases = ["intro. " + " ".join(body).upper() + " outro", " ".join(worn), " ".join(body[:60]), " ".join(x for i, x in enumerate(body) if i % 3)]
+    found = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [found[i].labels for i in range(4)] == ["mit", "mit", "mit", ""] and found[0].score == 1 and 0.8 <= found[1].score < 1 and found[3].score < 0.5
     assert licences.scan(odd).count() == len(ODD) and licences.scan(none).count() == 0
 
 
+def test_licences_by_brute_force(spark, small):
+    """Every place of a base phrase, word by word; every template that stands in a text in whole gives its label."""
+    rows = {r.doc_id: r for r in licences.op4_licences(spark, small).collect()}
+    for r in table(spark, small, "documents").collect():
+        own = [w for w in re.split(licences.WORDS, lower(r.text)) if w]
+        places = [(i, label) for phrase, label in licences.BASE.items() for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split()]
+        x, starts = rows[r.doc_id], [i for i, _ in places]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word) == (len(own), len(places), min(starts, default=None), max(starts, default=None))
+        base = {label for _, label in places}
+        assert x.base_labels == ",".join(sorted(base)) and base <= set(x.labels.split(",")) and 0 <= x.score <= 1 and (not places or x.score == 1)
+        line = f" {' '.join(own)} "
+        whole = {label for text, label in licences.TEMPLATES if f" {text} " in line}
+        assert whole <= set(x.labels.split(",")), (r.doc_id, whole, x.labels)
+
+
 def test_language_model(spark, odd, none):
     rows = {r.doc_id: r for r in lm.score(odd).collect()}
     held = {k: (__import__("zlib").crc32(str(k).encode()) % 5 == 1) if k is not None else False for k in [r[0] for r in ODD]}
@@ -198,6 +218,22 @@ def test_attention_is_causal_and_normal():
         assert abs((up - down) / 2e-3 - grads[name][at]) < 1e-4 + 0.02 * abs(grads[name][at]), name
 
 
+def test_training_windows():
+    """At every place: the subwords of the whole text around it, however few words were cut into them."""
+    texts = pa.array(["the quick brown fox " * 30 + "jumped", None, "a", "x y z w " * 3])
+    model = lm.Attention(np.ones(lm.vocabulary_size(None)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), texts], names=["key", "text"])
+    got = [np.frombuffer(w, "<u2").tolist() for x in lm.training_windows(model, None, 1)([batch]) for w in x.column("window").to_pylist()]
+    ids, offsets, codes, at, distinct = lm.text_ids(texts, None)
+    start, want = np.concatenate([[0], np.cumsum(np.diff(lm.subwords(distinct, None)[1])[codes])]), []
+    for i in range(4):
+        own = model.bucket[ids[offsets[i] : offsets[i + 1]]].tolist()
+        for p in range(at[i], at[i + 1], lm.STRIDE):
+            first = start[p] - offsets[i]
+            want.append([model.head + 1 if j == -1 else own[j] if 0 <= j < len(own) else model.head + 2 for j in range(first - lm.BLOCK - 1, first + lm.BLOCK)])
+    assert got == want
+
+
 def test_language_model_learns(spark, small):
     """On held-out text the model beats its own subwords' frequencies; partitioning changes no score."""
     docs = table(spark, small, "documents")
@@ -324,6 +360,27 @@ def test_warc(spark, small):
     assert {r.page_id for r in warc.read_warc(large).where("record_type = 'revisit'").collect()} == set()
 
 
+def test_warc_of_others(spark):
+    """Records without our fields, and a record that a payload holds, wherever ranges begin."""
+    import gzip
+    import random
+
+    def member(kind, ident, block, more=""):
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {ident}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    inner = member("response", "<urn:page:99>", b"phantom")
+    noise = random.Random(1).randbytes(60_000)
+    parts = [member("warcinfo", "<urn:uuid:a>", b"software: x"), warc.record(1, "u", b"one", None), member("response", "<urn:uuid:b>", noise + inner + noise, "WARC-Payload-Digest: sha1:OTHER\r\n"), member("metadata", "<urn:uuid:c>", b""), warc.record(2, "u", b"one", 1)]
+    folder = f"{shared_dir(spark)}/warc-others-{np.random.default_rng().integers(1 << 40)}"
+    store, root = warc.open_fs(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/x.warc.gz", compression=None) as out:
+        out.write(b"".join(parts))
+    for split in (20_000, 1 << 30):
+        got = sorted((r.record_type, r.page_id if r.page_id is not None else -1, r.payload_bytes) for r in warc.read_warc(warc.list_warc(spark, folder), split).collect())
+        assert got == sorted([("warcinfo", -1, 11), ("response", 1, 3), ("response", -1, len(noise) * 2 + len(inner)), ("metadata", -1, 0), ("revisit", 2, 3)])
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((12, 64))
