@@ -59,14 +59,14 @@ def differing_definitions(df: DataFrame, ident: str, definition: Column, order:
 
 
 def shared_values(df: DataFrame, value: str, ident: str) -> DataFrame:
-    """Values that stand under several ids: (digest of the value, ids, n)."""
-    found = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(ident)).alias("ids"))
-    return found.where(F.size("ids") > 1).select(F.sha2(F.col(value).cast("string"), 256).alias("digest"), F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Members of values that stand under several ids: (digest of the value, ident, n ids). No group is gathered in one row."""
+    rows = df.where(F.col(value).isNotNull()).select(F.sha2(F.col(value).cast("string"), 256).alias("digest"), ident).distinct()
+    return rows.join(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digest").select("digest", ident, "n")
 
 
 def duplicate_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """Texts that are equal without white space: (digest, ids). Only digests are shuffled."""
-    return shared_values(df.select(ident, F.sha2(compact(F.col(text)), 256).alias("__k")), "__k", ident).select("n", "ids")
+    """Members of groups of texts that are equal without white space: (digest, ident, n). Only digests are shuffled."""
+    return shared_values(df.select(ident, compact(F.col(text)).alias("__k")), "__k", ident)
 
 
 def band_coverage(present: DataFrame, referenced: DataFrame, bands: DataFrame) -> DataFrame:

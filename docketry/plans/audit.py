@@ -161,7 +161,7 @@ def seeds(s, d):
 
 
 def neighbour_rules(s, d):
-    return G.neighbour_rules(seeds(s, d), given(s, d, "members").where("condition_id <= 5"))
+    return G.neighbour_rules(seeds(s, d), given(s, d, "members"))
 
 
 def cases_by_condition(s, d):
@@ -206,7 +206,7 @@ GAPS = """SELECT 'missing' AS issue, x AS number FROM (SELECT unnest(range(1, 10
 DANGLING = "SELECT doc_id, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 BAD = f"""SELECT s.source_id, span_id, CASE WHEN t.doc_id IS NULL THEN 'unknown_source' ELSE 'quote_mismatch' END AS issue FROM ({SPAN_SQL}) s LEFT JOIN (SELECT * FROM documents WHERE source <> 'src7') t ON t.doc_id = s.source_id
   WHERE t.doc_id IS NULL OR substr(t.text, start_offset + 1, end_offset - start_offset) <> quote"""
-TEXTS = "SELECT count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') HAVING count(*) > 1"
+TEXTS = "SELECT sha256(k) AS digest, doc_id, count(*) OVER (PARTITION BY k) AS n FROM (SELECT DISTINCT regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') AS k, doc_id FROM documents WHERE text IS NOT NULL) QUALIFY n > 1"
 
 QUERIES = {
     "duplicate_ids": (duplicate_ids, DUP.format(c="l_orderkey", t="lineitem")),
@@ -216,7 +216,7 @@ QUERIES = {
     "full_text_spans": (full_text_spans, f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT source_id FROM ({SPAN_SQL}) s JOIN documents t ON t.doc_id = s.source_id WHERE start_offset = 0 AND end_offset >= length(t.text))"),
     "register_mismatch": (embedded_spans, "SELECT doc_id, CASE WHEN l.q IS NULL AND l.i IS NULL THEN 'unexpected' WHEN r.i IS NULL THEN 'missing' ELSE 'different' END AS issue FROM (SELECT doc_id, quality AS q, 1 AS i FROM labels) l FULL JOIN (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS q, 1 AS i FROM documents) r USING (doc_id) WHERE l.i IS NULL OR r.i IS NULL OR l.q IS DISTINCT FROM r.q"),
     "differing_definitions": (differing_definitions, "SELECT p_size, count(*) AS n FROM (SELECT p_size, p_brand, first_value(p_brand) OVER (PARTITION BY p_size ORDER BY p_partkey) AS f FROM part) WHERE p_brand <> f GROUP BY 1"),
-    "shared_predicates": (shared_predicates, "SELECT sha256(p_type) AS digest, count(DISTINCT p_size) AS n, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS ids FROM part GROUP BY p_type HAVING count(DISTINCT p_size) > 1"),
+    "shared_predicates": (shared_predicates, "SELECT sha256(p_type) AS digest, p_size, count(*) OVER (PARTITION BY p_type) AS n FROM (SELECT DISTINCT p_type, p_size FROM part) QUALIFY n > 1"),
     "duplicate_texts": (duplicate_texts, TEXTS),
     "band_coverage": (band_coverage, "SELECT r_name AS band, CAST(10 AS BIGINT) AS expected, (SELECT count(DISTINCT p_size) FROM part WHERE p_size BETWEEN r_regionkey * 10 + 1 AND r_regionkey * 10 + 10) AS present, (SELECT count(DISTINCT p_size) FROM part WHERE p_brand = 'Brand#12' AND p_size BETWEEN r_regionkey * 10 + 1 AND r_regionkey * 10 + 10) AS referenced FROM region"),
     "reused_children": (reused_children, "SELECT child_id, count(DISTINCT o) AS owners FROM (SELECT l_orderkey AS o, 'p' || l_partkey AS child_id FROM lineitem UNION ALL SELECT l_orderkey, 's' || l_suppkey FROM lineitem) GROUP BY 1 HAVING count(DISTINCT o) > 1"),
@@ -236,7 +236,7 @@ QUERIES = {
     "node_conflicts": (node_conflicts, "SELECT 'Condition|' || p_size AS key, count(DISTINCT p_brand) AS payloads FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) > 1"),
     "dangling_edges": (dangling_edges, f"WITH {GRAPH}, k AS (SELECT key FROM nodes WHERE label <> 'Provision' OR CAST(object_id AS INTEGER) % 3 <> 0) SELECT 'source' AS end, count(*) AS n FROM edges WHERE source NOT IN (SELECT key FROM k) HAVING count(*) > 0 UNION ALL SELECT 'target', count(*) FROM edges WHERE target NOT IN (SELECT key FROM k) HAVING count(*) > 0".replace(" AS end", ' AS "end"')),
     "graph_release": (release, None),
-    "neighbour_rules": (neighbour_rules, f"WITH {cte('members', 'scope')}, m AS (SELECT * FROM members WHERE condition_id <= 5), o AS (SELECT DISTINCT query_id, condition_id FROM scope JOIN m USING (rule_id)), n AS (SELECT o.query_id, m.rule_id, o.condition_id, m.group_id FROM o JOIN m ON m.condition_id = o.condition_id WHERE (o.query_id, m.rule_id) NOT IN (SELECT query_id, rule_id FROM scope)) SELECT query_id, rule_id, condition_id, group_id FROM n QUALIFY row_number() OVER (PARTITION BY query_id, rule_id ORDER BY condition_id, group_id) = 1"),
+    "neighbour_rules": (neighbour_rules, f"WITH {cte('members', 'scope')}, o AS (SELECT DISTINCT query_id, condition_id FROM scope JOIN members USING (rule_id)), n AS (SELECT o.query_id, m.rule_id, o.condition_id, m.group_id FROM o JOIN members m ON m.condition_id = o.condition_id WHERE (o.query_id, m.rule_id) NOT IN (SELECT query_id, rule_id FROM scope)) SELECT query_id, rule_id, condition_id, group_id FROM n QUALIFY row_number() OVER (PARTITION BY query_id, rule_id ORDER BY condition_id, group_id) = 1"),
     "cases_by_condition": (cases_by_condition, f"WITH {cte('known', 'assessments')} SELECT k.query_id, a.case_id, a.condition_id, a.status, coalesce(array_to_string(list_sort(list(DISTINCT evidence) FILTER (WHERE evidence IS NOT NULL)), ','), '') AS evidence FROM known k JOIN assessments a ON a.condition_id = k.condition_id WHERE k.status = 'SATISFIED' AND a.status <> 'UNKNOWN' GROUP BY 1, 2, 3, 4"),
     "cases_applying": (cases_applying, f"WITH {cte('scope', 'links')} SELECT query_id, case_id, min(rule_id) AS rule_id FROM scope JOIN links USING (rule_id) WHERE applied GROUP BY 1, 2"),
     "cases_citing": (cases_citing, f"WITH {cte('scope')}, b AS ({BASED_ON.format(part='part')}), c AS ({CITES.format(lineitem='lineitem')}) SELECT query_id, case_id, min(rule_id) AS rule_id, count(DISTINCT provision_id) AS provisions FROM scope JOIN b USING (rule_id) JOIN c USING (provision_id) GROUP BY 1, 2"),

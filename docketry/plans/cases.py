@@ -67,12 +67,12 @@ HAN_NUMBER = """CASE WHEN n >= 1000 THEN substr('零一二三四五六七八九'
 
 
 def numerals(s, d):
-    n = table(s, d, "orders").select(F.col("o_orderkey").alias("n")).where("n < 3000")
+    n = table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 10000).alias("n"))
     digit = lambda x: F.substring(F.lit("零一二三四五六七八九"), 1, 10).substr((x + 1).cast("int"), F.lit(1))
     n_ = F.col("n")
     part = lambda unit, name: F.when(n_ >= unit, F.when((n_ % (unit * 10)) < unit, "零").otherwise(F.concat(digit(F.floor(n_ % (unit * 10) / unit)), F.lit(name)))).otherwise("")
     text = F.concat(part(1000, "千"), part(100, "百"), part(10, "十"), F.when(n_ % 10 > 0, digit(n_ % 10)).otherwise(""))
-    return n.select("n", T.article_number(F.concat(F.lit("第"), text, F.lit("条"))).cast("long").alias("article"))
+    return n.select("o_orderkey", "n", T.article_number(F.concat(F.lit("第"), text, F.lit("条"))).cast("long").alias("article"))
 
 
 def dates(s, d):
@@ -130,7 +130,7 @@ def condition_owners(s, d):
 
 
 def role_lists(s, d):
-    return K.role_lists(given(s, d, "members").where("condition_id < 10")).select("rule_id", "core", "diagnostic")
+    return K.role_lists(given(s, d, "members")).select("rule_id", "core", "diagnostic")
 
 
 def search_texts(s, d):
@@ -148,8 +148,8 @@ def united_evidence(s, d):
 
 def selector_coverage(s, d):
     used = table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("number"))
-    sel = table(s, d, "customer").where("c_custkey % 10 = 1 and c_custkey < 1000").select(F.concat(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 20 == 1, F.concat(F.lit("-"), (F.col("c_custkey") + 4).cast("string"))).otherwise("-def")).alias("selector"))
-    return K.selector_coverage(used, sel, 1000)
+    sel = table(s, d, "customer").where("c_custkey % 10 = 1").select(F.concat(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 20 == 1, F.concat(F.lit("-"), (F.col("c_custkey") + 4).cast("string"))).otherwise("-def")).alias("selector"))
+    return K.selector_coverage(used, sel, table(s, d, "customer").agg(F.max("c_custkey")).first()[0])
 
 
 def scope_issues(s, d):
@@ -172,7 +172,7 @@ QUERIES = {
     "claims": (claims, f"SELECT case_id, CASE WHEN o_orderkey % 2 = 1 THEN '物业服务合同纠纷' WHEN demand LIKE '%解除%' THEN 'service_termination_refund' ELSE '服务合同纠纷' END AS claim_type, '甲' AS claimant, '乙' AS respondent, replace(demand, '请求判令：', '') AS remedy FROM ({F_SQL})"),
     "court_findings": (court_findings, f"SELECT case_id || '.finding.' || lpad(CAST(i AS VARCHAR), 3, '0') AS finding_id, case_id, q AS predicate, instr(facts, q) - 1 AS start_offset, instr(facts, q) - 1 + length(q) AS end_offset FROM ({F_SQL}), (SELECT 1 AS i, '原告向被告支付课程费用若干元。' AS q UNION ALL SELECT 2, '双方签订服务合同并约定课程。')"),
     "citations": (citations, "SELECT p_partkey, CASE WHEN p_partkey NOT BETWEEN 1 AND 1260 OR p_partkey = 509 THEN 'provision.0509' WHEN p_partkey < 509 THEN 'provision.' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || ',provision.0509' ELSE 'provision.0509,provision.' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') END AS ids FROM part"),
-    "numerals": (numerals, "SELECT o_orderkey AS n, CASE WHEN o_orderkey BETWEEN 1 AND 1260 THEN o_orderkey END AS article FROM orders WHERE o_orderkey < 3000"),
+    "numerals": (numerals, "SELECT o_orderkey, o_orderkey % 10000 AS n, CASE WHEN o_orderkey % 10000 BETWEEN 1 AND 1260 THEN o_orderkey % 10000 END AS article FROM orders"),
     "dates": (dates, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"),
     "case_ids": (case_ids, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'k' || c_custkey ELSE 'case.' || substr(sha1(c_name), 1, 12) END AS case_id FROM customer"),
     "text_keys": (text_keys, "SELECT doc_id, sha256(regexp_replace(text, '[ \\t\\r\\n]+', '', 'g')) AS key FROM documents"),
@@ -185,12 +185,12 @@ QUERIES = {
     "alias_merge": (alias_merge, f"WITH {cte('members')} SELECT DISTINCT rule_id, CASE WHEN condition_id > 10 AND condition_id % 3 <> 0 THEN condition_id - 10 ELSE condition_id END AS condition_id FROM members"),
     "condition_definitions": (definitions, "SELECT CAST(p_size AS BIGINT) AS condition_id, p_brand AS rule_id, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_brand, p_partkey) = 1"),
     "condition_owners": (condition_owners, f"WITH {cte('members')} SELECT condition_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM members GROUP BY 1"),
-    "role_lists": (role_lists, f"WITH {cte('members')} SELECT rule_id, coalesce(string_agg(DISTINCT condition_id::VARCHAR, ',' ORDER BY condition_id::VARCHAR) FILTER (WHERE role = 'CORE'), '') AS core, coalesce(string_agg(DISTINCT condition_id::VARCHAR, ',' ORDER BY condition_id::VARCHAR) FILTER (WHERE role = 'DIAGNOSTIC'), '') AS diagnostic FROM members WHERE condition_id < 10 GROUP BY 1"),
+    "role_lists": (role_lists, f"WITH {cte('members')} SELECT rule_id, coalesce(array_to_string(list_sort(list(DISTINCT condition_id) FILTER (WHERE role = 'CORE')), ','), '') AS core, coalesce(array_to_string(list_sort(list(DISTINCT condition_id) FILTER (WHERE role = 'DIAGNOSTIC')), ','), '') AS diagnostic FROM members GROUP BY 1"),
     "search_texts": (search_texts, "SELECT s_suppkey, s_name || chr(10) || n_name AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "index_version": (index_version, None),
     "united_evidence": (united_evidence, "SELECT l_partkey AS entity_id, count(DISTINCT l_suppkey % 2) AS definitions, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS spans FROM lineitem GROUP BY 1"),
-    "selector_coverage": (selector_coverage, """WITH s AS (SELECT DISTINCT x FROM (SELECT unnest(range(c_custkey, CASE WHEN c_custkey % 20 = 1 THEN c_custkey + 5 ELSE c_custkey + 1 END)) AS x FROM customer WHERE c_custkey % 10 = 1 AND c_custkey < 1000)), u AS (SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0)
-      SELECT CASE WHEN u.x IS NULL AND s.x IS NULL THEN 'uncovered' WHEN u.x IS NULL THEN 'skip_only' WHEN s.x IS NOT NULL THEN 'both' ELSE 'referenced' END AS issue, count(*) AS n FROM (SELECT unnest(range(1, 1001)) AS x) e LEFT JOIN u USING (x) LEFT JOIN s USING (x) GROUP BY 1"""),
+    "selector_coverage": (selector_coverage, """WITH s AS (SELECT DISTINCT x FROM (SELECT unnest(range(c_custkey, CASE WHEN c_custkey % 20 = 1 THEN c_custkey + 5 ELSE c_custkey + 1 END)) AS x FROM customer WHERE c_custkey % 10 = 1)), u AS (SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0)
+      SELECT CASE WHEN u.x IS NULL AND s.x IS NULL THEN 'uncovered' WHEN u.x IS NULL THEN 'skip_only' WHEN s.x IS NOT NULL THEN 'both' ELSE 'referenced' END AS issue, count(*) AS n FROM (SELECT unnest(range(1, (SELECT max(c_custkey) + 1 FROM customer))) AS x) e LEFT JOIN u USING (x) LEFT JOIN s USING (x) GROUP BY 1"""),
     "scope_issues": (scope_issues, f"WITH {cte('scope')} SELECT query_id AS session_id, rule_id, 'several_usages' AS issue FROM scope WHERE query_id % 4 = 0 UNION ALL SELECT query_id, rule_id, 'unknown_rule' FROM scope, (SELECT unnest([0, 1]) AS k) WHERE rule_id = 'Brand#11' AND (k = 0 OR query_id % 4 = 0)"),
     "routing": (routed, f"WITH {cte('scope')}, c AS (SELECT *, CAST(substr(rule_id, 7, 2) AS INTEGER) % 7 AS score FROM scope), r AS (SELECT *, CASE score WHEN 3 THEN 'UNCERTAIN' ELSE 'RELEVANT' END AS relevance, CASE WHEN score = 3 THEN 'BACKGROUND' WHEN score % 2 = 0 THEN 'ACTIVE' ELSE 'ALTERNATIVE' END AS usage FROM c WHERE score <> 1) SELECT query_id, rule_id, relevance, usage, row_number() OVER (PARTITION BY query_id ORDER BY list_position(['ACTIVE', 'ALTERNATIVE', 'BACKGROUND'], usage), list_position(['RELEVANT', 'UNCERTAIN'], relevance), score DESC, rule_id) AS place FROM r"),
 }

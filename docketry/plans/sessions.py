@@ -36,7 +36,7 @@ def ledger(s, d):
 
 
 def delta(s, d):
-    facts = evidence(s, d).where("turn = 1").select("session_id", "fact_id", F.lit("1").alias("text_version"))
+    facts = evidence(s, d).select("session_id", "fact_id", F.lit("1").alias("text_version"))
     conditions = evidence(s, d).select("session_id", "condition_id").distinct().withColumns({"definition_version": F.lit("1"), "mapper_version": F.lit("1")})
     return S.delta_pairs(facts, conditions, ledger(s, d), corrections(s, d))
 
@@ -162,7 +162,7 @@ def history_guard(s, d):
 E_SQL, C_SQL = EVIDENCE.format(events="events"), CORRECTED.format(events="events")
 R_SQL = RUNS.format(orders="orders")
 LEDGER_SQL = "SELECT session_id, fact_id, condition_id, CASE WHEN fact_id % 4 = 0 THEN '1' ELSE '0' END AS m FROM e WHERE fact_id % 2 = 0"
-DELTA_SQL = f"""e AS ({E_SQL}), c AS ({C_SQL}), l AS ({LEDGER_SQL}), dl AS (SELECT f.session_id, f.fact_id, k.condition_id FROM (SELECT session_id, fact_id FROM e WHERE turn = 1) f JOIN (SELECT DISTINCT session_id, condition_id FROM e) k USING (session_id)
+DELTA_SQL = f"""e AS ({E_SQL}), c AS ({C_SQL}), l AS ({LEDGER_SQL}), dl AS (SELECT f.session_id, f.fact_id, k.condition_id FROM (SELECT session_id, fact_id FROM e) f JOIN (SELECT DISTINCT session_id, condition_id FROM e) k USING (session_id)
   WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.session_id = f.session_id AND l.fact_id = f.fact_id AND l.condition_id = k.condition_id AND l.m = '1') AND NOT EXISTS (SELECT 1 FROM c WHERE c.session_id = f.session_id AND c.fact_id = f.fact_id AND (c.condition_id IS NULL OR c.condition_id = k.condition_id)))"""
 CAND_SQL = f"""ca AS (SELECT session_id, condition_id, tier, rule_rank FROM (SELECT *, CASE WHEN status = 'CONFLICTING' OR (core AND core_open) THEN 0 WHEN split THEN 1 WHEN diagnostic THEN 2 END AS tier FROM ({CANDIDATES.format(events='events')})
   WHERE NOT asked AND answerable AND status IN ('UNKNOWN', 'CONFLICTING')) WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, condition_id ORDER BY tier, rule_rank) = 1)"""
