@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -49,7 +51,10 @@ def verify_manifest(spark: SparkSession, path: str, stated: DataFrame) -> DataFr
 
 
 def publish(tables: dict[str, DataFrame], folder: str, release_id: str) -> None:
-    """Writes tables under a release and turns the pointer to it only if the written counts are the given ones; old releases stay."""
+    """Writes tables under a release and points to it only if the written counts are the given ones; old releases stay.
+
+    A pointer is one more file, never an overwritten one, so that there is an active release at any time; the newest counts.
+    """
     for name, df in tables.items():
         want = df.count()
         path = f"{folder}/{name}/release_id={release_id}"
@@ -57,11 +62,11 @@ def publish(tables: dict[str, DataFrame], folder: str, release_id: str) -> None:
         if (got := df.sparkSession.read.parquet(path).count()) != want:
             raise ValueError(f"{name}: {got} rows written, {want} given")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(release_id,)], "release_id string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_active")
+    spark.createDataFrame([(release_id, time.time_ns())], "release_id string, at long").coalesce(1).write.mode("append").parquet(f"{folder}/_active")
 
 
 def read_release(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    active = spark.read.parquet(f"{folder}/_active").first()["release_id"]
+    active = spark.read.parquet(f"{folder}/_active").agg(F.max_by("release_id", "at")).first()[0]
     return spark.read.parquet(f"{folder}/{name}/release_id={active}")
 
 

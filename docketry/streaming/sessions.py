@@ -45,12 +45,13 @@ def fold_states(stream: DataFrame) -> DataFrame:
         turn, yes, no = state.get if state.exists else (-1, False, False)
         before = (turn, yes, no)
         for pdf in frames:
-            for relation, t in pdf[["relation", "turn"]].itertuples(index=False):
-                if relation not in ("SUPPORTS", "OPPOSES") or t < turn:
-                    continue
-                if t > turn:
-                    turn, yes, no = int(t), False, False
-                yes, no = yes or relation == "SUPPORTS", no or relation == "OPPOSES"
+            said = pdf[pdf["relation"].isin(["SUPPORTS", "OPPOSES"]) & (pdf["turn"] >= turn)]
+            if not len(said):
+                continue
+            newest_turn = int(said["turn"].max())
+            held = set(said.loc[said["turn"] == newest_turn, "relation"])
+            yes, no = (("SUPPORTS" in held) | (yes & (newest_turn == turn)), ("OPPOSES" in held) | (no & (newest_turn == turn)))
+            turn = newest_turn
         state.update((turn, yes, no))
         if (turn, yes, no) != before or not before[0] + 1:
             status = "CONFLICTING" if yes and no else "SATISFIED" if yes else "NOT_SATISFIED" if no else "UNKNOWN"
@@ -59,20 +60,24 @@ def fold_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session_id", "condition_id").applyInPandasWithState(fold, "session_id long, condition_id string, status string, turn long", "turn long, yes boolean, no boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Versions that make a pair new again, where facts or conditions have them.
+VERSIONS = ("definition_version", "mapper_version", "text_version")
+
+
 def map_new(stream: DataFrame, conditions: DataFrame, ledger_path: str, checkpoint: str):
-    """A running query that appends to the ledger the pairs of each batch's facts and conditions that it lacks."""
+    """A running query that appends to the ledger the pairs of each batch's facts (session_id, fact_id) and conditions (session_id, condition_id) that it lacks in their versions."""
+
+    def pairs_of(facts: DataFrame) -> DataFrame:
+        own = [c for c in VERSIONS if c in facts.columns]
+        theirs = [c for c in VERSIONS if c in conditions.columns]
+        return facts.select("session_id", "fact_id", *own).distinct().join(conditions, "session_id").select("session_id", "fact_id", "condition_id", *own, *theirs)
 
     def batch(facts: DataFrame, _: int) -> None:
-        spark = facts.sparkSession
-        pairs = facts.select("session_id", "fact_id").distinct().join(conditions, "session_id").select("session_id", "fact_id", "condition_id")
-        try:
-            seen = spark.read.parquet(ledger_path)
-        except Exception as e:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = pairs.limit(0)
-        pairs.join(seen, ["session_id", "fact_id", "condition_id"], "left_anti").write.mode("append").parquet(ledger_path)
+        pairs = pairs_of(facts)
+        pairs.join(facts.sparkSession.read.schema(pairs.schema).parquet(ledger_path), pairs.columns, "left_anti").write.mode("append").parquet(ledger_path)
 
+    spark = conditions.sparkSession
+    pairs_of(spark.createDataFrame([], stream.schema)).write.mode("ignore").parquet(ledger_path)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

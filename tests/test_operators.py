@@ -202,6 +202,10 @@ def test_incremental_mapping(spark, tmp_path):
     q = streams.map_new(stream, conditions_, ledger, str(tmp_path / "map-cp"))
     assert q.awaitTermination(120)
     assert sorted((x.fact_id, x.condition_id) for x in spark.read.parquet(ledger).collect()) == [(10, "a"), (10, "b"), (11, "a"), (11, "b")]
+    for n, version in enumerate(("1", "2", "2")):  # a new mapper maps all pairs again, and once
+        again = stream_of(spark, tmp_path, f"v{n}", [[(1, 10)]], "session_id long, fact_id long")
+        assert streams.map_new(again, conditions_.withColumn("mapper_version", F.lit(version)), ledger + "-v", str(tmp_path / f"map-v{n}")).awaitTermination(120)
+    assert sorted((x.condition_id, x.mapper_version) for x in spark.read.parquet(ledger + "-v").collect()) == [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2")]
 
 
 @pytest.mark.parametrize("gone", [["docketry/llm", "corpus_pipeline.py", "tests/llm"], ["corpus_pipeline.py"]])
