@@ -180,7 +180,12 @@ QUERIES = {
     "channel_ablation": (ablation, " UNION ALL ".join(
         f"SELECT * FROM (WITH {BM25}, {QRELS}, {CHANNELS}, f AS ({rrf_sql('CASE channel WHEN $$bm25$$ THEN 1.0 ELSE 0.8 END', where, 20)}), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f), {RECALL.format(hits='g')} SELECT k, round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg, '{name}' AS variant FROM m GROUP BY k)"
         for name, where in (("bm25", "channel = 'bm25'"), ("bm25+claim", "TRUE"), ("claim", "channel = 'claim'")))),
-    "query_variants": (query_variants, None),
+    "query_variants": (query_variants, f"""WITH {BM25}, w AS (SELECT item_id AS query_id, string_split(text, ' ') AS w FROM benchmark), half AS (SELECT query_id, array_to_string(w[1 : greatest(len(w) // 2, 1)], ' ') AS text FROM w),
+      hq AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({TOKENS}) AS term FROM half) GROUP BY 1, 2),
+      hs AS (SELECT query_id, tf.id, round(sum(m * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM hq JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.id = tf.id, st GROUP BY 1, 2),
+      hb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hs WHERE score > 0 QUALIFY rank <= 20),
+      ch AS (SELECT query_id, 'original' AS channel, id, rank FROM bm UNION ALL SELECT query_id, 'expanded', id, rank FROM hb), f AS ({rrf_sql('CASE channel WHEN $$original$$ THEN 1.0 ELSE 0.5 END', limit=20)})
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f"""),
     "peer_counts": (peer_counts, f"WITH {LABELS}, pe AS (SELECT a.id, count(DISTINCT b.id) AS n FROM lab a JOIN lab b ON a.label = b.label AND a.id <> b.id GROUP BY 1) SELECT doc_id AS id, coalesce(n, 0) AS n_peers, coalesce(n, 0) > 0 AS evaluable, CASE WHEN n > 0 THEN NULL WHEN doc_id IN (SELECT id FROM lab) THEN 'no_shared_relation_peer' ELSE 'no_valid_relation_label' END AS skip_reason FROM documents LEFT JOIN pe ON pe.id = doc_id"),
     "label_counts": (label_counts, f"WITH {LABELS} SELECT label, count(DISTINCT id) AS cases FROM lab GROUP BY label"),
     "qrels_by_source": (qrels_by_source, f"WITH {LABELS}, c AS (SELECT id, list_sort(list(DISTINCT label)) AS s FROM lab WHERE label IS NOT NULL GROUP BY 1), z AS (SELECT s, count(*) AS n FROM c GROUP BY 1) SELECT array_to_string(a.s, ',') AS labels, array_to_string(b.s, ',') AS peer, a.n, b.n AS m, CASE WHEN a.s = b.s THEN a.n * (a.n - 1) ELSE a.n * b.n END AS pairs FROM z a JOIN z b ON list_has_any(a.s, b.s)"),

@@ -182,8 +182,12 @@ QUERIES = {
     "merged_drafts": (drafts, "SELECT user_id AS session_id, event_type AS key, string_agg(DISTINCT (event_id % 5)::VARCHAR, ',' ORDER BY (event_id % 5)::VARCHAR) AS condition_ids, min(event_id % 3) AS strictness, count(*) AS n FROM events GROUP BY 1, 2"),
     "question_candidates": (question_candidates, f"WITH {CAND_SQL} SELECT * FROM ca"),
     "next_questions": (next_questions, f"WITH {CAND_SQL} SELECT session_id, condition_id, tier, round(1 / (tier + 1), 6) AS utility FROM ca WHERE condition_id <> 'error' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY tier, rule_rank, condition_id) = 1"),
-    "evidence_pack": (evidence_pack, None),
-    "calibration": (calibration, None),
+    "evidence_pack": (evidence_pack, """WITH RECURSIVE c AS (SELECT conv_id AS session_id, turn AS pos, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+      r AS (SELECT *, size <= 1500 AS taken, CASE WHEN size <= 1500 THEN size ELSE 0 END AS used FROM c WHERE i = 1 UNION ALL SELECT c.*, r.used + c.size <= 1500, CASE WHEN r.used + c.size <= 1500 THEN r.used + c.size ELSE r.used END FROM r JOIN c ON c.session_id = r.session_id AND c.i = r.i + 1)
+      SELECT session_id, pos, size, taken FROM r"""),
+    "calibration": (calibration, """WITH s AS (SELECT l_linestatus AS dataset, round(l_discount, 2) AS score, count(*) + 2 AS w, count(*) FILTER (WHERE l_quantity < 25 + 100 * l_discount) + 1 AS h FROM lineitem GROUP BY 1, 2),
+      a AS (SELECT j.dataset, j.score, i.score AS lo, k.score AS hi, (SELECT sum(h) / sum(w) FROM s x WHERE x.dataset = j.dataset AND x.score BETWEEN i.score AND k.score) AS v FROM s j JOIN s i ON i.dataset = j.dataset AND i.score <= j.score JOIN s k ON k.dataset = j.dataset AND k.score >= j.score),
+      m AS (SELECT dataset, score, lo, min(v) AS v FROM a GROUP BY 1, 2, 3), iso AS (SELECT dataset, score, max(v) AS v FROM m GROUP BY 1, 2) SELECT dataset, max(score) AS score, round(v, 9) AS value FROM iso GROUP BY dataset, round(v, 9)"""),
     "session_audit": (session_audit, "SELECT c.role, count(*) AS n FROM conversations c LEFT JOIN (SELECT conv_id, text AS f FROM conversations WHERE turn = 0) x USING (conv_id) WHERE NOT coalesce(contains(f, substr(c.text, 1, 12)), FALSE) GROUP BY 1"),
     "run_summaries": (run_summaries, f"SELECT variant, round(avg(ok), 6) AS mean_of_categories, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS n FROM (SELECT variant, category, avg(CASE WHEN expected = actual THEN 1.0 ELSE 0.0 END) AS ok, count(*) FILTER (WHERE actual = 'ERROR') AS errors, count(*) AS n FROM ({R_SQL}) GROUP BY 1, 2) GROUP BY 1"),
     "review_scores": (review_scores, f"SELECT variant, expected, round(count(*) FILTER (WHERE expected = actual) / count(*), 6) AS accuracy, round(count(*) FILTER (WHERE actual = 'ASK' AND target_hit AND expected = 'ASK') / nullif(count(*) FILTER (WHERE actual = 'ASK'), 0), 6) AS target_rate, round(count(*) FILTER (WHERE actual = 'ASK' AND NOT repeats) / nullif(count(*) FILTER (WHERE actual = 'ASK'), 0), 6) AS fresh_rate FROM ({R_SQL}) GROUP BY 1, 2"),
