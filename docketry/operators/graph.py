@@ -34,6 +34,39 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Labels of nodes, with the flat table and the id column of each.
+NODES = {
+    "LegalSource": ("sources", "source_id"), "Provision": ("provisions", "provision_id"), "LegalRule": ("rules", "rule_id"), "RuleCondition": ("conditions", "condition_id"), "ConditionGroup": ("groups", "group_id"),
+    "RuleException": ("exceptions", "exception_id"), "LegalConsequence": ("consequences", "consequence_id"), "Case": ("cases", "case_id"), "Claim": ("claims", "claim_id"), "CourtFinding": ("findings", "finding_id"),
+    "ConditionFinding": ("assessments", "assessment_id"), "ReasoningStep": ("reasoning", "reasoning_id"), "DecisionItem": ("decisions", "decision_id"), "SourceSpan": ("spans", "span_id"),
+}
+#: Types of edges: the flat tables that state them, with the labels and columns of both ends.
+EDGES = [
+    ("BELONGS_TO", "provisions", ("Provision", "provision_id"), ("LegalSource", "source_id")), ("BASED_ON", "rule_provisions", ("LegalRule", "rule_id"), ("Provision", "provision_id")),
+    ("HAS_CONDITION", "conditions", ("LegalRule", "rule_id"), ("RuleCondition", "condition_id")), ("HAS_GROUP", "groups", ("LegalRule", "rule_id"), ("ConditionGroup", "group_id")),
+    ("HAS_MEMBER", "members", ("ConditionGroup", "group_id"), ("RuleCondition", "condition_id")), ("HAS_EXCEPTION", "exceptions", ("LegalRule", "rule_id"), ("RuleException", "exception_id")),
+    ("HAS_CONSEQUENCE", "consequences", ("LegalRule", "rule_id"), ("LegalConsequence", "consequence_id")), ("CITES_PROVISION", "case_provisions", ("Case", "case_id"), ("Provision", "provision_id")),
+    ("HAS_CLAIM", "claims", ("Case", "case_id"), ("Claim", "claim_id")), ("HAS_FINDING", "findings", ("Case", "case_id"), ("CourtFinding", "finding_id")), ("HAS_ASSESSMENT", "assessments", ("Case", "case_id"), ("ConditionFinding", "assessment_id")),
+    ("HAS_REASONING", "reasoning", ("Case", "case_id"), ("ReasoningStep", "reasoning_id")), ("HAS_DECISION", "decisions", ("Case", "case_id"), ("DecisionItem", "decision_id")), ("INVOKES", "claim_rules", ("Claim", "claim_id"), ("LegalRule", "rule_id")),
+    ("ABOUT", "assessments", ("ConditionFinding", "assessment_id"), ("RuleCondition", "condition_id")), ("APPLIES", "reasoning_rules", ("ReasoningStep", "reasoning_id"), ("LegalRule", "rule_id")),
+    ("USES_FINDING", "reasoning_findings", ("ReasoningStep", "reasoning_id"), ("CourtFinding", "finding_id")), ("USES_FINDING", "assessment_findings", ("ConditionFinding", "assessment_id"), ("CourtFinding", "finding_id")),
+    ("DECIDES", "decisions", ("DecisionItem", "decision_id"), ("Claim", "claim_id")),
+]
+
+
+def project(tables: dict[str, DataFrame], evidence: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all flat record tables that are given; equal nodes are one, the columns of a table are its nodes' properties.
+
+    evidence (label, object_id, span_id): spans that an object is EVIDENCED_BY. Lists are side tables here, as explode_rules makes them.
+    """
+    made = [node_table(label, tables[name], ident, sorted(set(tables[name].columns))) for label, (name, ident) in NODES.items() if name in tables]
+    found = [edge_table(kind, tables[name], source, target) for kind, name, source, target in EDGES if name in tables]
+    if evidence is not None:
+        ends = evidence.select(F.concat_ws("|", "label", F.col("object_id").cast("string")).alias("source"), F.lit("EVIDENCED_BY").alias("type"), F.concat_ws("|", F.lit("SourceSpan"), F.col("span_id").cast("string")).alias("target")).distinct()
+        found.append(ends.select(digest(F.col("source"), F.col("type"), F.col("target")).alias("key"), "source", "type", "target"))
+    return collapse(union(made)), union(found).dropDuplicates(["key"])
+
+
 def node_conflicts(nodes: DataFrame) -> DataFrame:
     """Keys with several payloads."""
     return nodes.groupBy("key").agg(F.countDistinct("properties").alias("payloads")).where("payloads > 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.operators import graph as G
 from docketry.operators import validation as V
 from docketry.operators.catalog import explode_rules
 from docketry.operators.retrieval import peer_counts
@@ -225,6 +226,43 @@ def exploded_members(s, d):
 
 MEMBER_SQL = "SELECT rule_id, group_id, CASE WHEN group_id LIKE '1%' THEN 'CORE' ELSE 'DIAGNOSTIC' END AS role, strftime(o_orderdate, '%Y-%m-%d') AS condition_id, row_number() OVER (PARTITION BY rule_id, group_id ORDER BY o_orderdate) - 1 AS pos FROM (SELECT DISTINCT c_nationkey AS rule_id, o_orderpriority AS group_id, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey)"
 
+#: Flat record tables of stand-ins: a source is a region, a provision a nation, a rule a brand, a case an order.
+RECORDS = {
+    "sources": "SELECT r_regionkey AS source_id, r_name AS title FROM {region}", "provisions": "SELECT n_nationkey AS provision_id, n_regionkey AS source_id FROM {nation}", "rules": "SELECT DISTINCT p_brand AS rule_id FROM {part}",
+    "rule_provisions": "SELECT DISTINCT p_brand AS rule_id, p_size % 30 AS provision_id FROM {part}", "conditions": "SELECT DISTINCT p_brand AS rule_id, p_brand || '/' || CAST(p_size AS VARCHAR(9)) AS condition_id FROM {part}",
+    "groups": "SELECT DISTINCT p_brand AS rule_id, p_brand || p_type AS group_id FROM {part}", "members": "SELECT DISTINCT p_brand || p_type AS group_id, p_brand || '/' || CAST(p_size AS VARCHAR(9)) AS condition_id FROM {part}",
+    "exceptions": "SELECT p_brand AS rule_id, p_partkey AS exception_id FROM {part} WHERE p_size = 1", "consequences": "SELECT p_brand AS rule_id, p_partkey AS consequence_id FROM {part} WHERE p_size = 2",
+    "cases": "SELECT o_orderkey AS case_id, o_orderpriority AS title FROM {orders}", "case_provisions": "SELECT l_orderkey AS case_id, l_suppkey % 25 AS provision_id FROM {lineitem}", "claims": "SELECT o_orderkey AS case_id, o_orderkey * 2 AS claim_id FROM {orders}",
+    "claim_rules": "SELECT l_orderkey * 2 AS claim_id, p_brand AS rule_id FROM {lineitem} JOIN {part} ON l_partkey = p_partkey", "findings": "SELECT l_orderkey AS case_id, l_orderkey * 10 + l_linenumber AS finding_id FROM {lineitem}",
+    "assessments": "SELECT l_orderkey AS case_id, l_orderkey * 10 + l_linenumber AS assessment_id, p_brand || '/' || CAST(p_size AS VARCHAR(9)) AS condition_id FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
+    "assessment_findings": "SELECT l_orderkey * 10 + l_linenumber AS assessment_id, l_orderkey * 10 + l_linenumber AS finding_id FROM {lineitem}", "reasoning": "SELECT o_orderkey AS case_id, o_orderkey AS reasoning_id FROM {orders} WHERE o_orderkey % 2 = 0",
+    "reasoning_rules": "SELECT l_orderkey AS reasoning_id, p_brand AS rule_id FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_orderkey % 2 = 0", "reasoning_findings": "SELECT l_orderkey AS reasoning_id, l_orderkey * 10 + l_linenumber AS finding_id FROM {lineitem} WHERE l_orderkey % 2 = 0",
+    "decisions": "SELECT o_orderkey AS case_id, o_orderkey * 3 AS decision_id, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 2 END AS claim_id FROM {orders}", "spans": "SELECT l_orderkey * 10 + l_linenumber AS span_id FROM {lineitem}",
+}
+EVIDENCE = "SELECT 'CourtFinding' AS label, l_orderkey * 10 + l_linenumber AS object_id, l_orderkey * 10 + l_linenumber AS span_id FROM {lineitem} UNION ALL SELECT 'DecisionItem', l_orderkey * 3, l_orderkey * 10 + 1 FROM {lineitem} UNION ALL SELECT 'LegalRule', NULL, 1 FROM {lineitem} WHERE l_orderkey < 0"
+NAMES = ("region", "nation", "part", "orders", "lineitem")
+
+
+def record_graph(s, d):
+    """Nodes of all labels and edges of all types, counted; ends that are no node are counted by type as `dangling`."""
+    tables = {name: from_sql(s, d, text, *[n for n in NAMES if f"{{{n}}}" in text]) for name, text in RECORDS.items()}
+    evidence = from_sql(s, d, EVIDENCE, "lineitem").withColumn("object_id", F.col("object_id").cast("string"))
+    nodes, edges = G.project(tables, evidence)
+    lost = G.dangling_edges(edges, nodes).join(edges.select("key", "type"), "key").groupBy(F.lit("dangling").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n"))
+    return G.counts(nodes, edges).union(lost)
+
+
+def _graph_sql() -> str:
+    flat = {k: v.format(**{n: n for n in NAMES}) for k, v in RECORDS.items()}
+    parts = [f"SELECT 'node' AS kind, '{label}' AS name, count(*) AS n FROM (SELECT DISTINCT * FROM {name})" for label, (name, _) in G.NODES.items()]
+    ends = [f"SELECT '{kind}' AS name, '{source[0]}|' || {source[1]} AS s, '{target[0]}|' || {target[1]} AS t FROM {name} WHERE {source[1]} IS NOT NULL AND {target[1]} IS NOT NULL" for kind, name, source, target in G.EDGES]
+    ends.append(f"SELECT 'EVIDENCED_BY', label || '|' || object_id, 'SourceSpan|' || span_id FROM ({EVIDENCE.format(lineitem='lineitem')}) WHERE object_id IS NOT NULL")
+    keys = " UNION ".join(f"SELECT '{label}|' || {ident} AS k FROM {name}" for label, (name, ident) in G.NODES.items())
+    tables = ", ".join(f"{k} AS ({v})" for k, v in flat.items())
+    lost = "SELECT 'dangling', name, count(*) FROM (SELECT name FROM e WHERE s NOT IN (SELECT k FROM k) UNION ALL SELECT name FROM e WHERE t NOT IN (SELECT k FROM k)) GROUP BY 2"
+    return f"WITH {tables}, e AS ({' UNION '.join(ends)}), k AS ({keys}) {' UNION ALL '.join(parts)} UNION ALL SELECT 'edge', name, count(*) FROM e GROUP BY 2 UNION ALL {lost}"
+
+
 QUERIES = {
     "record_issues": (record_issues, f"""WITH p AS ({PROVISIONS.format(supplier='supplier')}), s AS ({SOURCES.format(nation='nation')}), c AS ({TEXTS.format(documents='documents')}), x AS (SELECT 'provision' AS kind, provision_id AS id, 'unknown_source' AS issue FROM p WHERE source_id NOT IN (SELECT source_id FROM s)
       UNION ALL SELECT 'provision', provision_id, 'noncanonical_id' FROM p WHERE s_suppkey % 13 <> 5 AND provision_id = 'x' UNION ALL SELECT 'provision', provision_id, 'empty_text' FROM p WHERE trim(text) = '' UNION ALL SELECT 'case', case_id::VARCHAR, 'empty_case_text' FROM c WHERE regexp_replace(coalesce(facts, ''), '[ 　\\t\\r\\n]+', '', 'g') = '' AND coalesce(reasoning, '') = '') SELECT kind, id, issue, count(*) AS n FROM x GROUP BY 1, 2, 3"""),
@@ -245,4 +283,5 @@ QUERIES = {
     "decision_rows": (decision_rows, DECISION),
     "answer_statuses": (answer_statuses, ANSWERED),
     "exploded_members": (exploded_members, MEMBER_SQL),
+    "record_graph": (record_graph, _graph_sql()),
 }
