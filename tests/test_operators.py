@@ -124,7 +124,8 @@ def test_audit(spark):
     rows = spark.createDataFrame([("s1", "a", 0, 2, "AB"), ("s2", "a", 1, 3, "AB"), ("s3", "z", 0, 1, "A")], "span_id string, source_id string, start_offset int, end_offset int, quote string")
     got = {r.span_id: r.issue for r in audit.bad_spans(rows, spark.createDataFrame([("a", "ABC")], "source_id string, text string")).collect()}
     assert got == {"s2": "quote_mismatch", "s3": "unknown_source"}
-    assert audit.duplicate_texts(spark.createDataFrame([(1, "a　b"), (2, "ab"), (3, "c")], "id long, t string"), "id", "t").first()["ids"] == "1,2"
+    same = audit.duplicate_texts(spark.createDataFrame([(1, "a　b"), (2, "ab"), (3, "c"), (4, None), (5, None)], "id long, t string"), "id", "t")
+    assert sorted((r.id, r.n) for r in same.collect()) == [(1, 2), (2, 2)]
     gaps = {(r.issue, r.number) for r in audit.sequence_gaps(spark.createDataFrame([(1,), (1,), (5,)], "n long"), "n", 3).collect()}
     assert gaps == {("missing", 2), ("missing", 3), ("unexpected", 5), ("duplicate", 1)}
 
