@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import audit, cases, conditions, more, retrieval, sessions, validation
+from docketry.plans import audit, cases, conditions, evaluation, more, retrieval, sessions, validation
 
-MODULES = [retrieval, conditions, audit, cases, sessions, more, validation]
+MODULES = [retrieval, conditions, audit, cases, sessions, more, validation, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,8 +57,8 @@ def tokenized(s, d):
 
 
 def term_statistics(s, d):
-    terms = R.postings(corpus(s, d))
-    return R.term_stats(terms, R.corpus_stats(corpus(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    postings, n, _ = R.counted(corpus(s, d))
+    return postings.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.round(R.inverse(n, F.col("df")), 6).alias("idf"))
 
 
 def bm25_top(s, d):
@@ -121,16 +121,6 @@ def rrf_sql(weights: str, where: str = "TRUE", limit: int = 10) -> str:
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {limit}"""
 
 
-def ablation(s, d):
-    """Metrics of channel variants: each variant masks channels before fusion."""
-    ranked, out = channels(s, d), None
-    for name, weights in (("bm25", {"bm25": 1.0}), ("bm25+claim", {"bm25": 1.0, "claim": 0.8}), ("claim", {"claim": 0.8})):
-        rows = R.recall(R.rrf(ranked, weights, limit=20), topic_qrels(s, d), KS).groupBy("k").agg(F.round(F.avg("recall"), 5).alias("recall"), F.round(F.avg("ndcg"), 5).alias("ndcg"))
-        rows = rows.withColumn("variant", F.lit(name))
-        out = rows if out is None else out.union(rows)
-    return out
-
-
 def query_variants(s, d):
     """A query and its expansion (the first half of its words), fused within the text channel."""
     whole = bm25_top(s, d).select("query_id", F.lit("original").alias("channel"), "id", "rank")
@@ -177,9 +167,6 @@ QUERIES = {
     "cosine_top": (cosine_top, f"WITH {COSINE} SELECT query_id, id, score, rank FROM ct"),
     "vector_metrics": (vector_metrics, f"WITH {COSINE}, qr AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0), {RECALL.format(hits='ct')} SELECT * FROM m"),
     "rank_fusion": (fused, f"WITH {BM25}, {QRELS}, {CHANNELS}, f AS ({rrf_sql('CASE channel WHEN $$bm25$$ THEN 1.0 ELSE 0.8 END')}) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f"),
-    "channel_ablation": (ablation, " UNION ALL ".join(
-        f"SELECT * FROM (WITH {BM25}, {QRELS}, {CHANNELS}, f AS ({rrf_sql('CASE channel WHEN $$bm25$$ THEN 1.0 ELSE 0.8 END', where, 20)}), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f), {RECALL.format(hits='g')} SELECT k, round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg, '{name}' AS variant FROM m GROUP BY k)"
-        for name, where in (("bm25", "channel = 'bm25'"), ("bm25+claim", "TRUE"), ("claim", "channel = 'claim'")))),
     "query_variants": (query_variants, f"""WITH {BM25}, w AS (SELECT item_id AS query_id, string_split(text, ' ') AS w FROM benchmark), half AS (SELECT query_id, array_to_string(w[1 : greatest(len(w) // 2, 1)], ' ') AS text FROM w),
       hq AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({TOKENS}) AS term FROM half) GROUP BY 1, 2),
       hs AS (SELECT query_id, tf.id, round(sum(m * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM hq JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.id = tf.id, st GROUP BY 1, 2),

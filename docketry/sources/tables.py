@@ -1,9 +1,15 @@
-"""Reading the tables of a data folder."""
+"""Reading the tables of a data folder, and tables written in between."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,3 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def from_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """A frame from SQL over the named tables of a folder; {name} stands for a table."""
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of this machine for a local master, and an error for any other."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own[app]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: computed once, whatever reads it, and not again when executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
