@@ -77,7 +77,7 @@ def join_dim(df: DataFrame, dim: DataFrame, key: str, how: str = "inner", salts:
     if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
         return df.join(F.broadcast(right), df[key].eqNullSafe(F.col("__key")), how).drop("__key")
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts)))
-    right = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = right.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(right, salted[key].eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__s")), how).drop("__key", "__s", "__salt")
 
 

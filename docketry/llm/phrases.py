@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from docketry.llm.common import by_bytes, cut, join_dim, mix64, table
 
-LEAST, TOP, BITS, HOT, GROUP_BYTES, SALTS = 10, 2000, 1 << 26, 1 << 18, 16 << 20, 256
+LEAST, TOP, BITS, HOT, GROUP_BYTES, SALTS = 10, 2000, 1 << 26, 1 << 18, 8 << 20, 256
 #: What ends a piece of text, and what parts its words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -257,7 +257,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int =
 
     def with_count(df: DataFrame, counts: DataFrame, name: str, *parts: str) -> DataFrame:
         keyed = df.withColumn("key", F.concat_ws("\n", "lang", F.concat_ws(" ", *parts)))
-        return join_dim(keyed, counts.select("key", F.col("f").alias(name)), "key").drop("key")
+        return join_dim(keyed, counts.select("key", F.col("f").alias(name)), "key", salts=8).drop("key")
 
     two = counts2.join(left_most, "key", "left").where(F.greatest(F.coalesce("right_most", F.lit(0)), F.coalesce("left_most", F.lit(0))) * 100 < F.col("f") * subsumed)
     name = F.substring_index("key", "\n", -1)
