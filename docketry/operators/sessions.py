@@ -144,14 +144,6 @@ def calibrated(scores: DataFrame, bins: DataFrame) -> DataFrame:
     return met.groupBy("dataset", "id", "score").agg(F.coalesce(above["value"], F.max(F.struct("edge", "value"))["value"]).alias("value"))
 
 
-def answer_status(answer: Column) -> Column:
-    """SATISFIED or NOT_SATISFIED of bare answers; null if they say neither or both."""
-    yes, no = answer.rlike("^(是|有|对|yes|true)"), answer.rlike("^(不是|没有|否|no|false)")
-    return F.when(no, "NOT_SATISFIED").when(yes, "SATISFIED")
-
-
-
-
 def lexical_evidence(facts: DataFrame, phrases: DataFrame) -> DataFrame:
     """facts (session_id, fact_id, text), phrases (condition_id, phrase, relation) -> the longest phrase's relation, at .58.
 
@@ -179,3 +171,55 @@ def merge_answers(facts: DataFrame, answers: DataFrame) -> tuple[DataFrame, Data
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "quote")).cast("long")
     new = answers.where(fine).join(last, "session_id", "left").select("session_id", (F.coalesce("last", F.lit(-1)) + number).cast("long").alias("fact_id"), F.col("quote").alias("text"), "turn")
     return facts.unionByName(new), answers.where(~fine)
+
+
+# Answers that say nothing, as far as the history of questions goes.
+EMPTY_ANSWERS = ["", "不清楚", "不知道", "不了解", "不确定", "说不清", "暂不回答"]
+
+
+def history_guard(asked: DataFrame, answers: DataFrame, refusals: DataFrame, states: DataFrame) -> DataFrame:
+    """asked (session_id, condition_id, turn) -> with outcome: may the question be asked at that turn?
+
+    answers (session_id, condition_id, turn, answer) and refusals (session_id, condition_id, turn, kind UNABLE or DECLINED) count up to the asking turn, and the last
+    answer alone counts (an as-of join: all rows of a session and condition are laid in one order of turns). states (session_id, condition_id, status, n_evidence).
+    In this order: USER_UNABLE, USER_DECLINED, ALREADY_ANSWERED if the last answer says something, ALREADY_EVIDENCED if the state is decided on evidence, else MISSING.
+    """
+    key = ["session_id", "condition_id"]
+    none = F.lit(None).cast("string")
+    rows = answers.where("answer is not null").select(*key, "turn", F.trim("answer").alias("answer"), none.alias("kind"), F.lit(0).alias("asks"))
+    rows = rows.union(refusals.select(*key, "turn", none, "kind", F.lit(0))).union(asked.select(*key, "turn", none, none, F.lit(1)))
+    so_far = Window.partitionBy(*key).orderBy("turn", "asks", "answer").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"last": F.last("answer", ignorenulls=True).over(so_far), "unable": F.max(F.col("kind") == "UNABLE").over(so_far), "declined": F.max(F.col("kind") == "DECLINED").over(so_far)})
+    met = seen.where("asks = 1").join(states.select(*key, "status", "n_evidence"), key, "left")
+    decided = F.col("status").isin("SATISFIED", "NOT_SATISFIED") & (F.col("n_evidence") > 0)
+    outcome = (
+        F.when(F.col("unable"), "USER_UNABLE").when(F.col("declined"), "USER_DECLINED").when(~F.col("last").isin(EMPTY_ANSWERS), "ALREADY_ANSWERED").when(decided, "ALREADY_EVIDENCED").otherwise("MISSING")
+    )
+    return met.select(*key, "turn", outcome.alias("outcome"))
+
+
+def turn_audit(sessions: DataFrame, turns: DataFrame, snapshots: DataFrame, facts: DataFrame, states: DataFrame) -> DataFrame:
+    """(session_id, turn, issue, n): what the snapshot after a turn may not do to the one before it.
+
+    sessions (session_id, initial_query); turns (session_id, turn, answer); snapshots (session_id, turn, initial_query, history array of answers);
+    facts (session_id, turn, fact_id, text, source_turn) and states (session_id, turn, condition_id, status, n_facts) of each snapshot. Issues:
+    protected_changed: another initial query, or a history that doesn't begin with that of the snapshot before; fact_changed: facts of the snapshot before that are
+    gone or differ; fact_unquoted: new facts that don't stand in the initial query (source turn 0) or in their turn's answer; state_unreferenced: decided states without facts.
+    Every snapshot is joined with the one before it alone, on (session, turn).
+    """
+    before = F.lag("turn").over(Window.partitionBy("session_id").orderBy("turn"))
+    shots = snapshots.withColumn("prior", before)
+    steps = shots.select("session_id", "turn", "prior")
+    old = snapshots.select("session_id", F.col("turn").alias("prior"), F.col("history").alias("old"))
+    kept = F.col("old").isNull() | (F.slice("history", F.lit(1), F.size("old")) == F.col("old"))
+    protected = shots.join(old, ["session_id", "prior"], "left").join(sessions.select("session_id", F.col("initial_query").alias("q")), "session_id", "left")
+    protected = protected.where(~(F.col("initial_query").eqNullSafe(F.col("q")) & F.coalesce(kept, F.lit(False)))).select("session_id", "turn", F.lit("protected_changed").alias("issue"))
+    earlier = steps.where("prior is not null").join(facts.select("session_id", F.col("turn").alias("prior"), "fact_id", F.struct("text", "source_turn").alias("was")), ["session_id", "prior"])
+    now = facts.select("session_id", "turn", "fact_id", F.struct("text", "source_turn").alias("is"))
+    changed = earlier.join(now, ["session_id", "turn", "fact_id"], "left").where(~F.col("was").eqNullSafe(F.col("is"))).select("session_id", "turn", F.lit("fact_changed"))
+    new = facts.join(earlier.select("session_id", "turn", "fact_id"), ["session_id", "turn", "fact_id"], "left_anti")
+    said = turns.select("session_id", F.col("turn").alias("source_turn"), "answer")
+    source = F.when(F.col("source_turn") == 0, F.col("initial_query")).otherwise(F.col("answer"))
+    quoted = new.join(sessions, "session_id", "left").join(said, ["session_id", "source_turn"], "left").where(~F.coalesce(source.contains(F.col("text")), F.lit(False))).select("session_id", "turn", F.lit("fact_unquoted"))
+    bare = states.where((F.col("status") != "UNKNOWN") & (F.coalesce("n_facts", F.lit(0)) == 0)).select("session_id", "turn", F.lit("state_unreferenced"))
+    return protected.union(changed).union(quoted).union(bare).groupBy("session_id", "turn", "issue").agg(F.count("*").alias("n"))

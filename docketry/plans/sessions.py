@@ -105,14 +105,6 @@ def calibration(s, d):
     return S.calibrate(samples).select("dataset", "score", F.round("value", 9).alias("value"))
 
 
-def session_audit(s, d):
-    """Turns whose text doesn't stand in the conversation's own first turn, per role."""
-    c = table(s, d, "conversations")
-    first = c.where("turn = 0").select("conv_id", F.col("text").alias("first"))
-    bad = c.join(first, "conv_id", "left").where(~F.coalesce(F.col("first").contains(F.substring("text", 1, 12)), F.lit(False)))
-    return bad.groupBy("role").agg(F.count("*").alias("n"))
-
-
 RUNS = """SELECT o_orderkey AS sample_id, 'v' || CAST(o_orderkey % 3 AS VARCHAR(1)) AS variant, o_orderpriority AS category, CASE WHEN o_orderkey % 4 = 0 THEN 'STOP' ELSE 'ASK' END AS expected,
   CASE WHEN o_orderkey % 17 = 0 THEN 'ERROR' WHEN o_orderkey % 5 = 0 THEN 'STOP' ELSE 'ASK' END AS actual, o_orderstatus = 'F' AS target_hit, o_custkey % 10 = 0 AS repeats, CAST(o_orderkey % 6 AS BIGINT) AS calls, o_totalprice AS seconds FROM {orders}"""
 
@@ -152,13 +144,6 @@ def run_log(s, d):
     return c.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"), F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"))
 
 
-def history_guard(s, d):
-    """Latest answer of each session and condition, and what it allows."""
-    e = evidence(s, d)
-    last = e.groupBy("session_id", "condition_id").agg(F.max_by("relation", F.struct("turn", "fact_id")).alias("last"))
-    return last.select("session_id", "condition_id", F.when(F.col("last") == "QUALIFIES", "MISSING").otherwise("EVIDENCED").alias("guard"))
-
-
 E_SQL, C_SQL = EVIDENCE.format(events="events"), CORRECTED.format(events="events")
 R_SQL = RUNS.format(orders="orders")
 LEDGER_SQL = "SELECT session_id, fact_id, condition_id, CASE WHEN fact_id % 4 = 0 THEN '1' ELSE '0' END AS m FROM e WHERE fact_id % 2 = 0"
@@ -188,11 +173,9 @@ QUERIES = {
     "calibration": (calibration, """WITH s AS (SELECT l_linestatus AS dataset, round(l_discount, 2) AS score, count(*) + 2 AS w, count(*) FILTER (WHERE l_quantity < 25 + 100 * l_discount) + 1 AS h FROM lineitem GROUP BY 1, 2),
       a AS (SELECT j.dataset, j.score, i.score AS lo, k.score AS hi, (SELECT sum(h) / sum(w) FROM s x WHERE x.dataset = j.dataset AND x.score BETWEEN i.score AND k.score) AS v FROM s j JOIN s i ON i.dataset = j.dataset AND i.score <= j.score JOIN s k ON k.dataset = j.dataset AND k.score >= j.score),
       m AS (SELECT dataset, score, lo, min(v) AS v FROM a GROUP BY 1, 2, 3), iso AS (SELECT dataset, score, max(v) AS v FROM m GROUP BY 1, 2) SELECT dataset, max(score) AS score, round(v, 9) AS value FROM iso GROUP BY dataset, round(v, 9)"""),
-    "session_audit": (session_audit, "SELECT c.role, count(*) AS n FROM conversations c LEFT JOIN (SELECT conv_id, text AS f FROM conversations WHERE turn = 0) x USING (conv_id) WHERE NOT coalesce(contains(f, substr(c.text, 1, 12)), FALSE) GROUP BY 1"),
     "run_summaries": (run_summaries, f"SELECT variant, round(avg(ok), 6) AS mean_of_categories, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS n FROM (SELECT variant, category, avg(CASE WHEN expected = actual THEN 1.0 ELSE 0.0 END) AS ok, count(*) FILTER (WHERE actual = 'ERROR') AS errors, count(*) AS n FROM ({R_SQL}) GROUP BY 1, 2) GROUP BY 1"),
     "review_scores": (review_scores, f"SELECT variant, expected, round(count(*) FILTER (WHERE expected = actual) / count(*), 6) AS accuracy, round(count(*) FILTER (WHERE actual = 'ASK' AND target_hit AND expected = 'ASK') / nullif(count(*) FILTER (WHERE actual = 'ASK'), 0), 6) AS target_rate, round(count(*) FILTER (WHERE actual = 'ASK' AND NOT repeats) / nullif(count(*) FILTER (WHERE actual = 'ASK'), 0), 6) AS fresh_rate FROM ({R_SQL}) GROUP BY 1, 2"),
     "run_metrics": (run_metrics, f"SELECT variant, round(avg(calls), 6) AS calls, round(avg(seconds), 4) AS seconds, count(*) FILTER (WHERE actual = 'ERROR') AS errors FROM ({R_SQL}) GROUP BY 1"),
     "frozen_dataset": (freeze, "SELECT CASE WHEN l.doc_id IS NULL THEN 'no_decision' WHEN d.doc_id IS NULL THEN 'no_candidate' WHEN toxic = 1 THEN 'pending' ELSE 'frozen' END AS outcome, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"),
     "run_log": (run_log, "SELECT conv_id, arg_max(role, turn) AS last_role, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY 1"),
-    "history_guard": (history_guard, f"WITH e AS ({E_SQL}) SELECT session_id, condition_id, CASE WHEN relation = 'QUALIFIES' THEN 'MISSING' ELSE 'EVIDENCED' END AS guard FROM e QUALIFY row_number() OVER (PARTITION BY session_id, condition_id ORDER BY turn DESC, fact_id DESC) = 1"),
 }
