@@ -8,7 +8,8 @@ each worker keeps the ids of the pieces it met last in tables of bounded size; n
 merge in step, a tree a row.
 
 Defined cases: null text is empty; an empty text has no ids. The special token's string in a text is
-the special token, as in the tokenizers library. Very long pieces cost n log n. Rows map one to one.
+the special token, as in the tokenizers library. Very long pieces cost n log n. Rows map one to one, so that repeated rows and null ids
+stay; doc_id keeps its type, and only doc_id and text are read, whatever the other columns are called. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -299,6 +300,11 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def kind(rows: DataFrame) -> str:
+    """The type of doc_id, which is kept."""
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def digests(path: str | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (doc_id, text): n_tokens and digests of ids and decoded text."""
 
@@ -326,7 +332,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [np.frombuffer(x, "<i4") for x in bpe.encode_many([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind(docs)}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -338,11 +344,11 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             texts = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind(tokens)}, text string")
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(digests(path), f"doc_id {kind(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import by_bytes, mix64, owner, table
 
 DIM, SYMBOLS, SEED, PIECE, LIMIT = 1024, 128, 5, 1 << 20, 1 << 15
+#: Languages whose counts a task holds at once, 17 MB each.
+HELD_LANGS = 8
 UNKNOWN = "und"
 
 
@@ -141,10 +143,11 @@ def profile_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ids, offsets = trigrams(texts)
             own = codes[place][owner(offsets)]
             for k in np.unique(codes[place]).tolist():
-                lang, counts = langs.dictionary[k].as_py(), np.bincount(ids[own == k], minlength=SYMBOLS**3)
+                lang = langs.dictionary[k].as_py()
+                if lang not in total and len(total) == HELD_LANGS:
+                    yield from flush(total)
+                counts = np.bincount(ids[own == k], minlength=SYMBOLS**3)
                 total[lang] = total[lang] + counts if lang in total else counts
-        if len(total) > 16:
-            yield from flush(total)
     yield from flush(total)
 
 

@@ -105,7 +105,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     size = word_count(F.col("text"))
     plans = plan(cut(docs.select(F.col("doc_id").alias("id"), "source", size.alias("size"))), **options)
     named = docs.withColumn("__size", size)
-    held = apply(named.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "__size"), plans, "__id", "__src", "__size")
+    held = apply(named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "__size"), plans, "__id", "__src", "__size")
     return held.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
 
 

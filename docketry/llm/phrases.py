@@ -229,6 +229,7 @@ def merged(docs: DataFrame, frequent: DataFrame, hot: DataFrame, names: list[str
 
 def cohesion(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 a^2 / (left right)), exactly."""
+
     def wide(c: Column) -> Column:
         return c.cast("decimal(19,0)")
 

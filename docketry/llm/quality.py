@@ -7,7 +7,8 @@ raise the score. The model is flattened into numpy node arrays, over which batch
 
 Defined cases: null text has no words and fails the base rule. Without labels, or labels of one class
 only, the base rule alone decides. A document with several labels counts with each of them. Null
-labels are not used. Repeated rows get equal results; an empty table gives none.
+labels are not used. Repeated rows and ties get equal results; an empty table gives none. Very long texts are measured whole, one in a
+batch of its own. doc_id keeps its type and meets labels as text; filter_docs keeps all columns, whatever their names, and the others read doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[k], pa.int64()) for k in COUNTS), *(pa.array(x[k], pa.float64()) for k in FEATURES)], names=["doc_id", *COUNTS, *FEATURES])
 
 
-MEASURED = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", " + ", ".join(f"{k} double" for k in FEATURES)
+MEASURED = ", ".join(f"{k} long" for k in COUNTS) + ", " + ", ".join(f"{k} double" for k in FEATURES)
 
 
 class Trees:
@@ -180,13 +181,19 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = TREES, dept
     return model.flat()
 
 
+def kind(rows: DataFrame) -> str:
+    """The type of doc_id."""
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def train(stats: DataFrame, labels: DataFrame) -> Trees | None:
     """Trees for labels (doc_id, quality) on the measured documents, or None if there is nothing to learn."""
-    own = stats.join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", *FEATURES)
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("labelled"), "quality")
+    own = stats.join(known, F.col("doc_id").cast("string") == F.col("labelled").cast("string")).select("labelled", "quality", *FEATURES)
     n = own.count()
     if not n:
         return None
-    seen = own.where(hash01(F.lit(11), F.col("doc_id")) < MAX_LABELLED / n).drop("doc_id").toPandas()
+    seen = own.where(hash01(F.lit(11), F.col("labelled")) < MAX_LABELLED / n).drop("labelled").toPandas()
     y = seen["quality"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
         return None
@@ -205,27 +212,28 @@ def score(stats: DataFrame, model: Trees | None, keep_from: float = 0.5) -> Data
             failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *COUNTS)), pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_from))], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
-    return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, score double, kept boolean")
+    return stats.mapInArrow(run, f"doc_id {kind(stats)}, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, score double, kept boolean")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, score, kept) of every document."""
-    stats = cut(docs.select("doc_id", "text").mapInArrow(measured, MEASURED))
+    stats = cut(docs.select("doc_id", "text").mapInArrow(measured, f"doc_id {kind(docs)}, {MEASURED}"))
     return score(stats, train(stats, labels))
 
 
 def filter_docs(docs: DataFrame, model: Trees | None, keep_from: float = 0.5) -> DataFrame:
     """The documents that pass, measured and judged in one scan without a shuffle."""
     schema, names = docs.schema, docs.columns
+    text = f"c{names.index('text')}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
-            x = statistics(batch.column("text"))
+        for batch in by_bytes(batches, text, 2 << 20):
+            x = statistics(batch.column(text))
             p = model.probability(np.stack([x[f] for f in FEATURES], axis=1)) if model else np.ones(batch.num_rows)
             failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
-            yield batch.filter(pa.array(~failed & (p >= keep_from))).select(names)
+            yield batch.filter(pa.array(~failed & (p >= keep_from))).rename_columns(names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)  # by place: Spark takes a dot in a name for a field's
 
 
 def model_of(docs: DataFrame, labels: DataFrame) -> Trees | None:
@@ -233,8 +241,8 @@ def model_of(docs: DataFrame, labels: DataFrame) -> Trees | None:
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
     n = known.count()
     sample = known.where(hash01(F.lit(11), F.col("doc_id")) < MAX_LABELLED / max(n, 1))
-    texts = docs.select("doc_id", "text").join(sample.select("doc_id").distinct(), "doc_id", "left_semi")
-    return train(texts.mapInArrow(measured, MEASURED), sample)
+    texts = docs.select("doc_id", "text").join(sample.select(F.col("doc_id").cast("string").alias("labelled")).distinct(), F.col("doc_id").cast("string") == F.col("labelled"), "left_semi")
+    return train(texts.mapInArrow(measured, f"doc_id {kind(docs)}, {MEASURED}"), sample)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

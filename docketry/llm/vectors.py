@@ -15,7 +15,8 @@ label's distinct vectors, and each vector is sent to as many groups as its label
 
 Defined cases: null, empty or zero vectors, and those with null or non-finite components, link with
 nothing, as do rows with null label or vec_id. Vectors of unequal length are not compared. Rows that
-share a vec_id are each a vector; their id is one node of the components. Empty table: empty result.
+share a vec_id are each a vector; their id is one node of the components. Only vec_id, label and embedding are read, whatever
+the other columns are called. Empty table: empty result.
 """
 
 from __future__ import annotations

@@ -12,18 +12,21 @@ Bytes inside a member that look like the magic fail the validation or lie inside
 payload holds, and that a range which starts inside the payload takes for one, is dropped by its place: a record
 starts where none before it in the file still lasts.
 
-Archives of others are read too: a record without our fields has no page_id, the digest of its header or of its block,
+Plain archives (.warc) are read by the same ranges; there a record starts at the file's begin or after an empty line. A member may hold several records, one
+after another. Archives of others are read too: a record without our fields has no page_id, the digest of its header or of its block,
 and the bytes of its block; the digest of a payload is checked where the header counts its bytes as ours do.
 
 Defined cases: null html is an empty payload. Rows with equal page_id and payload are all responses if
 that id is the group's largest. A null page_id gets a record without id; it is never referred to, and
-revisits another if one has an id. Payloads under min_bytes are all responses. Empty table: no records.
+revisits another if one has an id. Payloads under min_bytes are all responses. Empty table: no records. A very long payload is decoded whole by one
+task, whose memory it must fit; payloads are read into rows only if asked for. Only page_id, url and html are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,6 +43,7 @@ MIN_BYTES, SPLIT_BYTES, CHUNK, LEVEL, MOST_TASKS = 0, 8 << 20, 1 << 20, 4, 100_0
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 HEAD = b"WARC/1."
+LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.IGNORECASE)
 ID, REFERS, PAYLOAD_BYTES = "WARC-Record-ID", "WARC-Refers-To", "X-Payload-Bytes"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -149,10 +153,47 @@ def members(store: arrow_fs.FileSystem, path: str, start: int, stop: int) -> Ite
                 at += 1
 
 
+def plain_records(store: arrow_fs.FileSystem, path: str, start: int, stop: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content): the records of a file without compression that start within [start, stop), at its begin or after an empty line."""
+    with store.open_input_file(path) as f:
+        size = f.size()
+        at, mark = start, b"\r\n\r\n" + HEAD
+        while at < min(stop, size):
+            low = max(at - 4, 0)
+            window = f.read_at(min(CHUNK, size - low), low)
+            found = 0 if at == 0 and window.startswith(HEAD) else window.find(mark) + 4
+            if found == 3:
+                at = low + len(window) - len(mark) + 5 if low + len(window) < size else size
+                continue
+            at = low + found
+            if at >= stop:
+                return
+            head, step = b"", CHUNK
+            while (cut_at := head.find(b"\r\n\r\n")) < 0 and at + len(head) < size:
+                head += f.read_at(min(step, size - at - len(head)), at + len(head))
+            length = LENGTH.search(head, 0, cut_at + 4) if cut_at >= 0 else None
+            end = min(cut_at + 4 + int(length[1]), size - at) if length else len(head)
+            yield at, at + end, f.read_at(end, at)
+            at += max(end, 1)
+
+
 def sha1(block: bytes) -> str:
     return base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def records_of(content: bytes) -> Iterator[bytes]:
+    """The records that follow one another in a decoded member, by their Content-Length; a record without one takes the rest."""
+    at = 0
+    while content.startswith(HEAD, at):
+        body = content.find(b"\r\n\r\n", at) + 4
+        length = LENGTH.search(content, at, body) if body > 3 else None
+        end = min(body + int(length[1]), len(content)) if length else len(content)
+        yield content[at:end]
+        at = end + 4 if content.startswith(b"\r\n\r\n", end) else end
+    if content[at:].strip():
+        raise ValueError(f"{len(content) - at} bytes of a member follow its last record")
+
+
 def parsed(member: bytes) -> dict:
     """Fields of one decoded record; the payload of our responses is digested anew and must match its header."""
     head, _, rest = member.partition(b"\r\n\r\n")
@@ -187,8 +228,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 store, inner = open_fs(path)
                 rows, size = [], 0
-                for first, end, member in members(store, inner, start, start + split_bytes):
-                    rows.append(parsed(member) | {"path": path, "start": first, "end": end})
+                find = members if path.endswith(".gz") else plain_records
+                for first, end, member in find(store, inner, start, start + split_bytes):
+                    rows += [parsed(r) | {"path": path, "start": first, "end": end} for r in records_of(member)]
                     size += len(member)
                     if size > (4 << 20):
                         yield batch_of(rows)
@@ -202,13 +244,17 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
 
     ranges = cut(ranges)
     found = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS))).mapInArrow(run, schema)
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("until", F.max("end").over(before)).where("until is null or start >= until").drop("path", "start", "end", "until")
+    before = Window.partitionBy("path").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    if not payload:
+        return found.withColumn("until", F.max("end").over(before)).where("until is null or start >= until").drop("path", "start", "end", "until")
+    # places alone are compared, and few are dropped: payloads don't meet in a task
+    inner = found.select("path", "start", "end").withColumn("until", F.max("end").over(before)).where("start < until").select("path", "start").distinct()
+    return found.join(cut(inner), ["path", "start"], "left_anti").drop("path", "start", "end")
 
 
 def list_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes) of the archives in a folder, from the listing alone."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", F.col("length").alias("bytes"))
+    """(path, bytes) of the archives in a folder, compressed or plain, from the listing alone."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc.gz,warc}").load(folder).select("path", F.col("length").alias("bytes"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
