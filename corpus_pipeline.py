@@ -13,7 +13,7 @@ from docketry.llm.common import shared_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rule or the trees reject; without labels the base rule alone decides."""
-    return quality.filter_docs(docs, quality.model_of(docs, table(spark, sf_dir, "labels"))).select(docs.columns)
+    return quality.filter_docs(docs, quality.model_of(docs, table(spark, sf_dir, "labels"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
