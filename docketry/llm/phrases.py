@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketry.llm.common import by_bytes, cut, join_dim, mix64, table
+from docketry.llm.common import by_bytes, cut, gather, join_dim, mix64, table
 
 LEAST, TOP, BITS, HOT, GROUP_BYTES, SALTS = 10, 2000, 1 << 26, 1 << 18, 8 << 20, 256
 #: What ends a piece of text, and what parts its words.
@@ -144,14 +144,25 @@ def packed_stripes(prefix: np.ndarray, following: np.ndarray, next_hash: np.ndar
     return np.append(first, len(prefix)), prefix[first], bucket[first], following, times
 
 
-def stripe_rows(bounds: np.ndarray, lang: pa.Array, prefix: pa.Array, bucket: np.ndarray, following: np.ndarray, times: np.ndarray, distinct: pa.Array) -> pa.RecordBatch:
+def joined(bounds: np.ndarray, texts: pa.Array, by: str) -> pa.Array:
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), texts), pa.scalar(by, texts.type))
+
+
+def stripe_rows(bounds: np.ndarray, lang: np.ndarray, langs: pa.Array, prefix: pa.Array, bucket: np.ndarray, following: np.ndarray, times: np.ndarray, distinct: pa.Array) -> pa.RecordBatch:
+    """One row for all stripes of a bucket and language: their prefixes and their words, a line each, and the words' counts."""
+    order = np.lexsort((lang, bucket))
+    sizes = np.diff(bounds)[order]
+    entries = gather(bounds[:-1][order], sizes)
+    bounds, lang, bucket, following, times = np.concatenate([[0], np.cumsum(sizes)]), lang[order], bucket[order], following[entries], times[entries]
+    rows = np.append(np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])]), len(order))
     words = pa.chunked_array([distinct, pa.array([""], distinct.type)]).combine_chunks().take(pa.array(np.where(following < 0, len(distinct), following)))
-    nexts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), words), pa.scalar(" ", words.type)).cast(pa.string())
-    counts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(times.astype("<u4"))])
-    return pa.RecordBatch.from_arrays([pa.array(bucket), lang, prefix.cast(pa.string()), nexts, counts.cast(pa.binary())], names=["bucket", "lang", "prefix", "nexts", "counts"])
+    nexts, prefixes = joined(rows, joined(bounds, words, " "), "\n"), joined(rows, prefix.take(pa.array(order)), "\n")
+    counts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows) - 1, [None, pa.py_buffer((bounds[rows] * 4).astype(np.int64)), pa.py_buffer(times.astype("<u4"))])
+    columns = [pa.array(bucket[rows[:-1]]), langs.take(pa.array(lang[rows[:-1]])), prefixes.cast(pa.string()), nexts.cast(pa.string()), counts.cast(pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "prefixes", "nexts", "counts"])
 
 
-STRIPES = "bucket long, lang string, prefix string, nexts string, counts binary"
+STRIPES = "bucket long, lang string, prefixes string, nexts string, counts binary"
 MERGED = "lang string, prefix string, total long, nexts array<string>, counts array<long>"
 
 
@@ -174,7 +185,8 @@ def stripes(shared, buckets: int, two: bool) -> Callable[[Iterable[pa.RecordBatc
                 then = np.minimum(at + 1, len(term) - 1)
                 following = np.where(follows[at] & known[term[then]], word[term[then]], -1)
                 bounds, key, bucket, following, times = packed_stripes(prefix, following, by_word, own, holds(hot, own), buckets)
-                yield stripe_rows(bounds, langs.take(pa.array(lang[key])), distinct.take(pa.array(word[key])), bucket, following, times, distinct)
+                if len(key):
+                    yield stripe_rows(bounds, lang[key], langs, distinct.take(pa.array(word[key])), bucket, following, times, distinct)
                 continue
             at = np.flatnonzero(follows)
             at = at[holds(frequent, paired(own[term[at]], own[term[at + 1]]))]
@@ -188,7 +200,7 @@ def stripes(shared, buckets: int, two: bool) -> Callable[[Iterable[pa.RecordBatc
             pair = paired(own[first], own[second])
             bounds, key, bucket, following, times = packed_stripes(prefix, following, by_word, pair, holds(hot, pair), buckets)
             names = pc.binary_join_element_wise(distinct.take(pa.array(word[first[key]])), distinct.take(pa.array(word[second[key]])), pa.scalar(" ", distinct.type))
-            yield stripe_rows(bounds, langs.take(pa.array(lang[first[key]])), names, bucket, following, times, distinct)
+            yield stripe_rows(bounds, lang[first[key]], langs, names, bucket, following, times, distinct)
 
     return run
 
@@ -198,8 +210,10 @@ def merge(least: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        keys = pc.binary_join_element_wise(group["lang"], group["prefix"], "\n").combine_chunks().dictionary_encode()
-        lists = pc.split_pattern(group["nexts"].combine_chunks(), " ")
+        held = pc.split_pattern(group["prefixes"].combine_chunks(), "\n")
+        lang = group["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))))
+        keys = pc.binary_join_element_wise(lang, held.flatten(), "\n").dictionary_encode()
+        lists = pc.split_pattern(pc.split_pattern(group["nexts"].combine_chunks(), "\n").flatten(), " ")
         words = lists.flatten().dictionary_encode()
         own = np.repeat(keys.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()))
         counts = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4")
@@ -258,7 +272,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int =
 
     def with_count(df: DataFrame, counts: DataFrame, name: str, *parts: str) -> DataFrame:
         keyed = df.withColumn("key", F.concat_ws("\n", "lang", F.concat_ws(" ", *parts)))
-        return join_dim(keyed, counts.select("key", F.col("f").alias(name)), "key", salts=8).drop("key")
+        return keyed.join(counts.select("key", F.col("f").alias(name)), "key").drop("key")  # AQE parts a hot word's phrases
 
     two = counts2.join(left_most, "key", "left").where(F.greatest(F.coalesce("right_most", F.lit(0)), F.coalesce("left_most", F.lit(0))) * 100 < F.col("f") * subsumed)
     name = F.substring_index("key", "\n", -1)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import common, packing, phrases, repeats
+from docketry.llm import packing, phrases, repeats
 from docketry.llm.bpe import default_path
 from docketry.llm.common import table
 from tests.llm.test_operators import ODD, SCHEMA, words
@@ -44,8 +44,8 @@ def test_phrases(spark, small, odd, none, tmp_path):
     repeated = odd.withColumn("text", F.concat("text", F.lit(". A b, C d\ta B "))).crossJoin(spark.range(12)).drop("id")
     got, want = collocations(repeated, small, tmp_path)
     assert got == want and any(r[0] == "und" for r in want)
-    with pytest.MonkeyPatch.context() as m:  # counts too many to broadcast
-        m.setattr(common, "BROADCAST_ROWS", 3)
+    with pytest.MonkeyPatch.context() as m:  # many buckets
+        m.setattr(phrases, "GROUP_BYTES", 1000)
         got, want = collocations(docs, small, tmp_path)
         assert got == want
     assert phrases.phrases(none).count() == 0
