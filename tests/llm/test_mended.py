@@ -88,8 +88,15 @@ def test_tiles_go_by_bytes(spark):
 
 def test_every_training_text_gives_a_window():
     texts = ["", "one", *(" ".join(f"w{j}" for j in range(n)) for n in (3, 40, 500))]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+    ids, offsets, *_ = lm.text_ids(pa.array(texts), None)
+    packed = pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), packed], names=["key", "ids"])
     model = lm.Attention(np.ones(lm.vocabulary_size(None)))
-    few = list(lm.training_windows(model, None, 1 << 40)([batch]))
+    few = list(lm.training_windows(model, 1 << 40)([batch]))
     assert sum(b.num_rows for b in few) == len(texts)
-    assert sum(b.num_rows for b in lm.training_windows(model, None, 6)([batch])) >= len(texts)
+    every = lm.unpacked(w for b in lm.training_windows(model, 1)([batch]) for w in b.column("window").to_pylist())
+    want, begins, pads = [], model.head + 1, model.head + 2
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        laid = [pads] * lm.BLOCK + [begins] + model.bucket[ids[a:b]].tolist() + [pads] * lm.BLOCK
+        want += [laid[i : i + 2 * lm.BLOCK + 1] for i in range(0, b - a, lm.BLOCK)]
+    assert sorted(every.tolist()) == sorted(want)

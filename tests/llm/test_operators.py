@@ -218,22 +218,6 @@ def test_attention_is_causal_and_normal():
         assert abs((up - down) / 2e-3 - grads[name][at]) < 1e-4 + 0.02 * abs(grads[name][at]), name
 
 
-def test_training_windows():
-    """At every place: the subwords of the whole text around it, however few words were cut into them."""
-    texts = pa.array(["the quick brown fox " * 30 + "jumped", None, "a", "x y z w " * 3])
-    model = lm.Attention(np.ones(lm.vocabulary_size(None)))
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), texts], names=["key", "text"])
-    got = [np.frombuffer(w, "<u2").tolist() for x in lm.training_windows(model, None, 1)([batch]) for w in x.column("window").to_pylist()]
-    ids, offsets, codes, at, distinct = lm.text_ids(texts, None)
-    start, want = np.concatenate([[0], np.cumsum(np.diff(lm.subwords(distinct, None)[1])[codes])]), []
-    for i in range(4):
-        own = model.bucket[ids[offsets[i] : offsets[i + 1]]].tolist()
-        for p in range(at[i], at[i + 1], lm.STRIDE):
-            first = start[p] - offsets[i]
-            want.append([model.head + 1 if j == -1 else own[j] if 0 <= j < len(own) else model.head + 2 for j in range(first - lm.BLOCK - 1, first + lm.BLOCK)])
-    assert got == want
-
-
 def test_language_model_learns(spark, small):
     """On held-out text the model beats its own subwords' frequencies; partitioning changes no score."""
     docs = table(spark, small, "documents")
