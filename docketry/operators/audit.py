@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions.text import compact
+from docketry.operators.joins import bounded
 
 
 def duplicate_ids(df: DataFrame, ident: str) -> DataFrame:
@@ -72,7 +73,7 @@ def duplicate_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
 def band_coverage(present: DataFrame, referenced: DataFrame, bands: DataFrame) -> DataFrame:
     """bands (band, first, last) -> expected, present and referenced numbers of each band: a range join on broadcast bands."""
     nums = present.select("number").distinct().join(referenced.select("number", F.lit(True).alias("ref")).distinct(), "number", "left")
-    met = F.broadcast(bands).join(nums, F.col("number").between(F.col("first"), F.col("last")), "left")
+    met = bounded(bands).join(nums, F.col("number").between(F.col("first"), F.col("last")), "left")
     return met.groupBy("band", "first", "last").agg(F.count("number").alias("present"), F.count_if("ref").alias("referenced")).select("band", (F.col("last") - F.col("first") + 1).cast("long").alias("expected"), "present", "referenced")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.operators.joins import bounded
+
 VERSION_KEY = ["session_id", "fact_id", "condition_id", "definition_version", "mapper_version", "text_version"]
 
 
@@ -139,29 +141,65 @@ def calibrate(samples: DataFrame) -> DataFrame:
 
 def calibrated(scores: DataFrame, bins: DataFrame) -> DataFrame:
     """Each score's value: of the first bin that is not below it, else of the last."""
-    met = scores.join(F.broadcast(bins.withColumnRenamed("score", "edge")), "dataset")
+    met = scores.join(bounded(bins.withColumnRenamed("score", "edge")), "dataset")
     above = F.min(F.when(F.col("edge") >= F.col("score"), F.struct("edge", "value")))
     return met.groupBy("dataset", "id", "score").agg(F.coalesce(above["value"], F.max(F.struct("edge", "value"))["value"]).alias("value"))
 
 
+# Words of intent and of supposition, and negations that may stand before a phrase.
+INTENT = ["想", "希望", "打算", "准备", "想要", "要求"]
+SUPPOSED = ["如果", "若", "假如", "要是"]
+NEGATED = r"(?:没有|并非|不是|未|不曾|没)\s*"
+
+
 def lexical_evidence(facts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """facts (session_id, fact_id, text), phrases (condition_id, phrase, relation) -> the longest phrase's relation, at .58.
+    """facts (session_id, fact_id, text), phrases (condition_id, relation, pos, phrase) -> (session_id, fact_id, condition_id, relation, confidence .58, phrase).
 
-    A phrase after 不 or "not " turns its relation round; sentences of intent or hypothesis don't count. Equal lengths: OPPOSES.
+    Sentences of intent or supposition don't count. Of a condition's phrases of either relation the longest that the rest holds counts, of equal ones the first by pos.
+    Where both relations have one, an opposing phrase that wraps every occurrence of the supporting one wins, else neither says anything; a supporting phrase with a
+    negation right before any of its occurrences says nothing.
+    """
+    sentences = F.filter(F.split("text", "[。！？!?；;\n]+"), lambda s: ~s.rlike("|".join(INTENT + SUPPOSED)))
+    said = facts.where("text is not null").select("session_id", "fact_id", F.array_join(sentences, "。").alias("t"))
+    met = said.join(bounded(phrases.where("length(phrase) > 0")), F.col("t").contains(F.col("phrase")))
+    longest = F.struct(-F.length("phrase"), "pos")
+    best = met.groupBy("session_id", "fact_id", "t", "condition_id").agg(*(F.min_by(F.when(F.col("relation") == r, F.col("phrase")), F.when(F.col("relation") == r, longest)).alias(n) for r, n in (("SUPPORTS", "s"), ("OPPOSES", "o"))))
+    wrapped = F.col("o").contains(F.col("s")) & ~F.replace("t", "o", F.lit("")).contains(F.col("s"))
+    best = best.where(F.col("s").isNull() | F.col("o").isNull() | wrapped)
+    denied = F.rlike(F.col("t"), F.concat(F.lit(NEGATED + r"\Q"), F.col("s"), F.lit(r"\E")))
+    best = best.where(F.col("o").isNotNull() | ~denied)
+    return best.select("session_id", "fact_id", "condition_id", F.when(F.col("o").isNotNull(), "OPPOSES").otherwise("SUPPORTS").alias("relation"), F.lit(0.58).alias("confidence"), F.coalesce("o", "s").alias("phrase"))
+
+
+# Marks of a correction, of what it speaks of, and the conditions of payment and of the unperformed rest.
+CORRECTS, REFUNDED, OF_BALANCE = "说错了|更正|纠正|改成|应为|其实是|应该是", "已退款|已退|退了|退还了", "余额|剩余|未消费"
+OF_AMOUNT, OF_MONEY, NUMBER = "金额|元|交了|付了|付的|费用", "元|交了|付了|付的|支付|付款|充了|金额|费用", r"(\d+(?:\.\d+)?)\s*元?"
+PAID, BALANCE = "cond.payment_made", "cond.unperformed_balance"
+
+
+def correction_targets(answers: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
+    """(session_id, fact_id, condition_id): the one fact that a session's answer explicitly corrects, and for which condition; no row where it is not certain.
+
+    answers (session_id, condition_id, answer), one a session; facts (session_id, fact_id, text); links (session_id, condition_id, fact_id), the evidence so far.
+    An answer needs a mark of correction and may not speak of refunds; one of a balance is about the unperformed rest. A corrected amount hits facts with another amount: among those linked
+    to payment (or the balance), if there are none among those linked to the asked condition, and if none of these differs, and no balance is meant, among all that speak of money. Any other correction hits what is linked
+    to its condition. Just one such fact makes a target.
     """
-    said = facts.select("session_id", "fact_id", F.explode(F.split("text", "[。；.;\n]")).alias("s")).where(~F.col("s").rlike("想要|打算|如果|假如|if |want to"))
-    met = said.join(F.broadcast(phrases), F.col("s").contains(F.col("phrase")) & (F.length("phrase") > 0))
-    turned = F.expr("s like concat('%不', phrase, '%') or s like concat('%not ', phrase, '%')")
-    relation = F.when(turned, F.when(F.col("relation") == "SUPPORTS", "OPPOSES").otherwise("SUPPORTS")).otherwise(F.col("relation"))
-    best = met.withColumn("r", relation).groupBy("session_id", "fact_id", "condition_id").agg(F.max(F.struct(F.length("phrase").alias("n"), (F.col("r") == "OPPOSES").cast("int").alias("o"))).alias("b"))
-    return best.select("session_id", "fact_id", "condition_id", F.when(F.col("b.o") == 1, "OPPOSES").otherwise("SUPPORTS").alias("relation"), F.lit(0.58).alias("confidence"))
-
-
-def correction_targets(answers: DataFrame, facts: DataFrame) -> DataFrame:
-    """answers (session_id, answer, amount) with a correction's marker -> the one fact (session_id, fact_id, amount) with another amount, if just one."""
-    marked = answers.where(F.col("answer").rlike("更正|纠正|说错|应该是|correction") & F.col("amount").isNotNull())
-    met = marked.select("session_id", F.col("amount").alias("new")).join(facts, "session_id").where(F.col("amount") != F.col("new"))
-    return met.groupBy("session_id", "new").agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id")).where("n = 1").select("session_id", "fact_id", "new")
+    marked = answers.where(F.col("answer").rlike(CORRECTS) & ~F.col("answer").rlike(REFUNDED)).withColumn("balance", F.col("answer").rlike(OF_BALANCE))
+    amounts = F.regexp_extract_all("answer", F.lit(NUMBER), F.lit(1))
+    asked = marked.select("session_id", F.when(F.col("balance"), BALANCE).otherwise(F.col("condition_id")).alias("condition_id"), "balance", amounts.alias("new"), ((F.size(amounts) > 0) & F.col("answer").rlike(OF_AMOUNT)).alias("money"))
+    own = facts.join(asked, "session_id").withColumn("old", F.regexp_extract_all("text", F.lit(NUMBER), F.lit(1)))
+    evidence = links.groupBy("session_id", "fact_id").agg(F.collect_set("condition_id").alias("of"))
+    own = own.join(evidence, ["session_id", "fact_id"], "left").withColumn("of", F.coalesce("of", F.array().cast("array<string>")))
+    differs = F.size(F.array_except("old", "new")) > 0
+    paid = F.when(F.col("balance"), F.array_contains("of", BALANCE)).otherwise(F.array_contains("of", PAID))
+    session = Window.partitionBy("session_id")
+    own = own.withColumns({"linked": F.array_contains("of", F.col("condition_id")), "paid": paid}).withColumn("some_paid", F.max("paid").over(session))
+    first = F.when(~F.col("money"), F.col("linked")).otherwise(differs & F.when(F.col("some_paid"), F.col("paid")).otherwise(F.col("linked")))
+    own = own.withColumn("first", first).withColumn("some", F.max("first").over(session))
+    hit = own.where(F.col("first") | (~F.col("some") & F.col("money") & ~F.col("balance") & differs & F.col("text").rlike(OF_MONEY)))
+    about = F.when(F.bool_or("money") & ~F.bool_or("balance"), PAID).otherwise(F.min("condition_id"))
+    return hit.groupBy("session_id").agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id"), about.alias("condition_id")).where("n = 1").drop("n")
 
 
 def merge_answers(facts: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:

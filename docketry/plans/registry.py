@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import audit, cases, conditions, evaluation, more, retrieval, sessions, structure, validation
+from docketry.plans import audit, cases, conditions, evaluation, more, releases, retrieval, sessions, structure, validation
 
-MODULES = [retrieval, conditions, audit, cases, sessions, more, validation, evaluation, structure]
+MODULES = [retrieval, conditions, audit, cases, sessions, more, validation, evaluation, structure, releases]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
