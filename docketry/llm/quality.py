@@ -241,7 +241,8 @@ def model_of(docs: DataFrame, labels: DataFrame) -> Trees | None:
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
     n = known.count()
     sample = known.where(hash01(F.lit(11), F.col("doc_id")) < MAX_LABELLED / max(n, 1))
-    texts = docs.select("doc_id", "text").join(sample.select(F.col("doc_id").cast("string").alias("labelled")).distinct(), F.col("doc_id").cast("string") == F.col("labelled"), "left_semi")
+    ids = F.broadcast(sample.select(F.col("doc_id").cast("string").alias("labelled")).distinct())  # about MAX_LABELLED at most
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("string") == F.col("labelled"), "left_semi")
     return train(texts.mapInArrow(measured, f"doc_id {kind(docs)}, {MEASURED}"), sample)
 
 
