@@ -108,9 +108,12 @@ def curated_overlay(s, d):
     return C.overlay(given(s, d, "assessments"), curated)
 
 
+LANGS = ["en", "de", "fr", "es"]
+
+
 def stratified(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kind"), "text")
-    return C.stratified(docs, [f"src{i}" for i in range(4)])
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "text")
+    return C.stratified(docs, LANGS)
 
 
 def alias_merge(s, d):
@@ -165,6 +168,12 @@ def routed(s, d):
 
 
 F_SQL = FACTS.format(orders="orders")
+BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+CHOSEN = [f"c{i} AS (SELECT '{k}' AS kind, min(id) AS id, key FROM d WHERE kind = '{k}'" + "".join(f" AND NOT EXISTS (SELECT 1 FROM c{j} x WHERE x.id = d.id OR x.key = d.key)" for j in range(i)) + " GROUP BY key ORDER BY id LIMIT 8)" for i, k in enumerate(LANGS)]
+STRATIFIED = f"WITH d AS (SELECT doc_id AS id, lang AS kind, sha256(regexp_replace(text, '{BLANK}', '', 'g')) AS key FROM documents), {', '.join(CHOSEN)} " + " UNION ALL ".join(f"SELECT kind, id FROM c{i}" for i in range(len(LANGS)))
+VERSION = """WITH h AS (SELECT sha256(CAST(s_suppkey AS VARCHAR) || '|' || trim(s_name) || chr(10) || trim(n_name)) AS h FROM supplier JOIN nation ON s_nationkey = n_nationkey), b AS (SELECT substr(h, 1, 2) AS b, sum(('0x' || substr(h, 3, 15))::BIGINT) AS v FROM h GROUP BY 1)
+SELECT sha256('r1|model|' || string_agg(b || ':' || CAST(v AS VARCHAR), ',' ORDER BY b)) AS version FROM b"""
+
 QUERIES = {
     "fact_partitions": (fact_partitions, f"SELECT case_id, length(split_part(split_part(facts, '诉称：', 2), '被告辩称', 1)) AS plaintiff, length('不同意退还。') AS defendant, length(split_part(split_part(facts, '查明：', 2), '法院作出', 1)) AS court, length(split_part(facts, '作出判决：', 2)) AS holding FROM ({F_SQL})"),
     "amounts": (amounts, "SELECT doc_id, (n_chars + 0.5) * 10000.0::DOUBLE AS amount FROM documents"),
@@ -181,13 +190,13 @@ QUERIES = {
       (SELECT *, lag(book) OVER w AS pb, lag(chapter) OVER w AS pc FROM (SELECT s_nationkey AS source_id, s_suppkey AS number, 'b' || s_suppkey % 2 AS book, 'c' || (s_suppkey // 7) % 2 AS chapter FROM supplier) WINDOW w AS (PARTITION BY source_id ORDER BY number)))"""),
     "corpus_merge": (corpus_merge, "SELECT doc_id AS case_id, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END)::BIGINT AS n FROM documents WHERE n > 1"),
     "curated_overlay": (curated_overlay, f"WITH {cte('known', 'assessments')} SELECT query_id + 1 AS case_id, condition_id, 'CURATED' AS status FROM known WHERE query_id + 1 IN (SELECT case_id FROM assessments)"),
-    "stratified": (stratified, None),
+    "stratified": (stratified, STRATIFIED),
     "alias_merge": (alias_merge, f"WITH {cte('members')} SELECT DISTINCT rule_id, CASE WHEN condition_id > 10 AND condition_id % 3 <> 0 THEN condition_id - 10 ELSE condition_id END AS condition_id FROM members"),
     "condition_definitions": (definitions, "SELECT CAST(p_size AS BIGINT) AS condition_id, p_brand AS rule_id, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_brand, p_partkey) = 1"),
     "condition_owners": (condition_owners, f"WITH {cte('members')} SELECT condition_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM members GROUP BY 1"),
     "role_lists": (role_lists, f"WITH {cte('members')} SELECT rule_id, coalesce(array_to_string(list_sort(list(DISTINCT condition_id) FILTER (WHERE role = 'CORE')), ','), '') AS core, coalesce(array_to_string(list_sort(list(DISTINCT condition_id) FILTER (WHERE role = 'DIAGNOSTIC')), ','), '') AS diagnostic FROM members GROUP BY 1"),
     "search_texts": (search_texts, "SELECT s_suppkey, s_name || chr(10) || n_name AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
-    "index_version": (index_version, None),
+    "index_version": (index_version, VERSION),
     "united_evidence": (united_evidence, "SELECT l_partkey AS entity_id, count(DISTINCT l_suppkey % 2) AS definitions, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS spans FROM lineitem GROUP BY 1"),
     "selector_coverage": (selector_coverage, """WITH s AS (SELECT DISTINCT x FROM (SELECT unnest(range(c_custkey, CASE WHEN c_custkey % 20 = 1 THEN c_custkey + 5 ELSE c_custkey + 1 END)) AS x FROM customer WHERE c_custkey % 10 = 1)), u AS (SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0)
       SELECT CASE WHEN u.x IS NULL AND s.x IS NULL THEN 'uncovered' WHEN u.x IS NULL THEN 'skip_only' WHEN s.x IS NOT NULL THEN 'both' ELSE 'referenced' END AS issue, count(*) AS n FROM (SELECT unnest(range(1, (SELECT max(c_custkey) + 1 FROM customer))) AS x) e LEFT JOIN u USING (x) LEFT JOIN s USING (x) GROUP BY 1"""),

@@ -186,11 +186,11 @@ DOCUMENTS = """WITH s AS (SELECT * FROM lineitem WHERE l_orderkey % 4 <> 0) SELE
 def document_texts(s, d):
     docs = table(s, d, "documents")
     cases = docs.select(F.col("doc_id").alias("case_id"), F.col("source").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("full_document"), F.col("lang").alias("facts"), F.lit(" ").alias("reasoning"), F.col("source").alias("result"))
-    markdown = docs.where("doc_id % 50 = 7 and doc_id < 200").select(F.col("source").alias("title"), F.lit("# md").alias("text"))
+    markdown = docs.where("doc_id % 50 = 7").select(F.col("source").alias("title"), F.lit("# md").alias("text"))
     return V.document_text(cases, markdown).select("case_id", F.sha2("text", 256).alias("text"), "origin")
 
 
-TEXT_SQL = """WITH m AS (SELECT DISTINCT source AS title FROM documents WHERE doc_id % 50 = 7 AND doc_id < 200 AND source IS NOT NULL) SELECT doc_id AS case_id, sha256(CASE origin WHEN 'markdown' THEN '# md' WHEN 'document' THEN trim(text, ' ') ELSE concat_ws(chr(10) || chr(10), CASE WHEN trim(lang) <> '' THEN '## 案件事实' || chr(10) || lang END, CASE WHEN trim(source) <> '' THEN '## 裁判结果' || chr(10) || source END) END) AS text, origin
+TEXT_SQL = """WITH m AS (SELECT DISTINCT source AS title FROM documents WHERE doc_id % 50 = 7 AND source IS NOT NULL) SELECT doc_id AS case_id, sha256(CASE origin WHEN 'markdown' THEN '# md' WHEN 'document' THEN trim(text, ' ') ELSE concat_ws(chr(10) || chr(10), CASE WHEN trim(lang) <> '' THEN '## 案件事实' || chr(10) || lang END, CASE WHEN trim(source) <> '' THEN '## 裁判结果' || chr(10) || source END) END) AS text, origin
   FROM (SELECT *, CASE WHEN source IN (SELECT title FROM m) THEN 'markdown' WHEN doc_id % 3 = 0 AND trim(text, ' ') <> '' THEN 'document' ELSE 'sections' END AS origin FROM documents)"""
 
 
@@ -244,23 +244,26 @@ NAMES = ("region", "nation", "part", "orders", "lineitem")
 
 
 def record_graph(s, d):
-    """Nodes of all labels and edges of all types, counted; ends that are no node are counted by type as `dangling`."""
+    """Nodes of all labels and edges of all types, counted and with a digest of their keys; ends that are no node are counted by type as `dangling`."""
     tables = {name: from_sql(s, d, text, *[n for n in NAMES if f"{{{n}}}" in text]) for name, text in RECORDS.items()}
     evidence = from_sql(s, d, EVIDENCE, "lineitem").withColumn("object_id", F.col("object_id").cast("string"))
     nodes, edges = G.project(tables, evidence)
     lost = G.dangling_edges(edges, nodes).join(edges.select("key", "type"), "key").groupBy(F.lit("dangling").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n"))
-    return G.counts(nodes, edges).union(lost)
+    digest = lambda *of: F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *of)), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest")
+    made = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(digest("key")).union(edges.groupBy(F.lit("edge"), "type").agg(digest("source", "type", "target")))
+    return G.counts(nodes, edges).union(lost).join(made, ["kind", "name"], "left")
 
 
 def _graph_sql() -> str:
     flat = {k: v.format(**{n: n for n in NAMES}) for k, v in RECORDS.items()}
-    parts = [f"SELECT 'node' AS kind, '{label}' AS name, count(*) AS n FROM (SELECT DISTINCT * FROM {name})" for label, (name, _) in G.NODES.items()]
+    digest = "CAST(sum(('0x' || substr(md5({}), 1, 15))::BIGINT) AS VARCHAR) AS digest"
+    parts = [f"SELECT 'node' AS kind, '{label}' AS name, count(*) AS n, " + digest.format(f"'{label}|' || {ident}") + f" FROM (SELECT DISTINCT * FROM {name})" for label, (name, ident) in G.NODES.items()]
     ends = [f"SELECT '{kind}' AS name, '{source[0]}|' || {source[1]} AS s, '{target[0]}|' || {target[1]} AS t FROM {name} WHERE {source[1]} IS NOT NULL AND {target[1]} IS NOT NULL" for kind, name, source, target in G.EDGES]
     ends.append(f"SELECT 'EVIDENCED_BY', label || '|' || object_id, 'SourceSpan|' || span_id FROM ({EVIDENCE.format(lineitem='lineitem')}) WHERE object_id IS NOT NULL")
     keys = " UNION ".join(f"SELECT '{label}|' || {ident} AS k FROM {name}" for label, (name, ident) in G.NODES.items())
     tables = ", ".join(f"{k} AS ({v})" for k, v in flat.items())
-    lost = "SELECT 'dangling', name, count(*) FROM (SELECT name FROM e WHERE s NOT IN (SELECT k FROM k) UNION ALL SELECT name FROM e WHERE t NOT IN (SELECT k FROM k)) GROUP BY 2"
-    return f"WITH {tables}, e AS ({' UNION '.join(ends)}), k AS ({keys}) {' UNION ALL '.join(parts)} UNION ALL SELECT 'edge', name, count(*) FROM e GROUP BY 2 UNION ALL {lost}"
+    lost = "SELECT 'dangling', name, count(*), NULL FROM (SELECT name FROM e WHERE s NOT IN (SELECT k FROM k) UNION ALL SELECT name FROM e WHERE t NOT IN (SELECT k FROM k)) GROUP BY 2"
+    return f"WITH {tables}, e AS ({' UNION '.join(ends)}), k AS ({keys}) {' UNION ALL '.join(parts)} UNION ALL SELECT 'edge', name, count(*), {digest.format("s || '|' || name || '|' || t")} FROM e GROUP BY 2 UNION ALL {lost}"
 
 
 QUERIES = {
