@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.operators.joins import bounded
+from docketry.sources.tables import written
 
 YES, NO, CONFLICT, UNKNOWN = "SATISFIED", "NOT_SATISFIED", "CONFLICTING", "UNKNOWN"
 ROLES = ("support", "limiting", "boundary")
@@ -57,7 +58,7 @@ def compare(pairs: DataFrame, scope: DataFrame, members: DataFrame, known: DataF
     allowed = scoped(scope, members).select("query_id", "condition_id")
     sizes = allowed.groupBy("query_id").agg(F.count("*").alias("n"))
     user = allowed.join(known, ["query_id", "condition_id"]).where(F.col("status").isin(YES, NO)).withColumnRenamed("status", "user")
-    states = pairs.join(summaries.where("usable").select("case_id", "condition_id", "status"), "case_id")
+    states = written(pairs.join(summaries.where("usable").select("case_id", "condition_id", "status"), "case_id"))
     met = states.where(F.col("status").isin(YES, NO)).join(bounded(user), ["query_id", "condition_id"])
     counted = met.groupBy("query_id", "case_id").agg(F.count_if(F.col("user") == F.col("status")).alias("same"), F.count_if(F.col("user") != F.col("status")).alias("different"))
 
@@ -84,6 +85,7 @@ def assign_roles(compared: DataFrame, scope: DataFrame, members: DataFrame, know
 
     links (case_id, rule_id, applied), claims (case_id, claim_type, rejected), user_claims (query_id, claim_type).
     """
+    compared = written(compared)
     pairs = compared.select("query_id", "case_id")
     roles = bounded(scoped(scope, members))
     rows = pairs.join(assessments, "case_id").join(roles, ["query_id", "condition_id"], "left").join(bounded(known.withColumnRenamed("status", "user")), ["query_id", "condition_id"], "left")
@@ -141,6 +143,7 @@ def per_role(pooled: DataFrame, k: int = 3) -> DataFrame:
 
 def status_counts(pairs: DataFrame, conditions: DataFrame, summaries: DataFrame) -> DataFrame:
     """(query_id, condition_id, n_yes, n_no, n_conflict, n_unknown): states of each query's cases on each of its conditions."""
+    pairs = written(pairs)
     cases = pairs.groupBy("query_id").agg(F.count("*").alias("n"))
     met = pairs.join(summaries.where("usable"), "case_id").groupBy("query_id", "condition_id").agg(*(F.count_if(F.col("status") == s).alias(c) for s, c in ((YES, "n_yes"), (NO, "n_no"), (CONFLICT, "n_conflict"))))
     out = conditions.join(cases, "query_id").join(met, ["query_id", "condition_id"], "left").na.fill(0, ["n_yes", "n_no", "n_conflict"])

@@ -178,3 +178,13 @@ def test_index_upkeep_embeds_only_what_changed(spark):
     assert seen == [["a", "b", "c"], ["b", "d"], ["c"]]
     assert {x.object_id: x.state for x in second.collect()} == {"a": "kept", "b": "embedded", "c": "deleted", "d": "embedded"}
     assert {x.object_id: x.state for x in third.collect()}["c"] == "embedded"
+
+
+def test_texts_are_cut_once_and_rankings_are_tables(spark, small):
+    """Plans read what earlier steps have written, and no input more than once or twice."""
+    from docketry.plans.registry import queries
+
+    def scans(name):
+        return queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert scans("bm25_top") <= 4 and scans("case_retrieval") < 40 and scans("condition_ranks") < 15
