@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.operators import experiments as X
 from docketry.operators import sessions as S
 from docketry.sources.tables import from_sql, table
 
@@ -110,38 +111,32 @@ RUNS = """SELECT o_orderkey AS sample_id, 'v' || CAST(o_orderkey % 3 AS VARCHAR(
 
 
 def run_summaries(s, d):
-    """Means by variant and category, then the mean of category means."""
-    rows = from_sql(s, d, RUNS, "orders").withColumn("ok", (F.col("expected") == F.col("actual")).cast("double"))
-    by = rows.groupBy("variant", "category").agg(F.avg("ok").alias("ok"), F.count_if(F.col("actual") == "ERROR").alias("errors"), F.count("*").alias("n"))
-    return by.groupBy("variant").agg(F.round(F.avg("ok"), 6).alias("mean_of_categories"), F.sum("errors").alias("errors"), F.sum("n").alias("n"))
+    return X.run_summaries(from_sql(s, d, RUNS, "orders"))
 
 
 def review_scores(s, d):
-    """Accuracy over all rows; question quality over questions alone, null where there are none."""
-    rows = from_sql(s, d, RUNS, "orders")
-    ask = F.col("actual") == "ASK"
-    out = rows.groupBy("variant", "expected").agg(F.count("*").alias("n"), F.count_if(F.col("expected") == F.col("actual")).alias("right"), F.count_if(ask).alias("asks"), F.count_if(ask & F.col("target_hit") & (F.col("expected") == "ASK")).alias("hits"), F.count_if(ask & ~F.col("repeats")).alias("fresh"))
-    rate = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
-    return out.select("variant", "expected", rate("right", "n").alias("accuracy"), rate("hits", "asks").alias("target_rate"), rate("fresh", "asks").alias("fresh_rate"))
+    return X.review_scores(from_sql(s, d, RUNS, "orders"))
 
 
 def run_metrics(s, d):
-    rows = from_sql(s, d, RUNS, "orders")
-    return rows.groupBy("variant").agg(F.round(F.avg("calls"), 6).alias("calls"), F.round(F.avg("seconds"), 4).alias("seconds"), F.count_if(F.col("actual") == "ERROR").alias("errors"))
+    return X.run_metrics(from_sql(s, d, RUNS, "orders"))
 
 
-def freeze(s, d):
-    """Candidates with review decisions, one to one: accepted ones, and what is wrong with the rest."""
-    c = table(s, d, "documents").select(F.col("doc_id").alias("sample_id"), F.sha2("text", 256).alias("input_sha256"))
-    r = table(s, d, "labels").select(F.col("doc_id").alias("sample_id"), F.when(F.col("toxic") == 1, "PENDING").otherwise("APPROVED").alias("decision"))
-    issue = F.when(F.col("decision").isNull(), "no_decision").when(F.col("input_sha256").isNull(), "no_candidate").when(F.col("decision") == "PENDING", "pending").otherwise("frozen")
-    return c.join(r, "sample_id", "full_outer").groupBy(issue.alias("outcome")).agg(F.count("*").alias("n"))
+CANDIDATE = "SELECT doc_id AS sample_id, CAST(length(text) AS VARCHAR(9)) AS input_sha256 FROM {documents}"
+REVIEWED = "SELECT l.doc_id AS sample_id, CASE WHEN toxic = 1 THEN 'PENDING' WHEN quality = 0 THEN 'REJECTED' ELSE 'APPROVED' END AS decision, CASE WHEN l.doc_id % 9 = 0 THEN 'x' ELSE CAST(length(text) AS VARCHAR(9)) END AS input_sha256 FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id"
+
+
+def frozen_dataset(s, d):
+    return X.freeze(from_sql(s, d, CANDIDATE, "documents"), from_sql(s, d, REVIEWED, "labels", "documents"))
+
+
+SPOKEN = "SELECT CAST(conv_id AS BIGINT) AS session_id, CAST(turn AS BIGINT) AS turn, role FROM {conversations}"
+ENDS = "SELECT DISTINCT CAST(conv_id AS BIGINT) AS session_id, CASE conv_id % 3 WHEN 0 THEN 'NO_CANDIDATE' ELSE 'BUDGET' END AS stop_reason FROM {conversations} WHERE conv_id % 5 > 0"
+REACHED = "SELECT CAST(conv_id AS BIGINT) AS session_id, CAST(turn AS BIGINT) AS condition_id, CASE WHEN length(text) % 3 = 0 THEN 'UNKNOWN' ELSE 'SATISFIED' END AS status FROM {conversations}"
 
 
 def run_log(s, d):
-    """Per conversation: the last turn's role, and how often each role spoke."""
-    c = table(s, d, "conversations")
-    return c.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"), F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"))
+    return X.run_log(*(from_sql(s, d, x, "conversations") for x in (SPOKEN, ENDS, REACHED)))
 
 
 E_SQL, C_SQL = EVIDENCE.format(events="events"), CORRECTED.format(events="events")
@@ -176,6 +171,9 @@ QUERIES = {
     "run_summaries": (run_summaries, f"SELECT variant, round(avg(ok), 6) AS mean_of_categories, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS n FROM (SELECT variant, category, avg(CASE WHEN expected = actual THEN 1.0 ELSE 0.0 END) AS ok, count(*) FILTER (WHERE actual = 'ERROR') AS errors, count(*) AS n FROM ({R_SQL}) GROUP BY 1, 2) GROUP BY 1"),
     "review_scores": (review_scores, f"SELECT variant, expected, round(count(*) FILTER (WHERE expected = actual) / count(*), 6) AS accuracy, round(count(*) FILTER (WHERE actual = 'ASK' AND target_hit AND expected = 'ASK') / nullif(count(*) FILTER (WHERE actual = 'ASK'), 0), 6) AS target_rate, round(count(*) FILTER (WHERE actual = 'ASK' AND NOT repeats) / nullif(count(*) FILTER (WHERE actual = 'ASK'), 0), 6) AS fresh_rate FROM ({R_SQL}) GROUP BY 1, 2"),
     "run_metrics": (run_metrics, f"SELECT variant, round(avg(calls), 6) AS calls, round(avg(seconds), 4) AS seconds, count(*) FILTER (WHERE actual = 'ERROR') AS errors FROM ({R_SQL}) GROUP BY 1"),
-    "frozen_dataset": (freeze, "SELECT CASE WHEN l.doc_id IS NULL THEN 'no_decision' WHEN d.doc_id IS NULL THEN 'no_candidate' WHEN toxic = 1 THEN 'pending' ELSE 'frozen' END AS outcome, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"),
-    "run_log": (run_log, "SELECT conv_id, arg_max(role, turn) AS last_role, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY 1"),
+    "frozen_dataset": (frozen_dataset, f"""WITH c AS ({CANDIDATE.format(documents='documents')}), r AS (SELECT sample_id, count(*) AS n, min(decision) AS decision, min(input_sha256) AS h FROM ({REVIEWED.format(documents='documents', labels='labels')}) GROUP BY 1)
+      SELECT coalesce(c.sample_id, r.sample_id) AS sample_id, CASE WHEN n IS NULL THEN 'no_decision' WHEN c.sample_id IS NULL THEN 'no_candidate' WHEN n > 1 THEN 'several_decisions' WHEN h IS DISTINCT FROM input_sha256 THEN 'hash_changed' WHEN decision = 'PENDING' THEN 'pending' WHEN decision = 'APPROVED' THEN 'frozen' ELSE 'rejected' END AS outcome
+      FROM c FULL JOIN r ON c.sample_id = r.sample_id"""),
+    "run_log": (run_log, """SELECT conv_id AS session_id, arg_max(role, turn) AS last_role, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, CASE WHEN conv_id % 5 = 0 THEN 'RUNNING' WHEN conv_id % 3 = 0 THEN 'NO_CANDIDATE' ELSE 'BUDGET' END AS stop_reason,
+      count(DISTINCT turn) FILTER (WHERE length(text) % 3 <> 0) AS known_states FROM conversations GROUP BY conv_id"""),
 }
