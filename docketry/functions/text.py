@@ -20,12 +20,6 @@ def tokens(text: Column) -> Column:
     return F.concat(single, F.when(F.size(han) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def token_count(text: Column) -> Column:
-    """The size of tokens(text), without making them."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_count(text, F.lit(TOKEN)) + F.greatest(F.regexp_count(text, F.lit(HAN)) - 1, F.lit(0))
-
-
 def compact(text: Column) -> Column:
     """Text without any Unicode white space: the key by which texts count as equal."""
     return F.regexp_replace(text, r"(?U)\s+", "")

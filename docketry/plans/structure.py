@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.operators import bridges as B
+from docketry.operators import cases as C
 from docketry.operators import pages as P
 from docketry.operators import sessions as S
 from docketry.sources.tables import from_sql, table
@@ -59,6 +60,18 @@ def condition_bridges(s, d):
     return B.condition_states(from_sql(s, d, JUDGMENTS, "orders").withColumn("sentences", F.split("said", "\\|")))
 
 
+RAW = """SELECT CASE WHEN o_orderkey % 5 > 0 THEN 'case.' || CAST(o_orderkey AS VARCHAR(12)) END AS case_id, CASE WHEN o_orderkey % 7 > 0 THEN '甲诉乙案' || CAST(o_orderkey AS VARCHAR(12)) ELSE 't' || CAST(o_orderkey AS VARCHAR(12)) END AS title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '民初1号' END AS case_no,
+  CASE WHEN o_orderkey % 4 = 0 THEN '刑事' ELSE '民事' END AS case_category, CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE '一院' END AS court_name, '二院' AS court, '2020年' || CAST(o_orderkey % 12 + 1 AS VARCHAR(2)) || '月5日' AS judgment_date, CASE WHEN o_orderkey % 2 = 0 THEN '服务合同' END AS case_cause,
+  '自述事实。' AS case_facts, '自述理由，依照《中华人民共和国民法典》第五百六十三条。' AS judgment_reasoning, CASE WHEN o_orderkey % 2 = 1 THEN '概要' END AS judgment_summary,
+  CASE o_custkey % 3 WHEN 0 THEN '# 案' || chr(10) || '## 基本案情' || chr(10) || '查明甲。' || chr(10) || '## 裁判理由' || chr(10) || '理由乙。' || chr(10) || '## 裁判结果' || chr(10) || '结果丙。' WHEN 1 THEN '## 基本案情' || chr(10) || '查明丁。结果戊。' || chr(10) || '## 裁判结果' || chr(10) || '结果戊。' END AS full_document, o_custkey % 3 AS shape FROM {orders}"""
+
+
+def light_records(s, d):
+    raw = from_sql(s, d, RAW, "orders").withColumn("keywords", F.when(F.col("shape") == 0, F.array(F.lit("a"), F.lit("b"))))
+    out = C.light_records(raw)
+    return out.withColumn("keywords", F.array_join("keywords", ",")).withColumn("related_provision_ids", F.array_join("related_provision_ids", ",")).withColumn("judgment_date", F.col("judgment_date").cast("string"))
+
+
 # A session is a conversation, its answers are the turns after the first, and a snapshot is kept after each turn.
 TURNS = "SELECT CAST(conv_id AS BIGINT) AS session_id, CAST(turn AS BIGINT) AS turn, text AS answer, role FROM {conversations}"
 SHOTS = """SELECT session_id, turn, CASE WHEN (session_id * 3 + turn) % 19 = 0 THEN 'x' ELSE q END AS initial_query, history FROM (SELECT session_id, turn, first_value(answer) OVER (PARTITION BY session_id ORDER BY turn) AS q,
@@ -133,12 +146,17 @@ k AS (SELECT q.session_id, q.condition_id, q.turn, bool_or(kind = 'UNABLE') AS u
 SELECT session_id, condition_id, turn, CASE WHEN u THEN 'USER_UNABLE' WHEN d THEN 'USER_DECLINED' WHEN last NOT IN ('', '不清楚', '不知道', '不了解', '不确定', '说不清', '暂不回答') THEN 'ALREADY_ANSWERED' WHEN status IN ('SATISFIED', 'NOT_SATISFIED') AND n_evidence > 0 THEN 'ALREADY_EVIDENCED' ELSE 'MISSING' END AS outcome
 FROM l JOIN k USING (session_id, condition_id, turn) LEFT JOIN st USING (session_id, condition_id)"""
 
+LIGHT_SQL = f"""SELECT coalesce(case_id, 'case.' || substr(sha1(title), 1, 12)) AS case_id, title, nullif(case_no, '') AS case_no, coalesce(nullif(court_name, ''), court) AS court, strftime(make_date(2020, regexp_extract(judgment_date, '年(\\d+)月', 1)::BIGINT, 5), '%Y-%m-%d') AS judgment_date, case_cause AS cause,
+CASE shape WHEN 0 THEN 'a,b' ELSE '' END AS keywords, CASE shape WHEN 0 THEN '查明甲。' || chr(10) || '结果丙。' WHEN 1 THEN '查明丁。结果戊。' ELSE case_facts END AS facts_text, CASE shape WHEN 0 THEN '理由乙。' ELSE judgment_reasoning END AS reasoning_text, coalesce(judgment_summary, '') AS summary,
+CASE shape WHEN 0 THEN '' ELSE 'provision.0563' END AS related_provision_ids, 'L1' AS maturity FROM ({sql(RAW)}) WHERE case_category = '民事'"""
+
 QUERIES = {
     "page_lines": (page_lines, None),
     "page_compare": (page_compare, None),
     "article_texts": (article_texts, f"WITH {ARTICLES_SQL} SELECT * FROM ar"),
     "article_issues": (article_issues, ISSUES_SQL),
     "article_compare": (article_compare, COMPARE_SQL),
+    "light_records": (light_records, LIGHT_SQL),
     "condition_bridges": (condition_bridges, BRIDGES_SQL),
     "turn_audit": (turn_audit, AUDIT_SQL),
     "history_guard": (history_guard, GUARD_SQL),
