@@ -30,7 +30,7 @@ from docketry.llm.common import by_bytes, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A worker remembers so many pieces at most.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 #: The pattern of byte-level pre-tokenizing; fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
@@ -310,7 +310,7 @@ def digests(path: str | None = None) -> Callable[[Iterable[pa.RecordBatch]], Ite
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path or default_path())
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             n, ids_hash, text_hash = [], [], []
             with no_cycles():
                 coded = bpe.encode_many([t or "" for t in batch.column("text").to_pylist()])
@@ -328,7 +328,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path or default_path())
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             ids = [np.frombuffer(x, "<i4") for x in bpe.encode_many([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

@@ -170,6 +170,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 2
             whole = start == 0 and stop == batch.num_rows
             yield batch if whole else batch.take(pa.array(np.arange(start, stop)))  # a copy: some kernels of Arrow misread slices
             start = stop
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
