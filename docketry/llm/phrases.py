@@ -85,11 +85,13 @@ def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), distinct.take(pa.array(word)).cast(pa.string()), pa.array(np.bincount(term, minlength=len(lang)), pa.int64())], names=["lang", "word", "c"])
 
 
-def hashes(lang: np.ndarray, word: np.ndarray, distinct: pa.Array, langs: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each term."""
-    own = np.array([xxhash.xxh64_intdigest(w.as_buffer()) for w in distinct], np.uint64)
-    of = np.array([xxhash.xxh64_intdigest(x.as_buffer()) for x in langs], np.uint64)
-    return mix64(own[word] + mix64(of[lang]))
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.as_buffer()) for x in texts], np.uint64)
+
+
+def hashes(lang: np.ndarray, word: np.ndarray, by_word: np.ndarray, langs: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each term, from those of its word and language."""
+    return mix64(by_word[word] + mix64(text_hashes(langs)[lang]))
 
 
 def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -105,7 +107,7 @@ def hash_rows(names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator
             own = []
             for name in names:
                 words = batch.column(name).dictionary_encode()
-                own.append(hashes(lang, words.indices.to_numpy().astype(np.int64), words.dictionary, langs))
+                own.append(hashes(lang, words.indices.to_numpy().astype(np.int64), text_hashes(words.dictionary), langs))
             h = own[0] if len(own) == 1 else paired(*own)
             yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(BITS)).astype(np.int64))], names=["h"])
 
@@ -175,9 +177,8 @@ def stripes(shared, buckets: int, two: bool) -> Callable[[Iterable[pa.RecordBatc
             lang, word, distinct, langs, term, follows = coded(batch)
             if not len(term):
                 continue
-            own = hashes(lang, word, distinct, langs)
-            by_word = np.zeros(len(distinct), np.uint64)
-            by_word[word] = own
+            by_word = text_hashes(distinct)  # of the word alone: what splits a hot prefix must not depend on the batch's languages
+            own = hashes(lang, word, by_word, langs)
             if not two:
                 known = holds(frequent, own)
                 at = np.flatnonzero(known[term])

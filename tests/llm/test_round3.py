@@ -52,6 +52,16 @@ def test_phrases(spark, small, odd, none, tmp_path):
     assert phrases.phrases(odd.withColumn("n", F.lit(1)).withColumn("key", F.lit(2))).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
+def test_hot_prefixes_split_alike_whatever_languages_a_batch_holds(spark, small, tmp_path, monkeypatch):
+    """Words that several languages share, over buckets of few bytes: a batch's other languages must not move a stripe's entries."""
+    monkeypatch.setattr(phrases, "GROUP_BYTES", 1000)
+    r = np.random.default_rng(4)
+    rows = [(("en", "fr", "de")[i % 3] if i % 7 else None, " ".join(f"w{x}" for x in r.integers(0, r.choice([3, 30]), 40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got, want = collocations(docs, small, tmp_path, hot=15)
+    assert len(want) > 100 and got == want
+
+
 def test_phrase_scores_are_exact(spark):
     big = 3 * 10**12
     row = spark.range(1).select(phrases.cohesion(F.lit(big), F.lit(big + 1), F.lit(big + 7)).alias("s")).first()
