@@ -9,9 +9,9 @@ whole training corpus (FLOOR), which also divide the mass of subwords outside th
 is cut into blocks of BLOCK subwords; a window is a block and the one before it. Windows overlap, each
 subword is scored once, in its own block, and all blocks of a batch go through masked attention together.
 
-Texts are cut into subwords once, and their ids written; training and scoring read these. Training takes windows of all training documents, so that it
-grows with the corpus: of their blocks one of EVERY, chosen by a hash of the document and the place, and of each document the one of least hash. A first fit on about WARM of them, on the driver, gives all shards the
-same start; then each shard of about SHARD windows, dealt by hash, is a task that trains one epoch by Adam, and the
+Texts are cut into subwords once, and their ids written; training and scoring read these. Training takes every window of all training documents: each
+of their blocks is a target once. A first fit on about WARM windows, on the driver, gives all shards the
+same start; then each shard of about SHARD windows, dealt by hash in stretches of at most STRETCH of a document, is a task that trains one epoch by Adam, and the
 shards' weights are averaged, by their windows. Neither depends on the order or partitioning of rows.
 
 Defined cases: null or wordless text is the end token alone. Null doc_id: not held out. No training
@@ -35,10 +35,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import by_bytes, cut, gather, mix64, owner, per_text, split_words, table, word_codes
+from docketry.llm.common import by_bytes, cut, gather, mix64, owner, per_text, reused_memory, split_words, table, word_codes
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT, EVERY, WARM, SHARD = 200_000, 8, 8192, 32_768
+FREQUENT, WARM, SHARD, STRETCH = 200_000, 8192, 131_072, 64
 BLOCK, DIM, EXPERTS, HEAD, FLOOR = 16, 16, 32, 4096, 0.02
 WARM_STEPS, BATCH, WARM_RATE, RATE, PARTS = 500, 256, 0.01, 0.005, 64
 END = "\n"  # no word holds white space: the end token's place among words
@@ -123,7 +123,7 @@ def blocks_of(ids: np.ndarray, offsets: np.ndarray, fill: int) -> tuple[np.ndarr
 
 def added(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Rows summed by their place among `size`."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")  # short keys are sorted by radix
     sorted_at = at[order]
     starts = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
     out = np.zeros((size, rows.shape[1]), np.float32)
@@ -162,32 +162,34 @@ class Attention:
         self.causal = (j <= BLOCK + i).astype(np.float32)
 
     def experts(self) -> np.ndarray:
-        x = self.w["x"]
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        """Each expert's probability of each bucket."""
+        p = np.exp(self.w["x"] - self.w["x"].max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return p
+
+    def near(self) -> np.ndarray:
+        return np.exp(np.clip(self.w["d"], -20, 20))[self.distance] * self.causal
 
     def tables(self) -> dict[str, np.ndarray]:
         """What each bucket asks, offers and says, with a last column of ones that sums the weights; and each expert's probability of each bucket."""
         w = self.w
         says = np.concatenate([w["e"] @ w["v"], np.ones((len(w["e"]), 1), np.float32)], axis=1)
-        return {"asks": w["e"] @ w["q"], "offers": w["e"] @ w["k"], "says": says, "near": np.exp(np.clip(w["d"], -20, 20))[self.distance] * self.causal, "expert": np.ascontiguousarray(np.exp(self.experts()).T)}
+        return {"asks": w["e"] @ w["q"], "offers": w["e"] @ w["k"], "says": says, "near": self.near(), "expert": np.ascontiguousarray(self.experts().T)}
 
-    def states(self, t: dict[str, np.ndarray], both: np.ndarray, no_before: np.ndarray) -> tuple:
-        """Buckets of a block and the one before it -> what step() needs; the experts' weights (not normalised) come last."""
-        inputs = both[:, BLOCK:]
-        asks, offers, says = t["asks"][inputs], t["offers"][both], t["says"][both]
+    def states(self, own: np.ndarray, asks: np.ndarray, offers: np.ndarray, says: np.ndarray, near: np.ndarray, no_before: np.ndarray) -> tuple:
+        """A block's own vectors and what it asks, what it and the block before it offer and say -> what step() needs; the experts' weights (not normalised) come last."""
         s = asks @ offers.transpose(0, 2, 1)
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
-        s *= t["near"]
+        s *= near
         s[no_before, :, :BLOCK] = 0
         heard = s @ says
-        h = self.w["e"][inputs] + heard[..., :DIM] / heard[..., DIM:]
+        h = own + heard[..., :DIM] / heard[..., DIM:]
         z = h.reshape(-1, DIM) @ self.w["g"]
         z += self.w["b"]
         np.clip(z, -30, 30, out=z)
         np.exp(z, out=z)
-        return inputs, asks, offers, says, s, heard, h, z
+        return s, heard, h, z
 
     def log10(self, blocks: np.ndarray, first: np.ndarray, t: dict[str, np.ndarray], rows: int = 256) -> np.ndarray:
         """log10 probability of each id of blocks (rows of a text in order; the id beyond the last is padding)."""
@@ -200,7 +202,8 @@ class Attention:
         out = np.zeros(blocks.shape)
         for lo in range(0, len(blocks), rows):
             at = np.arange(lo, min(lo + rows, len(blocks)))
-            z = self.states(t, np.concatenate([inputs[at - 1], inputs[at]], axis=1), first[at])[-1]
+            both = np.concatenate([inputs[at - 1], inputs[at]], axis=1)
+            z = self.states(self.w["e"][inputs[at]], t["asks"][inputs[at]], t["offers"][both], t["says"][both], t["near"], first[at])[-1]
             target = np.minimum(blocks[at], n - 1).ravel()
             p = np.einsum("nk,nk->n", z, t["expert"][self.bucket[target]]) / z.sum(axis=1)
             out[at] = np.log10((p * self.share[target] + self.floor[target]).astype(np.float64)).reshape(-1, BLOCK)
@@ -208,32 +211,44 @@ class Attention:
 
     def step(self, windows: np.ndarray) -> tuple[float, dict]:
         """Mean loss and gradients on windows: rows of 2 * BLOCK + 1 buckets, the last BLOCK of them targets."""
-        w, t, size = self.w, self.tables(), self.head + 3
+        w, experts, n_windows = self.w, self.experts(), len(windows)
+        expert = np.ascontiguousarray(experts.T)
         both, targets = windows[:, :-1], windows[:, BLOCK + 1 :].ravel()
         live = targets <= self.head
         targets = np.where(live, targets, 0)
-        no_before = windows[:, BLOCK] == self.head + 1
-        inputs, asks, offers, says, s, heard, h, z = self.states(t, both, no_before)
+        e = w["e"][both]
+        flat, own = e.reshape(-1, DIM), np.ascontiguousarray(e[:, BLOCK:])
+        asks, offers = (own.reshape(-1, DIM) @ w["q"]).reshape(own.shape), (flat @ w["k"]).reshape(e.shape)
+        says = np.ones((*e.shape[:2], DIM + 1), np.float32)
+        says[..., :DIM] = (flat @ w["v"]).reshape(e.shape)
+        s, heard, h, z = self.states(own, asks, offers, says, self.near(), windows[:, BLOCK] == self.head + 1)
         z /= z.sum(axis=1, keepdims=True)
-        own = z * t["expert"][targets]
-        p = own.sum(axis=1) + 1e-12
+        explains = z * expert[targets]
+        p = explains.sum(axis=1) + 1e-12
         n = max(int(live.sum()), 1)
         loss = float(-(np.log(p) * live).sum() / n)
         scale = (live / n).astype(np.float32)[:, None]
-        own *= scale / p[:, None]  # how much each expert explains each target
-        hot = added(own, targets, self.head + 1).T
-        dz = z * scale - own
-        g = {"x": t["expert"].T * hot.sum(axis=1, keepdims=True) - hot, "b": dz.sum(axis=0), "g": h.reshape(-1, DIM).T @ dz}
-        dh = (dz @ w["g"].T).reshape(h.shape)
+        explains *= scale / p[:, None]  # how much each expert explains each target
+        hot = np.ascontiguousarray(added(explains, targets, self.head + 1).T)
+        z *= scale
+        z -= explains
+        experts *= hot.sum(axis=1, keepdims=True)
+        experts -= hot
+        g = {"x": experts, "b": z.sum(axis=0), "g": h.reshape(-1, DIM).T @ z}
+        dh = (z @ w["g"].T).reshape(h.shape)
         weight = heard[..., DIM:]
-        d_heard = np.concatenate([dh / weight, -(dh * heard[..., :DIM]).sum(axis=2, keepdims=True) / weight**2], axis=2)
-        ds = (d_heard @ says.transpose(0, 2, 1)) * s
+        d_heard = np.empty_like(heard)
+        np.divide(dh, weight, out=d_heard[..., :DIM])
+        d_heard[..., DIM] = -np.einsum("nij,nij->ni", d_heard[..., :DIM], heard[..., :DIM]) / weight[..., 0]
+        ds = d_heard @ says.transpose(0, 2, 1)
+        ds *= s
         g["d"] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32)
-        by_both = added(np.concatenate([ds.transpose(0, 2, 1) @ asks, (s.transpose(0, 2, 1) @ d_heard)[..., :DIM]], axis=2).reshape(-1, 2 * DIM), both.ravel(), size)
-        by_input = added(np.concatenate([ds @ offers, dh], axis=2).reshape(-1, 2 * DIM), inputs.ravel(), size)
-        d_offers, d_says, d_asks = by_both[:, :DIM], by_both[:, DIM:], by_input[:, :DIM]
-        g["q"], g["k"], g["v"] = w["e"].T @ d_asks, w["e"].T @ d_offers, w["e"].T @ d_says
-        g["e"] = by_input[:, DIM:] + d_asks @ w["q"].T + d_offers @ w["k"].T + d_says @ w["v"].T
+        d_asks, d_offers = (ds @ offers).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ asks).reshape(-1, DIM)
+        d_says = (s.transpose(0, 2, 1) @ np.ascontiguousarray(d_heard[..., :DIM])).reshape(-1, DIM)
+        g["q"], g["k"], g["v"] = own.reshape(-1, DIM).T @ d_asks, flat.T @ d_offers, flat.T @ d_says
+        de = (d_offers @ w["k"].T + d_says @ w["v"].T).reshape(n_windows, 2 * BLOCK, DIM)
+        de[:, BLOCK:] += dh + (d_asks @ w["q"].T).reshape(dh.shape)
+        g["e"] = added(de.reshape(-1, DIM), both.ravel(), self.head + 3)
         return loss, g
 
     def fit(self, windows: np.ndarray, steps: int, rate: float, batch: int = BATCH, seed: int = 2) -> list[float]:
@@ -263,7 +278,7 @@ class Attention:
 
 
 def training_windows(model: Attention, every: int):
-    """For mapInArrow over (key, ids): (h, window) at one of `every` places of a text, BLOCK subwords apart, and at one of each text at least, as 16-bit buckets."""
+    """For mapInArrow over (key, ids): (h, window) at one of `every` places of a text, BLOCK subwords apart, and at one of each text at least, as 16-bit buckets. For the start; the shards see all."""
     begins, pads = model.head + 1, model.head + 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +310,50 @@ def unpacked(windows: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sorted(windows)), "<u2").reshape(-1, 2 * BLOCK + 1)
 
 
+def stretches(model: Attention, most: int = STRETCH):
+    """For mapInArrow over (key, ids): (h, stretch), all of each text as 16-bit buckets, at most `most` blocks each, after the BLOCK + 1 buckets before them."""
+    begins, pads, lead, long = model.head + 1, model.head + 2, BLOCK + 1, most * BLOCK
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "ids", 2 << 20):
+            ids, offsets = ids_of(batch.column("ids"))
+            n = np.diff(offsets)
+            laid = np.full(len(ids) + lead * len(n), pads, "<u2")
+            at = offsets[:-1] + lead * np.arange(len(n))  # where each text's lead begins
+            laid[at + BLOCK] = begins
+            laid[gather(at + lead, n)] = model.bucket[ids]
+            many = -(-n // long)
+            own = np.repeat(np.arange(len(n)), many)
+            place = gather(np.zeros(len(n), np.int64), many)
+            sizes = np.minimum(long, n[own] - place * long) + lead
+            h = mix64(batch.column("key").to_numpy().view(np.uint64)[own] + mix64(place.astype(np.uint64) + np.uint64(1)))
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * 2
+            data = laid[gather(at[own] + place * long, sizes)]
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(8)).astype(np.int64)), rows.cast(pa.binary())], names=["h", "stretch"])
+
+    return run
+
+
+def windows_of(held: Iterable[bytes], pads: int) -> np.ndarray:
+    """Every window of the stretches, whatever their order."""
+    held = sorted(held)
+    data = np.frombuffer(b"".join(held), "<u2")
+    ends = np.cumsum([len(x) // 2 for x in held])
+    starts = np.concatenate([[0], ends[:-1]])
+    many = -(-(ends - starts - BLOCK - 1) // BLOCK)
+    want = gather(np.zeros(len(many), np.int64), many) * BLOCK + np.repeat(starts, many)
+    want = (want[:, None] + np.arange(2 * BLOCK + 1)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    return np.where(want < np.repeat(ends, many)[:, None], data[np.minimum(want, len(data) - 1)], np.uint16(pads))
+
+
 def train_shard(model: Attention):
     """For applyInPandas: one epoch of a shard from the common start; (part, n, values), the weights times the shard's windows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, windows = copy.deepcopy(model), unpacked(pdf["window"])
-        own.fit(windows, max(1, len(windows) // BATCH), RATE)
+        own, windows = copy.deepcopy(model), windows_of(pdf["stretch"], model.head + 2)
+        with reused_memory():
+            own.fit(windows, max(1, len(windows) // BATCH), RATE)
         parts = np.array_split(own.flat().astype(np.float64) * len(windows), PARTS)
         return pd.DataFrame({"part": range(PARTS), "n": len(windows), "values": parts})
 
@@ -318,15 +371,17 @@ def sum_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([v for _, v in total.values()], pa.list_(pa.float64()))], names=["part", "n", "values"])
 
 
-def train(model: Attention, learned: DataFrame, every: int = EVERY, warm: int = WARM, shard: int = SHARD) -> None:
-    """Fits model on learned (key, ids)."""
-    windows = cut(learned.select("key", "ids").mapInArrow(training_windows(model, every), "h long, window binary"))
-    many = windows.count()
+def train(model: Attention, learned: DataFrame, warm: int = WARM, shard: int = SHARD) -> None:
+    """Fits model on learned (key, ids, blocks), on each window of it."""
+    texts = learned.select("key", "ids")
+    many = learned.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     if not many:
         return
-    some = windows.where(F.pmod(F.xxhash64("h", "window"), F.lit(1 << 20)) < F.lit(int(min(1.0, warm / many) * (1 << 20)))).select("window").collect()
-    model.fit(unpacked(r["window"] for r in some), WARM_STEPS, WARM_RATE)
-    shards = windows.groupBy(F.pmod(F.xxhash64("window", "h"), F.lit(-(-many // shard))).alias("shard"))
+    windows = cut(texts.mapInArrow(training_windows(model, max(1, many // (8 * warm))), "h long, window binary"))
+    some = windows.where(F.pmod(F.xxhash64("h", "window"), F.lit(1 << 20)) < F.lit(int(min(1.0, warm / windows.count()) * (1 << 20)))).select("window").collect()
+    with reused_memory():
+        model.fit(unpacked(r["window"] for r in some), WARM_STEPS, WARM_RATE)
+    shards = texts.mapInArrow(stretches(model), "h long, stretch binary").groupBy(F.pmod(F.xxhash64("h"), F.lit(-(-many // shard))).alias("shard"))
     schema = "part long, n long, values array<double>"
     sums = shards.applyInPandas(train_shard(model), schema).repartition("part").mapInArrow(sum_parts, schema).collect()
     n = max(r["n"] for r in sums)
@@ -392,12 +447,12 @@ def score(docs: DataFrame, parts: int = 5, part: int = 1, path: str | None = Non
             bounds = np.searchsorted(pairs // len(distinct), np.arange(batch.num_rows + 1)).astype(np.int32)
             words = pa.array(distinct, pa.string()).take(pa.array(pairs % len(distinct)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("key"), packed, pa.array(np.diff(offsets)), pa.array(per_text(c > 0, offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]),
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("key"), packed, pa.array(-(-np.diff(id_offsets) // BLOCK)), pa.array(np.diff(offsets)), pa.array(per_text(c > 0, offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]),
                  pa.ListArray.from_arrays(pa.array(bounds), words), pa.ListArray.from_arrays(pa.array(bounds), pa.array(times, pa.int32()))],
-                names=["doc_id", "held_out", "key", "ids", "n_tokens", "n_known", "base", "rare", "times"],
+                names=["doc_id", "held_out", "key", "ids", "blocks", "n_tokens", "n_known", "base", "rare", "times"],
             )
 
-    schema = "doc_id long, held_out boolean, key long, ids binary, n_tokens long, n_known long, base double, rare array<string>, times array<int>"
+    schema = "doc_id long, held_out boolean, key long, ids binary, blocks long, n_tokens long, n_known long, base double, rare array<string>, times array<int>"
     rows = cut(own.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(code, schema).withColumn("row", F.monotonically_increasing_id()))
     model = Attention(frequency)
     train(model, rows.where("not held_out"))
@@ -408,7 +463,8 @@ def score(docs: DataFrame, parts: int = 5, part: int = 1, path: str | None = Non
         tables, end = model.tables(), len(model.log_unigram)
         for batch in by_bytes(batches, "ids", 2 << 20):
             blocks, texts, first = blocks_of(*ids_of(batch.column("ids")), end + 1)
-            scores = np.bincount(texts, model.log10(blocks, first, tables).sum(axis=1), batch.num_rows)
+            with reused_memory():
+                scores = np.bincount(texts, model.log10(blocks, first, tables).sum(axis=1), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
 
     scored = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids").mapInArrow(judge, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")

@@ -100,3 +100,16 @@ def test_every_training_text_gives_a_window():
         laid = [pads] * lm.BLOCK + [begins] + model.bucket[ids[a:b]].tolist() + [pads] * lm.BLOCK
         want += [laid[i : i + 2 * lm.BLOCK + 1] for i in range(0, b - a, lm.BLOCK)]
     assert sorted(every.tolist()) == sorted(want)
+
+
+def test_shards_train_on_every_window():
+    """What a shard unpacks from stretches, of any length and in any order, is every window of every text."""
+    texts = ["", "one", *(" ".join(f"w{j}" for j in range(n)) for n in (3, 40, 500))]
+    ids, offsets, *_ = lm.text_ids(pa.array(texts), None)
+    packed = pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), packed], names=["key", "ids"])
+    model = lm.Attention(np.ones(lm.vocabulary_size(None)))
+    want = lm.unpacked(w for b in lm.training_windows(model, 1)([batch]) for w in b.column("window").to_pylist())
+    for most in (1, 2, lm.STRETCH):
+        held = [x for b in lm.stretches(model, most)([batch]) for x in b.column("stretch").to_pylist()]
+        assert sorted(lm.windows_of(held[::-1], model.head + 2).tolist()) == sorted(want.tolist())
