@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by collision counting over sorted random projections.
+"""Near-duplicate vectors by collision counting over random projections.
 
 Unit vectors are projected onto PROJECTIONS Gaussian directions. Two vectors at the threshold's
 distance d differ by N(0, d^2) on each of them, so that the window of half-width WIDTH * d around a
@@ -8,8 +8,8 @@ that passes is verified by its cosine in double precision.
 
 Equal vectors of a label form a class first; one row per class is compared, and its copies count
 as links. A label's classes are dealt into blocks of about BLOCK rows by hash, and each pair of blocks
-is one group: it sorts its rows on every projection, finds each query's window by binary search and
-counts collisions. A group returns one row per linked vector (its links and the root of its component
+is one group: tile by tile it counts on how many projections each pair lies within the window, for all
+pairs of the tile at once. A group returns one row per linked vector (its links and the root of its component
 in the group), never all pairs. Every pair of a label is covered, so work grows with the square of a
 label's distinct vectors, and each vector is sent to as many groups as its label has blocks.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import components, cut, join_dim, table
 
-COSINE, PROJECTIONS, WIDTH, RECALL, BLOCK, SEED = 0.93, 48, 1.0, 0.9995, 1024, 3
+COSINE, PROJECTIONS, WIDTH, RECALL, BLOCK, TILE, SEED = 0.93, 48, 1.0, 0.9995, 1024, 128, 3
 
 
 def least_count(projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> int:
@@ -53,17 +53,19 @@ def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
 def linked(a: np.ndarray, b: np.ndarray, cosine: float, projections: int, width: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows of a, rows of b) of unit vectors that reach the cosine, among pairs with enough window collisions."""
     need = least_count(projections, width, recall)
-    half = width * math.sqrt(2 - 2 * cosine)
-    pa_, pb = a @ directions(a.shape[1], projections), b @ directions(a.shape[1], projections)
-    order = np.argsort(pb, axis=0)
-    counts = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(projections):
-        line = pb[order[:, k], k]
-        lo, hi = np.searchsorted(line, pa_[:, k] - half, "left"), np.searchsorted(line, pa_[:, k] + half, "right")
-        own = order[:, k]
-        for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            counts[i, own[x:y]] += 1
-    i, j = np.nonzero(counts >= need)
+    half = np.float32(width * math.sqrt(2 - 2 * cosine) * (1 + 1e-5) + 1e-6)  # wider than single precision errs: no collision is lost
+    d = directions(a.shape[1], projections)
+    pa_, pb = (np.ascontiguousarray((x @ d).T.astype(np.float32)) for x in (a, b))
+    found = []
+    for lo in range(0, len(a), TILE):
+        counts = np.zeros((min(TILE, len(a) - lo), len(b)), np.uint8)
+        gap, near = np.empty(counts.shape, np.float32), np.empty(counts.shape, bool)
+        for p, q in zip(pa_[:, lo : lo + TILE, None], pb, strict=True):
+            np.abs(np.subtract(p, q, out=gap), out=gap)
+            counts += np.less_equal(gap, half, out=near).view(np.uint8)
+        i, j = np.nonzero(counts >= need)
+        found.append((i + lo, j))
+    i, j = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
     keep = np.zeros(len(i), bool)
     for at in range(0, len(i), 1 << 16):
         s = slice(at, at + (1 << 16))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docketry.llm import langid, lm, neardup, warc
+from docketry.llm import langid, lm, neardup, vectors, warc
 from docketry.llm.common import shared_dir
 from tests.llm.test_operators import ODD, SCHEMA
 
@@ -113,3 +113,18 @@ def test_shards_train_on_every_window():
     for most in (1, 2, lm.STRETCH):
         held = [x for b in lm.stretches(model, most)([batch]) for x in b.column("stretch").to_pylist()]
         assert sorted(lm.windows_of(held[::-1], model.head + 2).tolist()) == sorted(want.tolist())
+
+
+def test_collisions_are_counted_for_every_pair():
+    """Links of two blocks, over several tiles and an incomplete one, are those of the definition."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((30, 64))
+    x = np.concatenate([base[r.integers(0, 30, 700)] + 0.2 * r.standard_normal((700, 64)), r.standard_normal((300, 64))])
+    x = r.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    a, b = x[:300], x[300:]
+    p, q = a @ vectors.directions(64), b @ vectors.directions(64)
+    counts = (np.abs(p[:, None] - q[None]) <= vectors.WIDTH * np.sqrt(2 - 2 * vectors.COSINE)).sum(axis=2)
+    want = np.argwhere((counts >= vectors.least_count()) & (a @ b.T >= vectors.COSINE))
+    got = np.stack(vectors.linked(a, b, vectors.COSINE, vectors.PROJECTIONS, vectors.WIDTH, vectors.RECALL), axis=1)
+    assert got.tolist() == want.tolist() and len(want) > 1000
+    assert [len(k) for k in vectors.linked(a[:0], b, vectors.COSINE, vectors.PROJECTIONS, vectors.WIDTH, vectors.RECALL)] == [0, 0]
