@@ -63,12 +63,13 @@ def vocabulary_size(path: str | None) -> int:
 PLAIN = r"\A[!-~À-ɏ]+\z"
 
 
-def subwords(words: list[str], path: str | None) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of words, each with the space before it; END is the end token."""
-    enc, at = encoder(path), pa.array(words, pa.string())
+    enc, at = encoder(path), words.cast(pa.string())
     plain = pc.match_substring_regex(at, PLAIN).to_numpy(zero_copy_only=False)
-    joined = "".join(f" {w}\n" for w in at.filter(pa.array(plain)).to_pylist())
-    flat = np.array(enc.encode_ordinary(joined), np.int64)
+    some = at.filter(pa.array(plain))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n ")[0].as_py()
+    flat = enc.encode_to_numpy(f" {joined}\n" if len(some) else "", disallowed_special=()).astype(np.int64)
     feed = enc.encode_ordinary("\n")[0]
     stops = np.flatnonzero(flat == feed)
     end = [vocabulary_size(path) - 1]
@@ -82,11 +83,11 @@ def subwords(words: list[str], path: str | None) -> tuple[np.ndarray, np.ndarray
     return ids[gather(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)])
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets, codes, distinct words) of texts whose last token is END."""
     offsets, words = split_words(texts, lower=True)
     codes, distinct = word_codes(words)
-    distinct = [*distinct.to_pylist(), END]
+    distinct = pa.concat_arrays([distinct, pa.array([END], distinct.type)])
     at = np.arange(1, len(offsets))
     codes = np.insert(codes, offsets[1:], len(distinct) - 1)
     return offsets + np.concatenate([[0], at]), codes, distinct
@@ -95,16 +96,34 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", 8 << 20):
         _, codes, distinct = coded(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.string()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], names=["word", "c"])
+        yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], names=["word", "c"])
 
 
-def text_ids(texts: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(subword ids, their offsets by text, word codes, their offsets by text, distinct words)."""
+class Known:
+    """Words cut into subwords beforehand, with their counts."""
+
+    def __init__(self, counts: dict[str, int], path: str | None):
+        self.place, self.counts = {w: i for i, w in enumerate(counts)}, np.array(list(counts.values()), np.int64)
+        self.ids, self.bounds = subwords(pa.array(list(counts), pa.string()), path)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where words are among the known ones, or -1."""
+        return np.fromiter(map(self.place.get, words.to_numpy(zero_copy_only=False), itertools.repeat(-1)), np.int64, len(words))
+
+
+def text_ids(texts: pa.Array, path: str | None, known: Known | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(subword ids, their offsets by text, word codes, their offsets by text, distinct words, their places among the known ones)."""
+    known = known or Known({}, path)
     offsets, codes, distinct = coded(texts)
-    ids, bounds = subwords(distinct, path)
-    counts = np.diff(bounds)[codes]
+    place = known.places(distinct)
+    rare = place < 0
+    ids, bounds = subwords(distinct.filter(pa.array(rare)), path)
+    ids, starts, lengths = np.concatenate([known.ids, ids]), np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    starts[rare], lengths[rare] = bounds[:-1] + len(known.ids), np.diff(bounds)
+    starts[~rare], lengths[~rare] = known.bounds[place[~rare]], np.diff(known.bounds)[place[~rare]]
+    counts = lengths[codes]
     total = np.concatenate([[0], np.cumsum(counts)])
-    return ids[gather(bounds[:-1][codes], counts)], total[offsets], codes, offsets, distinct
+    return ids[gather(starts[codes], counts)], total[offsets], codes, offsets, distinct, place
 
 
 def blocks_of(ids: np.ndarray, offsets: np.ndarray, fill: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,14 +140,17 @@ def blocks_of(ids: np.ndarray, offsets: np.ndarray, fill: int) -> tuple[np.ndarr
     return out, np.repeat(np.arange(len(n)), per), is_first
 
 
-def added(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Rows summed by their place among `size`."""
-    order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")  # short keys are sorted by radix
-    sorted_at = at[order]
-    starts = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[sorted_at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+@cache
+def places(size: int, width: int) -> np.ndarray:
+    """The places of each row's numbers in a table of `size` rows."""
+    return np.arange(size * width).reshape(size, width)
+
+
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of `to` at their places; two numbers at a time, as one complex number."""
+    pair = np.complex64 if to.dtype == np.float32 else np.complex128
+    rows = rows.astype(to.dtype, copy=False).view(pair)
+    np.add.at(to.view(pair).reshape(-1), np.take(places(len(to), rows.shape[1]), at, axis=0).ravel(), rows.ravel())
 
 
 class Attention:
@@ -154,127 +176,153 @@ class Attention:
         base[head] = np.log(max(mass, 1e-12))
         self.w = {
             "e": r.normal(0, 0.3, (head + 3, DIM)), "q": r.normal(0, 0.5 * DIM**-0.5, (DIM, DIM)), "k": r.normal(0, DIM**-0.5, (DIM, DIM)), "v": r.normal(0, DIM**-0.5, (DIM, DIM)),
-            "g": r.normal(0, 0.3, (DIM, EXPERTS)), "b": np.zeros(EXPERTS), "d": np.zeros(2 * BLOCK), "x": base + r.normal(0, 0.5, (EXPERTS, head + 1)),
+            "g": r.normal(0, 0.3, (DIM, EXPERTS)), "b": np.zeros(EXPERTS), "d": np.zeros(2 * BLOCK), "x": (base + r.normal(0, 0.5, (EXPERTS, head + 1))).T,
         }
-        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
+        self.w = {k: v.astype(np.float32, order="C") for k, v in self.w.items()}
         i, j = np.arange(BLOCK)[:, None], np.arange(2 * BLOCK)[None]
         self.distance = np.clip(BLOCK + i - j, 0, 2 * BLOCK - 1)
         self.causal = (j <= BLOCK + i).astype(np.float32)
 
-    def experts(self) -> np.ndarray:
-        """Each expert's probability of each bucket."""
-        p = np.exp(self.w["x"] - self.w["x"].max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+    def experts(self, out: np.ndarray | None = None) -> np.ndarray:
+        """Each bucket's probability by each expert. Logits begin as logarithms of probabilities and move by the rate a step at most a few times: they don't overflow."""
+        p = np.exp(self.w["x"], out=out)
+        p /= np.ones(len(p), p.dtype) @ p
         return p
 
     def near(self) -> np.ndarray:
         return np.exp(np.clip(self.w["d"], -20, 20))[self.distance] * self.causal
 
     def tables(self) -> dict[str, np.ndarray]:
-        """What each bucket asks, offers and says, with a last column of ones that sums the weights; and each expert's probability of each bucket."""
-        w = self.w
-        says = np.concatenate([w["e"] @ w["v"], np.ones((len(w["e"]), 1), np.float32)], axis=1)
-        return {"asks": w["e"] @ w["q"], "offers": w["e"] @ w["k"], "says": says, "near": self.near(), "expert": np.ascontiguousarray(self.experts().T)}
-
-    def states(self, own: np.ndarray, asks: np.ndarray, offers: np.ndarray, says: np.ndarray, near: np.ndarray, no_before: np.ndarray) -> tuple:
-        """A block's own vectors and what it asks, what it and the block before it offer and say -> what step() needs; the experts' weights (not normalised) come last."""
-        s = asks @ offers.transpose(0, 2, 1)
+        """What each bucket asks of others' vectors; and its probability by each expert."""
+        return {"asks": self.w["e"] @ (self.w["q"] @ self.w["k"].T), "near": self.near(), "expert": self.experts()}
+
+    def states(self, own: np.ndarray, asks: np.ndarray, both: np.ndarray, near: np.ndarray, no_before: np.ndarray) -> tuple:
+        """A block's own vectors and what they ask, the vectors of it and the block before it -> what step() needs; the experts' weights (not normalised) come last.
+
+        What is offered and said is linear in a vector: asks hold the offers' matrix, and vectors are averaged before they are said.
+        """
+        s = asks @ both.transpose(0, 2, 1)
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= near
         s[no_before, :, :BLOCK] = 0
-        heard = s @ says
-        h = own + heard[..., :DIM] / heard[..., DIM:]
-        z = h.reshape(-1, DIM) @ self.w["g"]
+        weight = (s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, s.dtype))[:, None]
+        heard = (s @ both).reshape(-1, DIM)
+        heard /= weight
+        h = heard @ self.w["v"]
+        h += own.reshape(-1, DIM)
+        z = h @ self.w["g"]
         z += self.w["b"]
         np.clip(z, -30, 30, out=z)
         np.exp(z, out=z)
-        return s, heard, h, z
+        return s, weight, heard, h, z
 
     def log10(self, blocks: np.ndarray, first: np.ndarray, t: dict[str, np.ndarray], rows: int = 256) -> np.ndarray:
         """log10 probability of each id of blocks (rows of a text in order; the id beyond the last is padding)."""
         n = len(self.log_unigram)
-        inputs = np.empty(blocks.shape, np.int32)
-        own = self.bucket[blocks]
-        inputs[:, 1:] = own[:, :-1]
-        inputs[1:, 0] = own[:-1, -1]
-        inputs[first, 0] = self.head + 1  # begins a text
+        inputs = np.empty((len(blocks) + 1, BLOCK), np.int32)  # after the row before the first, which no row hears
+        inputs[0] = self.head + 2
+        own, ones = self.bucket[blocks], np.ones(EXPERTS, np.float32)
+        inputs[1:, 1:] = own[:, :-1]
+        inputs[1:, 0] = inputs[0, 0]
+        inputs[2:, 0] = own[:-1, -1]
+        inputs[1:][first, 0] = self.head + 1  # begins a text
         out = np.zeros(blocks.shape)
         for lo in range(0, len(blocks), rows):
-            at = np.arange(lo, min(lo + rows, len(blocks)))
-            both = np.concatenate([inputs[at - 1], inputs[at]], axis=1)
-            z = self.states(self.w["e"][inputs[at]], t["asks"][inputs[at]], t["offers"][both], t["says"][both], t["near"], first[at])[-1]
-            target = np.minimum(blocks[at], n - 1).ravel()
-            p = np.einsum("nk,nk->n", z, t["expert"][self.bucket[target]]) / z.sum(axis=1)
-            out[at] = np.log10((p * self.share[target] + self.floor[target]).astype(np.float64)).reshape(-1, BLOCK)
+            hi = min(lo + rows, len(blocks))
+            e = np.take(self.w["e"], inputs[lo : hi + 1], axis=0)
+            both = np.lib.stride_tricks.as_strided(e, (hi - lo, 2 * BLOCK, DIM), e.strides, writeable=False)  # each row and the one before it
+            z = self.states(e[1:], np.take(t["asks"], inputs[lo + 1 : hi + 1], axis=0), both, t["near"], first[lo:hi])[-1]
+            target = np.minimum(blocks[lo:hi], n - 1).ravel()
+            total = z @ ones
+            z *= np.take(t["expert"], own[lo:hi].ravel(), axis=0, mode="clip")  # of padding any
+            p = z @ ones / total
+            out[lo:hi] = np.log10((p * self.share[target] + self.floor[target]).astype(np.float64)).reshape(-1, BLOCK)
         return np.where(blocks < n, out, 0.0)
 
-    def step(self, windows: np.ndarray) -> tuple[float, dict]:
-        """Mean loss and gradients on windows: rows of 2 * BLOCK + 1 buckets, the last BLOCK of them targets."""
-        w, experts, n_windows = self.w, self.experts(), len(windows)
-        expert = np.ascontiguousarray(experts.T)
-        both, targets = windows[:, :-1], windows[:, BLOCK + 1 :].ravel()
+    def step(self, windows: np.ndarray, g: dict[str, np.ndarray] | None = None) -> tuple[float, dict]:
+        """Mean loss and gradients (into g, where given) on windows: rows of 2 * BLOCK + 1 buckets, the last BLOCK of them targets."""
+        g = g or {k: np.empty_like(v) for k, v in self.w.items()}
+        w, experts = self.w, self.experts(g["x"])
+        inputs, targets = np.ascontiguousarray(windows[:, :-1]), windows[:, BLOCK + 1 :].ravel()
         live = targets <= self.head
         targets = np.where(live, targets, 0)
-        e = w["e"][both]
-        flat, own = e.reshape(-1, DIM), np.ascontiguousarray(e[:, BLOCK:])
-        asks, offers = (own.reshape(-1, DIM) @ w["q"]).reshape(own.shape), (flat @ w["k"]).reshape(e.shape)
-        says = np.ones((*e.shape[:2], DIM + 1), np.float32)
-        says[..., :DIM] = (flat @ w["v"]).reshape(e.shape)
-        s, heard, h, z = self.states(own, asks, offers, says, self.near(), windows[:, BLOCK] == self.head + 1)
-        z /= z.sum(axis=1, keepdims=True)
-        explains = z * expert[targets]
-        p = explains.sum(axis=1) + 1e-12
+        both = np.take(w["e"], inputs, axis=0)
+        own, joint = both[:, BLOCK:].reshape(-1, DIM), w["q"] @ w["k"].T
+        asks = (own @ joint).reshape(-1, BLOCK, DIM)
+        s, weight, heard, h, z = self.states(own, asks, both, self.near(), windows[:, BLOCK] == self.head + 1)
+        explains = np.take(experts, targets, axis=0)
+        explains *= z
+        ones, of_all = np.ones(EXPERTS, z.dtype), np.ones(len(z), z.dtype)
+        total, found = z @ ones, explains @ ones
+        p = found / total + 1e-12
         n = max(int(live.sum()), 1)
         loss = float(-(np.log(p) * live).sum() / n)
-        scale = (live / n).astype(np.float32)[:, None]
-        explains *= scale / p[:, None]  # how much each expert explains each target
-        hot = np.ascontiguousarray(added(explains, targets, self.head + 1).T)
-        z *= scale
+        scale = (live / n).astype(z.dtype)
+        explains *= (scale / (p * total))[:, None]  # how much each expert explains each target
+        z *= (scale / total)[:, None]
         z -= explains
-        experts *= hot.sum(axis=1, keepdims=True)
-        experts -= hot
-        g = {"x": experts, "b": z.sum(axis=0), "g": h.reshape(-1, DIM).T @ z}
-        dh = (z @ w["g"].T).reshape(h.shape)
-        weight = heard[..., DIM:]
-        d_heard = np.empty_like(heard)
-        np.divide(dh, weight, out=d_heard[..., :DIM])
-        d_heard[..., DIM] = -np.einsum("nij,nij->ni", d_heard[..., :DIM], heard[..., :DIM]) / weight[..., 0]
-        ds = d_heard @ says.transpose(0, 2, 1)
+        experts *= of_all @ explains
+        np.negative(explains, out=explains)
+        add_rows(experts, targets, explains)
+        g["b"][:], g["g"][:] = of_all @ z, h.T @ z
+        dh = z @ w["g"].T
+        d_heard = dh @ w["v"].T
+        d_heard /= weight
+        d_weight = (d_heard * heard) @ np.ones(DIM, z.dtype)
+        ds = d_heard.reshape(-1, BLOCK, DIM) @ both.transpose(0, 2, 1)
+        ds -= d_weight.reshape(-1, BLOCK, 1)
         ds *= s
-        g["d"] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32)
-        d_asks, d_offers = (ds @ offers).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ asks).reshape(-1, DIM)
-        d_says = (s.transpose(0, 2, 1) @ np.ascontiguousarray(d_heard[..., :DIM])).reshape(-1, DIM)
-        g["q"], g["k"], g["v"] = own.reshape(-1, DIM).T @ d_asks, flat.T @ d_offers, flat.T @ d_says
-        de = (d_offers @ w["k"].T + d_says @ w["v"].T).reshape(n_windows, 2 * BLOCK, DIM)
-        de[:, BLOCK:] += dh + (d_asks @ w["q"].T).reshape(dh.shape)
-        g["e"] = added(de.reshape(-1, DIM), both.ravel(), self.head + 3)
+        g["d"][:] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), 2 * BLOCK)
+        d_asks = (ds @ both).reshape(-1, DIM)
+        d_joint = own.T @ d_asks
+        g["q"][:], g["k"][:], g["v"][:] = d_joint @ w["k"], d_joint.T @ w["q"], heard.T @ dh
+        both_s, both_d = np.empty((len(s), 2 * BLOCK, 2 * BLOCK), s.dtype), np.empty((len(s), 2 * BLOCK, DIM), s.dtype)
+        both_s[:, :BLOCK], both_s[:, BLOCK:] = s, ds
+        both_d[:, :BLOCK], both_d[:, BLOCK:] = d_heard.reshape(-1, BLOCK, DIM), asks
+        de = both_s.transpose(0, 2, 1) @ both_d
+        dh += d_asks @ joint.T
+        de[:, BLOCK:] += dh.reshape(-1, BLOCK, DIM)
+        g["e"][:] = 0
+        add_rows(g["e"], inputs.ravel(), de.reshape(-1, DIM))
         return loss, g
 
     def fit(self, windows: np.ndarray, steps: int, rate: float, batch: int = BATCH, seed: int = 2) -> list[float]:
         """Adam on windows of buckets, in epochs of a random order, at a rate that falls to a tenth; returns the losses."""
         r, losses, order = np.random.default_rng(seed), [], np.zeros(0, np.int64)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        flat = self.flat()
+        self.w = self.shaped(flat)
+        m, s, g = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)  # m and s are sums: 10 and 100 times the means
+        grads = self.shaped(g)
         for t in range(1, steps + 1 if len(windows) else 1):
             if len(order) < min(batch, len(windows)):
                 order = r.permutation(len(windows))
-            loss, g = self.step(windows[order[:batch]].astype(np.int64))
+            loss, _ = self.step(windows[order[:batch]].astype(np.int64), grads)
             order = order[batch:]
             losses.append(loss)
-            now = rate * (1 - 0.9 * t / steps)
-            for k, v in g.items():
-                m[k] += np.float32(0.1) * (v - m[k])
-                s[k] += np.float32(0.01) * (v * v - s[k])
-                self.w[k] -= np.float32(now / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+            now, size = rate * (1 - 0.9 * t / steps), (0.01 / (1 - 0.99**t)) ** 0.5
+            m *= np.float32(0.9)
+            m += g
+            g *= g
+            s *= np.float32(0.99)
+            s += g
+            np.sqrt(s, out=g)
+            g += np.float32(1e-8 / size)
+            np.divide(m, g, out=g)
+            g *= np.float32(0.1 * now / (1 - 0.9**t) / size)
+            flat -= g
         return losses
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
 
-    def set_flat(self, values: np.ndarray) -> None:
+    def shaped(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        """Weights as views of their values in one row."""
         ends = np.cumsum([v.size for v in self.w.values()])
-        self.w = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(self.w.items(), np.split(values, ends[:-1]), strict=True)}
+        return {k: x.reshape(v.shape) for (k, v), x in zip(self.w.items(), np.split(values, ends[:-1]), strict=True)}
+
+    def set_flat(self, values: np.ndarray) -> None:
+        self.w = self.shaped(values.astype(np.float32))
 
 
 def training_windows(model: Attention, every: int):
@@ -394,7 +442,7 @@ def subword_counts(path: str | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size(path), np.int64)
         for batch in batches:
-            ids, offsets = subwords(batch.column("word").to_pylist(), path)
+            ids, offsets = subwords(batch.column("word"), path)
             np.add.at(total, ids, np.repeat(batch.column("c").to_numpy(), np.diff(offsets)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "c"])
@@ -431,21 +479,22 @@ def score(docs: DataFrame, parts: int = 5, part: int = 1, path: str | None = Non
     found = counts.mapInArrow(subword_counts(path), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
     frequency = np.zeros(vocabulary_size(path))
     frequency[found["id"].to_numpy(np.int64)] = found["c"]
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(Known(frequent, path))
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for batch in by_bytes(batches, "text", 2 << 20):
-            ids, id_offsets, codes, offsets, distinct = text_ids(batch.column("text"), path)
+        known = shared.value
+        counted = np.append(known.counts, -1)  # a word that is not known has place -1
+        values = np.append(np.log10(known.counts + 0.5) - np.log10(n + 0.5 * (v + 1)), 0.0)
+        for batch in by_bytes(batches, "text", 4 << 20):
+            ids, id_offsets, codes, offsets, distinct, place = text_ids(batch.column("text"), path, known)
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(id_offsets * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
-            c = np.array([frequent.get(w, -1) for w in distinct], np.float64)[codes]
-            base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5) - np.log10(n + 0.5 * (v + 1)), 0.0)
-            sums = np.concatenate([[0.0], np.cumsum(base)])
+            c = counted[place][codes]
+            sums = np.concatenate([[0.0], np.cumsum(values[place][codes])])
             rare = c < 0
             key = owner(offsets)[rare] * len(distinct) + codes[rare]
             pairs, times = np.unique(key, return_counts=True)
             bounds = np.searchsorted(pairs // len(distinct), np.arange(batch.num_rows + 1)).astype(np.int32)
-            words = pa.array(distinct, pa.string()).take(pa.array(pairs % len(distinct)))
+            words = distinct.take(pa.array(pairs % len(distinct))).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), batch.column("key"), packed, pa.array(-(-np.diff(id_offsets) // BLOCK)), pa.array(np.diff(offsets)), pa.array(per_text(c > 0, offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]),
                  pa.ListArray.from_arrays(pa.array(bounds), words), pa.ListArray.from_arrays(pa.array(bounds), pa.array(times, pa.int32()))],

@@ -128,3 +128,25 @@ def test_collisions_are_counted_for_every_pair():
     got = np.stack(vectors.linked(a, b, vectors.COSINE, vectors.PROJECTIONS, vectors.WIDTH, vectors.RECALL), axis=1)
     assert got.tolist() == want.tolist() and len(want) > 1000
     assert [len(k) for k in vectors.linked(a[:0], b, vectors.COSINE, vectors.PROJECTIONS, vectors.WIDTH, vectors.RECALL)] == [0, 0]
+
+
+def test_known_words_are_cut_once(monkeypatch):
+    """Words that were cut beforehand are not cut again, and texts get the same ids."""
+    texts = pa.array([None, "", "The one of the", "oneé of\n\nmany, of 中文 \U0001f600"])
+    want = lm.text_ids(texts, None)
+    known, cut, plain = lm.Known({"of": 9, "the": 5, lm.END: 4, "中文": 1}, None), [], lm.subwords
+    monkeypatch.setattr(lm, "subwords", lambda words, path: cut.extend(words.to_pylist()) or plain(words, path))
+    got = lm.text_ids(texts, None, known)
+    assert all(np.array_equal(a, b) for a, b in zip(got[:4], want[:4], strict=True))
+    assert sorted(cut) == sorted(["one", "oneé", "many,", "\U0001f600"])
+
+
+def test_rows_are_added_at_their_places():
+    r = np.random.default_rng(8)
+    for kind in (np.float32, np.float64):
+        to, at, rows = r.standard_normal((9, 6)).astype(kind), r.integers(0, 9, 200), r.standard_normal((200, 6)).astype(kind)
+        want = to.copy()
+        for i, row in zip(at, rows, strict=True):
+            want[i] += row
+        lm.add_rows(to, at, rows)
+        assert np.allclose(to, want, atol=1e-4)
