@@ -1,7 +1,7 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids, and a smoothed word base.
 
 Base: word counts over all training documents. Frequent words (at most FREQUENT, chosen by a
-threshold on counts) are broadcast; all other words of a document meet their counts in a shuffle join.
+threshold on counts) are broadcast with their subwords; all other words of a document meet their counts in a shuffle join.
 
 Model: one layer of causal self-attention over subword ids, with a bias for each distance. Its state
 weighs EXPERTS distributions over subwords; their mixture is mixed with the subword frequencies of the
