@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions import text as T
-from docketry.operators.joins import bounded
+from docketry.operators.joins import bounded, dealt
+from docketry.sources.tables import written
 
 
 def flagged(rows: DataFrame, key: list[str], issues: dict[str, Column]) -> DataFrame:
@@ -174,10 +175,14 @@ def ranked_drafts(kept: DataFrame, tiers: DataFrame) -> tuple[DataFrame, DataFra
 
 def default_scope(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """(query_id, rules, conditions): all candidates (query_id, rule_id, rank) active in order, and their conditions (rule_id, condition_id, pos), each at its first place."""
-    rules = candidates.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("rank", "rule_id"))), lambda x: x["rule_id"]).alias("rules"))
-    first = candidates.join(members, "rule_id").groupBy("query_id", "condition_id").agg(F.min(F.struct("rank", "pos")).alias("at"))
-    held = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "condition_id"))), lambda x: x["condition_id"]).alias("conditions"))
-    return rules.join(held, "query_id", "left").select("query_id", "rules", F.coalesce("conditions", F.array().cast(held.schema["conditions"].dataType)).alias("conditions"))
+    places = members.groupBy("rule_id", "condition_id").agg(F.min("pos").alias("pos"))
+    lists = bounded(written(places.groupBy("rule_id").agg(F.sort_array(F.collect_list(F.struct("pos", "condition_id"))).alias("held"))), 20_000)
+    # A rule's conditions are one row, each once; candidates are dealt by query, and nothing moves after that.
+    own = dealt(written(candidates.select("query_id", "rule_id", "rank")), ["query_id"], 50_000).join(lists, "rule_id", "left")
+    own = own.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "rule_id", "held"))).alias("own"))
+    every = F.flatten(F.transform(F.filter("own", lambda x: x["held"].isNotNull()), lambda x: F.transform(x["held"], lambda h: F.struct(x["rank"].alias("rank"), h["pos"].alias("pos"), h["condition_id"].alias("condition_id")))))
+    rules = F.array_distinct(F.transform("own", lambda x: F.struct(x["rank"].alias("rank"), x["rule_id"].alias("rule_id"))))
+    return own.select("query_id", F.transform(rules, lambda x: x["rule_id"]).alias("rules"), F.array_distinct(F.transform(F.sort_array(every), lambda x: x["condition_id"])).alias("conditions"))
 
 
 def case_documents(light: DataFrame, claims: DataFrame, assessments: DataFrame, applied: DataFrame, decisions: DataFrame) -> DataFrame:
