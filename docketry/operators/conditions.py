@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docketry.operators.joins import bounded
+from docketry.operators.joins import bounded, dealt
 from docketry.sources.tables import written
 
 YES, NO, CONFLICT, UNKNOWN = "SATISFIED", "NOT_SATISFIED", "CONFLICTING", "UNKNOWN"
 ROLES = ("support", "limiting", "boundary")
+#: Owners' states are dealt so that about so many rows of (owner, group, state) are made in a task.
+GROUP_ROWS = 2_000_000
 
 
 def truth(operator: Column, n: Column, n_yes: Column, n_no: Column) -> Column:
@@ -28,13 +30,27 @@ def group_truth(members: DataFrame, states: DataFrame, owner: str) -> DataFrame:
     return counted.join(sizes, "group_id").select(owner, "group_id", truth(F.col("operator"), F.col("n"), F.col("n_yes"), F.col("n_no")).alias("value"))
 
 
+def group_truth_at_scale(members: DataFrame, states: DataFrame, owner: str) -> DataFrame:
+    """group_truth for many owners: a state is in as many groups as hold its condition, so that owners' states are dealt once and their groups counted where they lie.
+
+    Groups go by numbers until the end. states should be a table, as it is counted.
+    """
+    codes = written(members.select("group_id").where("group_id is not null").distinct().withColumn("code", F.monotonically_increasing_id()))
+    sizes = written(members.groupBy("group_id", "operator").agg(F.countDistinct("condition_id").alias("n")).join(codes, "group_id"))
+    held = written(members.select("group_id", "condition_id").distinct().join(codes, "group_id").select("condition_id", "code"))
+    met = held.count() / max(1, held.select("condition_id").distinct().count())
+    own = dealt(states.select(owner, "condition_id", F.when(F.col("status") == YES, 1).when(F.col("status") == NO, -1).otherwise(0).cast("byte").alias("s")), [owner], int(GROUP_ROWS / max(1, met)))
+    counted = own.join(bounded(held), "condition_id").groupBy(owner, "code").agg(F.count_if(F.col("s") > 0).alias("n_yes"), F.count_if(F.col("s") < 0).alias("n_no"))
+    return counted.join(bounded(sizes), "code").select(owner, "group_id", truth(F.col("operator"), F.col("n"), F.col("n_yes"), F.col("n_no")).alias("value"))
+
+
 def summarize(assessments: DataFrame) -> DataFrame:
     """(case_id, condition_id, status, evidence) -> one state per case and condition.
 
     Only assessments with evidence count, each piece once. Yes and no, or any conflict, make a conflict;
     other mixtures are unknown and not usable.
     """
-    usable = assessments.where("evidence is not null").dropDuplicates(["case_id", "condition_id", "status", "evidence"])
+    usable = assessments.where("evidence is not null").repartition("case_id", "condition_id").dropDuplicates(["case_id", "condition_id", "status", "evidence"])
     kinds = usable.groupBy("case_id", "condition_id").agg(F.collect_set("status").alias("kinds"), F.count_if(F.col("status") == YES).alias("support"), F.count_if(F.col("status") == NO).alias("oppose"))
     has = lambda s: F.array_contains("kinds", s)
     status = F.when(has(CONFLICT) | (has(YES) & has(NO)), CONFLICT).when(F.size("kinds") == 1, F.element_at("kinds", 1)).otherwise(UNKNOWN)
