@@ -247,11 +247,12 @@ def record_graph(s, d):
     """Nodes of all labels and edges of all types, counted and with a digest of their keys; ends that are no node are counted by type as `dangling`."""
     tables = {name: from_sql(s, d, text, *[n for n in NAMES if f"{{{n}}}" in text]) for name, text in RECORDS.items()}
     evidence = from_sql(s, d, EVIDENCE, "lineitem").withColumn("object_id", F.col("object_id").cast("string"))
+    evidence = evidence.where("object_id is not null")
     nodes, edges = G.project(tables, evidence)
-    lost = G.dangling_edges(edges, nodes).join(edges.select("key", "type"), "key").groupBy(F.lit("dangling").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n"))
+    lost = G.lost_ends(tables, evidence).select(F.lit("dangling").alias("kind"), F.col("type").alias("name"), "n", F.lit(None).cast("string").alias("digest"))
     digest = lambda *of: F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *of)), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest")
-    made = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(digest("key")).union(edges.groupBy(F.lit("edge"), "type").agg(digest("source", "type", "target")))
-    return G.counts(nodes, edges).union(lost).join(made, ["kind", "name"], "left")
+    made = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"), digest("key"))
+    return made.union(edges.groupBy(F.lit("edge"), "type").agg(F.count("*"), digest("source", "type", "target"))).union(lost)
 
 
 def _graph_sql() -> str:
